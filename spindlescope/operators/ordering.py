@@ -52,6 +52,21 @@ def hash_cutoffs(hashed: DataFrame, strata: list[str], quota: Callable[[Column],
     return ranked.filter("_rn = _need").select(*strata, F.col("_h").alias("_cut"))
 
 
+def hash_quantile_cuts(hashed: DataFrame, strata: list[str], parts: int) -> DataFrame:
+    """Per stratum the ``parts`` - 1 hashes that end each of ``parts`` equal stretches (``_cuts``, ascending)."""
+    by = Window.partitionBy(*strata)
+    bucket = F.substring("_h", 1, 4)
+    counts = hashed.groupBy(*strata, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_cum", F.sum("_n").over(by.orderBy("_b"))).withColumn("_all", F.sum("_n").over(by))
+    ends = F.array(*[F.floor(F.col("_all") * i / F.lit(parts)) for i in range(1, parts)])
+    inside = F.filter(ends, lambda e: (e <= F.col("_cum")) & (e > F.col("_cum") - F.col("_n")))
+    edge = counts.select(*strata, "_b", F.transform(inside, lambda e: e - (F.col("_cum") - F.col("_n"))).alias("_needs"))
+    rows = lookup_join(hashed.withColumn("_b", bucket), edge.filter(F.size("_needs") > 0), [*strata, "_b"])
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h")).cast("long"))
+    cuts = ranked.filter(F.array_contains("_needs", F.col("_rn")))
+    return cuts.groupBy(*strata).agg(F.sort_array(F.collect_list("_h")).alias("_cuts"))
+
+
 def pick_by_hash(df: DataFrame, strata: list[str], keys: list[str], seed,
                  quota: Callable[[Column], Column] | DataFrame, flag: str = "picked") -> DataFrame:
     """Mark exactly quota rows per stratum, chosen in hash order of ``keys``.
