@@ -52,13 +52,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=float) for v in column])
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, a few rows at a time to bound memory."""
+METRICS = {
+    "euclidean": lambda gap: np.sqrt((gap * gap).sum(axis=2)),
+    "manhattan": lambda gap: np.abs(gap).sum(axis=2),
+    "chebyshev": lambda gap: np.abs(gap).max(axis=2),
+}
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances, a few rows at a time to bound memory."""
     out = np.empty((len(a), len(b)))
     step = max(1, 2_000_000 // max(1, b.size))
     for i in range(0, len(a), step):
-        gap = a[i:i + step, None, :] - b[None, :, :]
-        out[i:i + step] = np.sqrt((gap * gap).sum(axis=2))
+        out[i:i + step] = METRICS[metric](a[i:i + step, None, :] - b[None, :, :])
     return out
 
 
@@ -69,24 +75,25 @@ def choose_pivots(distinct: DataFrame, rows: int) -> np.ndarray:
     return np.array([r["_v"] for r in picked], dtype=float)
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _assign(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
     """Add the nearest pivot ``_cell`` and the distance ``_d`` to it."""
     schema = T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_d", T.DoubleType())])
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                gaps = _distances(_matrix(pdf["_v"]), pivots)
+                gaps = _distances(_matrix(pdf["_v"]), pivots, metric)
                 cell = gaps.argmin(axis=1)
                 yield pdf.assign(_cell=cell.astype("int32"), _d=gaps[np.arange(len(pdf)), cell])
 
     return df.mapInPandas(run, schema)
 
 
-def _visit(rows: DataFrame, cells: DataFrame, pivots: np.ndarray, reach: str, own: bool) -> DataFrame:
+def _visit(rows: DataFrame, cells: DataFrame, pivots: np.ndarray, reach: str, own: bool, metric: str) -> DataFrame:
     """One row per cell that may hold a vector within ``reach`` of the row; its own cell only if ``own``.
 
-    A cell is skipped only if the hyperplane bound or the ring bound proves it too far.
+    A cell is skipped only if the hyperplane bound or the ring bound proves it too far; both hold in
+    every metric.
     """
     rings = cells.groupBy("_w").agg(F.collect_list(F.struct("_cell", "_lo", "_hi")).alias("_rings"))
     wide = lookup_join(rows, rings, ["_w"])
@@ -96,7 +103,7 @@ def _visit(rows: DataFrame, cells: DataFrame, pivots: np.ndarray, reach: str, ow
         for pdf in batches:
             if not len(pdf):
                 continue
-            gaps = _distances(_matrix(pdf["_v"]), pivots)
+            gaps = _distances(_matrix(pdf["_v"]), pivots, metric)
             home, target = [], []
             for i, (rings_i, cell, far) in enumerate(zip(pdf["_rings"], pdf["_cell"], pdf[reach])):
                 js = np.array([r["_cell"] for r in rings_i])
@@ -128,12 +135,12 @@ def _meet(left: DataFrame, right: DataFrame, compare: Callable, schema: T.Struct
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
 
 
-def _nearest(m: int, columns: list[str]) -> Callable:
+def _nearest(m: int, columns: list[str], metric: str) -> Callable:
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
         first = np.array([ids[0] for ids in right["_ids"]])
-        gaps = _distances(_matrix(left["_v"]), _matrix(right["_v"]))
+        gaps = _distances(_matrix(left["_v"]), _matrix(right["_v"]), metric)
         spots, far, who = [], [], []
         for i, row in enumerate(gaps):
             limit = np.partition(row, m - 1)[m - 1] if m < len(row) else np.inf
@@ -154,8 +161,8 @@ def _keep_best(found: DataFrame, m: int) -> DataFrame:
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, within: list[str] | str | None = None, id_col: str = "vec_id",
-             vec: str = "vec", exclude_self: bool = False) -> DataFrame:
-    """The ``k`` nearest rows of ``b`` for every row of ``a`` by Euclidean distance, ties by id.
+             vec: str = "vec", exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
+    """The ``k`` nearest rows of ``b`` for every row of ``a``, ties by id.
 
     Result: (``within``…, ``id_col``, neighbour, rank, distance), rank from 1. ``within`` restricts
     neighbours to the same block; ``exclude_self`` leaves out the row with the same id.
@@ -167,14 +174,14 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, within: list[str] | str | None
     pivots = choose_pivots(targets, targets.count())
     if not len(pivots):
         return a.select(*within, id_col).withColumns({"neighbour": F.col(id_col), "rank": F.lit(0), "distance": F.lit(0.0)}).limit(0)
-    targets = _assign(targets, pivots)
-    probes = _assign(_distinct(left).drop("_copies"), pivots)
+    targets = _assign(targets, pivots, metric)
+    probes = _assign(_distinct(left).drop("_copies"), pivots, metric)
     if len(pivots) > 1:
         targets, probes = cut_lineage(targets), cut_lineage(probes)
     nid = T.StructField("_nid", a.schema[id_col].dataType)
     schema = T.StructType([T.StructField("_w", T.StringType()), T.StructField("_key", T.StringType()),
                            T.StructField("_dist", T.DoubleType()), nid])
-    compare = _nearest(m, schema.names)
+    compare = _nearest(m, schema.names, metric)
     found = _keep_best(_meet(probes, targets, compare, schema), m)
     if len(pivots) > 1:
         found = cut_lineage(found)
@@ -182,7 +189,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, within: list[str] | str | None
         known = found.groupBy("_w", "_key").agg(
             F.when(F.count(F.lit(1)) >= m, F.max("_dist")).otherwise(F.lit(float("inf"))).alias("_reach"))
         eager = probes.join(known, ["_w", "_key"], "left").na.fill(float("inf"), subset=["_reach"])
-        visits = cut_lineage(_visit(eager, cells, pivots, "_reach", own=False))
+        visits = cut_lineage(_visit(eager, cells, pivots, "_reach", own=False, metric=metric))
         found = _keep_best(found.unionByName(_meet(visits, targets, compare, schema)), m)
     lists = found.groupBy("_w", "_key").agg(F.sort_array(F.collect_list(F.struct("_dist", "_nid"))).alias("_near"))
     rows = left.select("_w", "_key", *within, id_col).join(lists, ["_w", "_key"])
@@ -195,27 +202,27 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, within: list[str] | str | None
 class Neighbourhood:
     """Distinct vectors of a frame, blocked so that all pairs within ``eps`` meet in some cell."""
 
-    def __init__(self, df: DataFrame, eps: float, vec: str = "vec"):
-        self.eps = eps
+    def __init__(self, df: DataFrame, eps: float, vec: str = "vec", metric: str = "euclidean"):
+        self.eps, self.metric = eps, metric
         self.rows = _keyed(df, vec, [])
         points = cut_lineage(_distinct(self.rows))
         self.pivots = choose_pivots(points, points.count())
-        self.points = cut_lineage(_assign(points, self.pivots))
+        self.points = cut_lineage(_assign(points, self.pivots, metric))
         self.cells = self.points.groupBy("_w", "_cell").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
 
     def _meet_within(self, left: DataFrame, right: DataFrame, compare: Callable, schema: T.StructType) -> DataFrame:
         probes = left.withColumn("_reach", F.lit(float(self.eps)))
-        return _meet(_visit(probes, self.cells, self.pivots, "_reach", own=True), right, compare, schema)
+        return _meet(_visit(probes, self.cells, self.pivots, "_reach", own=True, metric=self.metric), right, compare, schema)
 
     def weights(self) -> DataFrame:
         """Rows within ``eps`` of each distinct vector, itself included: (_key, _weight)."""
-        eps = self.eps
+        eps, metric = self.eps, self.metric
         schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_weight", T.LongType())])
 
         def compare(left, right):
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["_key", "_weight"])
-            close = _distances(_matrix(left["_v"]), _matrix(right["_v"])) <= eps
+            close = _distances(_matrix(left["_v"]), _matrix(right["_v"]), metric) <= eps
             return pd.DataFrame({"_key": left["_key"].to_numpy(), "_weight": close @ right["_copies"].to_numpy()})
 
         counted = self._meet_within(self.points, self.points, compare, schema)
@@ -226,13 +233,13 @@ class Neighbourhood:
 
         Each chunk pair returns a spanning forest of its own pairs: fewer edges than rows.
         """
-        eps = self.eps
+        eps, metric = self.eps, self.metric
         schema = T.StructType([T.StructField("_a", T.StringType()), T.StructField("_b", T.StringType())])
 
         def compare(left, right):
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["_a", "_b"])
-            close = _distances(_matrix(left["_v"]), _matrix(right["_v"])) <= eps
+            close = _distances(_matrix(left["_v"]), _matrix(right["_v"]), metric) <= eps
             lk, rk = left["_key"].to_numpy(), right["_key"].to_numpy()
             edges, seen_l, seen_r = [], np.zeros(len(lk), bool), np.zeros(len(rk), bool)
             for start in range(len(lk)):
@@ -256,13 +263,13 @@ class Neighbourhood:
 
         For left sides whose neighbourhoods are known to be small.
         """
-        eps = self.eps
+        eps, metric = self.eps, self.metric
         schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_near", T.StringType())])
 
         def compare(left, right):
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["_key", "_near"])
-            i, j = np.nonzero(_distances(_matrix(left["_v"]), _matrix(right["_v"])) <= eps)
+            i, j = np.nonzero(_distances(_matrix(left["_v"]), _matrix(right["_v"]), metric) <= eps)
             return pd.DataFrame({"_key": left["_key"].to_numpy()[i], "_near": right["_key"].to_numpy()[j]})
 
         return self._meet_within(left, right, compare, schema)

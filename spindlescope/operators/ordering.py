@@ -26,10 +26,9 @@ def row_hash(keys: list[str], seed) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def hash_unit(*parts) -> Column:
-    """Repeatable number in [0, 1) from column values and literals."""
-    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def hash_number(keys: list[str], seed) -> Column:
+    """Repeatable whole number in [0, 2^32) from the first eight hex digits of the row hash."""
+    return F.conv(F.substring(row_hash(keys, seed), 1, 8), 16, 10).cast("long")
 
 
 def hash_cutoffs(hashed: DataFrame, strata: list[str], quota: Callable[[Column], Column] | DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindlescope.operators.neighbours import knn_join
-from spindlescope.operators.ordering import exact_quantiles, hash_cutoffs, hash_quantile_cuts, hash_unit, pick_by_hash, row_hash
+from spindlescope.operators.ordering import exact_quantiles, hash_cutoffs, hash_number, hash_quantile_cuts, pick_by_hash, row_hash
 from spindlescope.session import lookup_join, lookup_rows
 
 ROW_KEYS = ["serial_number", "date"]
@@ -91,10 +91,10 @@ def _between_neighbours(copies: DataFrame, near: DataFrame, vectors: DataFrame,
                         seed, step: float) -> DataFrame:
     """x + step * u * (neighbour - x), neighbour and u drawn by hash of (row, copy, seed)."""
     lists = near.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))
-    pick = F.pmod(F.xxhash64(F.col(id_col), F.col("_copy"), F.lit(f"{seed}-neighbour")), F.size("_near")).cast("int")
+    pick = F.pmod(hash_number([id_col, "_copy"], f"{seed}-neighbour"), F.size("_near")).cast("int")
     drawn = copies.join(lists, id_col).withColumn("_nid", F.col("_near")[pick]["neighbour"]).drop("_near")
     others = vectors.select(F.col(id_col).alias("_nid"), F.col(vec).alias("_other"))
-    u = hash_unit(F.col(id_col), F.col("_copy"), F.lit(f"{seed}-step")) * F.lit(float(step))
+    u = hash_number([id_col, "_copy"], f"{seed}-step") / F.lit(float(1 << 32)) * F.lit(float(step))
     mixed = drawn.join(others, "_nid").withColumn("_u", u)
     new = F.zip_with(vec, "_other", lambda x, y: x + F.col("_u") * (y - x))
     return mixed.select(F.col(id_col).alias("parent"), F.col("_nid").alias("neighbour"), F.col("_copy").alias("copy"), new.alias(vec), *keep)

@@ -129,7 +129,6 @@ def partition_models_by_divergence(spark, sf_dir):
 _KNN = """SELECT vec_id, neighbour, CAST(rank AS INTEGER) AS rank, ROUND(distance, 6) AS distance{extra} FROM (
   SELECT a.vec_id, b.vec_id AS neighbour, d AS distance{pick}, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS rank
   FROM v a JOIN v b ON a.vec_id <> b.vec_id {on}, LATERAL (SELECT list_distance(a.vec, b.vec) AS d)) WHERE rank <= 5"""
-view("v", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings")
 
 
 @query("knn_join", _KNN.format(extra="", pick="", on=""), ("v",))
