@@ -55,19 +55,15 @@ def missing_window_flags(df: DataFrame, window_days: int, tolerance: float, max_
     spine = daily_spine(df, "_gap")
     last_days = forward().rowsBetween(-(window_days - 1), 0)
     flags = [F.col(c).isNull() for c in columns] if columns else [F.col("_gap")]
-    sums = [F.sum(f.cast("int")).over(last_days) for f in flags]
-    means = [F.avg(f.cast("int")).over(last_days) for f in flags]
-    if max_missing is None:
-        broken = [s > m * F.lit(float(tolerance)) for s, m in zip(sums, means)]
-    else:
-        broken = [s > F.lit(max_missing) for s in sums]
-    bad = broken[0]
-    for b in broken[1:]:
-        bad = bad | b
-    worst = (lambda xs: F.greatest(*xs) if len(xs) > 1 else xs[0])
-    return spine.withColumns({
-        "n_missing": worst(sums).cast("long"), "mean_missing": worst(means), "breaks_rule": bad, "is_gap": F.col("_gap"),
-    }).drop("_gap")
+    rolled = {f"_s{i}": F.sum(f.cast("int")).over(last_days) for i, f in enumerate(flags)}
+    rolled["_days"] = F.count(F.lit(1)).over(last_days)
+    sums = [F.col(f"_s{i}") for i in range(len(flags))]
+    worst = F.greatest(*sums) if len(sums) > 1 else sums[0]
+    share = worst / F.col("_days")
+    limit = share * F.lit(float(tolerance)) if max_missing is None else F.lit(max_missing)
+    return spine.withColumns(rolled).withColumns({
+        "n_missing": worst.cast("long"), "mean_missing": share, "breaks_rule": worst > limit, "is_gap": F.col("_gap"),
+    }).drop("_gap", *rolled)
 
 
 def _judge_drives(df: DataFrame, min_days: int, window_days: int, tolerance: float, max_missing: int | None) -> DataFrame:
@@ -97,37 +93,42 @@ def _is_number(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 
 
+def _marks(c: str) -> dict[str, Column]:
+    """Nearest filled day before and after, as (day number, value), under fixed helper names."""
+    mark = F.when(F.col(c).isNotNull(), F.struct(F.unix_date("date").alias("d"), F.col(c).cast("double").alias("v")))
+    return {f"_p_{c}": F.last(mark, ignorenulls=True).over(forward()), f"_n_{c}": F.last(mark, ignorenulls=True).over(backward())}
+
+
 def _between(c: str) -> Column:
     """Linear value between the nearest filled days, or the nearest one at the ends."""
-    here = F.unix_date("date")
-    mark = F.when(F.col(c).isNotNull(), F.struct(here.alias("d"), F.col(c).cast("double").alias("v")))
-    prev = F.last(mark, ignorenulls=True).over(forward())
-    following = F.last(mark, ignorenulls=True).over(backward())
-    line = prev["v"] + (following["v"] - prev["v"]) * (here - prev["d"]) / (following["d"] - prev["d"])
-    return F.coalesce(F.col(c).cast("double"), line, prev["v"], following["v"])
+    prev, following = F.col(f"_p_{c}"), F.col(f"_n_{c}")
+    share = F.try_divide(F.unix_date("date") - prev["d"], following["d"] - prev["d"])
+    return F.coalesce(F.col(c).cast("double"), prev["v"] + (following["v"] - prev["v"]) * share, prev["v"], following["v"])
 
 
 def interpolate(df: DataFrame, method: str = "linear", labels=LABELS) -> DataFrame:
     """Fill the spine: numbers on the line between neighbours, the nearest value at both ends.
 
     Label columns are snapped to 0 below 1e-10 and rounded half to even; other columns take the
-    last, then the next value. On a daily spine ``linear`` and ``time`` give the same line.
+    last, then the next value. On a daily spine ``linear`` and ``time`` give the same line. All
+    columns share one ascending and one descending sort of the drive; the neighbours are computed
+    once each and the lines drawn from them afterwards.
     """
     if method not in ("linear", "time"):
         raise ValueError(f"unknown interpolation method: {method}")
-    spine = daily_spine(df)
-    new = {}
+    marks, new = {}, {}
     for field in df.schema:
         c = field.name
         if c in ("serial_number", "date"):
             continue
         if not _is_number(field):
-            new[c] = F.coalesce(F.last(c, ignorenulls=True).over(forward()), F.last(c, ignorenulls=True).over(backward()))
-        elif c in labels:
-            new[c] = F.bround(snap_to_zero(_between(c)), 0).cast(field.dataType)
-        else:
-            new[c] = _between(c)
-    return spine.withColumns(new).select(*df.columns)
+            marks[f"_p_{c}"] = F.last(c, ignorenulls=True).over(forward())
+            marks[f"_n_{c}"] = F.last(c, ignorenulls=True).over(backward())
+            new[c] = F.coalesce(F.col(f"_p_{c}"), F.col(f"_n_{c}"))
+            continue
+        marks.update(_marks(c))
+        new[c] = F.bround(snap_to_zero(_between(c)), 0).cast(field.dataType) if c in labels else _between(c)
+    return daily_spine(df).withColumns(marks).withColumns(new).select(*df.columns)
 
 
 def interpolation_report(df: DataFrame) -> DataFrame:
@@ -158,11 +159,11 @@ def failure_horizon_labels(df: DataFrame, days: int, window: int) -> DataFrame:
 
     ``predict_val`` marks the last ``days`` rows, ``validate_val`` the last ``days`` + ``window``.
     """
-    size = F.count(F.lit(1)).over(drive())
-    from_end = size - F.row_number().over(forward())
-    failed = F.max("failure").over(drive()) == 1
-    marked = df.withColumns({"_size": size, "_from_end": from_end, "_failed": failed})
-    return marked.filter(F.col("_size") > days + window).withColumns({
+    marked = df.withColumns({"_size": F.count(F.lit(1)).over(drive()), "_rn": F.row_number().over(forward()),
+                             "_failed": F.max("failure").over(drive())})
+    marked = marked.filter(F.col("_size") > days + window).withColumns({
+        "_from_end": F.col("_size") - F.col("_rn"), "_failed": F.col("_failed") == 1})
+    return marked.withColumns({
         "predict_val": (F.col("_failed") & (F.col("_from_end") < days)).cast("int"),
         "validate_val": (F.col("_failed") & (F.col("_from_end") < days + window)).cast("int"),
-    }).drop("_size", "_from_end", "_failed")
+    }).drop("_size", "_rn", "_from_end", "_failed")

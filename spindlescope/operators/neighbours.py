@@ -24,6 +24,7 @@ from spindlescope.session import cut_lineage, lookup_join
 CHUNK = 1024
 MAX_PIVOTS = 256
 SLACK = 1e-9
+RING_BLOCKS = 200
 
 
 def _keyed(df: DataFrame, vec: str, within: list[str]) -> DataFrame:
@@ -96,7 +97,7 @@ def _visit(rows: DataFrame, cells: DataFrame, pivots: np.ndarray, reach: str, ow
     every metric.
     """
     rings = cells.groupBy("_w").agg(F.collect_list(F.struct("_cell", "_lo", "_hi")).alias("_rings"))
-    wide = lookup_join(rows, rings, ["_w"])
+    wide = lookup_join(rows, rings, ["_w"], max_rows=RING_BLOCKS)
     schema = T.StructType([f for f in wide.schema.fields if f.name != "_rings"])
 
     def run(batches):

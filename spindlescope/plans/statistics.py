@@ -191,7 +191,18 @@ def undersample_ratio(spark, sf_dir):
     return rp.class_counts(sp.undersample(fx.labelled_days(spark, sf_dir), 0.5))
 
 
-@query("smote")
+_SMOTE = """, m AS (SELECT vec_id, vec, COUNT(*) OVER () AS n, ROW_NUMBER() OVER (ORDER BY md5('42|' || vec_id)) AS place FROM v WHERE label = 0),
+  g AS (SELECT (SELECT COUNT(*) FROM v WHERE label <> 0) - (SELECT COUNT(*) FROM m) AS new_rows),
+  c AS (SELECT vec_id, vec, UNNEST(range(1, CAST(new_rows // n + CASE WHEN place <= new_rows % n THEN 1 ELSE 0 END + 1 AS BIGINT))) AS copy FROM m, g),
+  k AS (SELECT a.vec_id, b.vec_id AS neighbour, b.vec AS other, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.vec, b.vec), b.vec_id) AS rank
+    FROM m a JOIN m b ON a.vec_id <> b.vec_id)
+  SELECT c.vec_id AS parent, k.neighbour, CAST(c.copy AS INTEGER) AS copy, CAST(1 AS INTEGER) AS positive,
+    ROUND(c.vec[1] + ('0x' || substr(md5('42-step|' || c.vec_id || '|' || c.copy), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (k.other[1] - c.vec[1]), 6) AS first_value
+  FROM c JOIN k ON k.vec_id = c.vec_id
+    AND k.rank = ('0x' || substr(md5('42-neighbour|' || c.vec_id || '|' || c.copy), 1, 8))::BIGINT % 5 + 1"""
+
+
+@query("smote", _SMOTE, ("v",))
 def smote(spark, sf_dir):
     made = sp.smote(fx.vectors(spark, sf_dir), label="positive")
     return made.select("parent", "neighbour", "copy", "positive", F.round(F.col("vec")[0], 6).alias("first_value"))
@@ -216,7 +227,11 @@ def time_slices(spark, sf_dir):
     return sp.time_slices(fx.drive_day(spark, sf_dir)).select("serial_number", "date", "slice")
 
 
-@query("time_smote")
+@query("time_smote", """, e AS (SELECT """ + ", ".join(f"QUANTILE_CONT(vec_id, {i / 5}) AS e{i}" for i in range(1, 5)) + """ FROM v),
+  s AS (SELECT CAST(label = 0 AS INTEGER) AS positive, """ + " + ".join(f"CASE WHEN vec_id >= e{i} THEN 1 ELSE 0 END" for i in range(1, 5)) + """ AS slice FROM v, e),
+  n AS (SELECT positive, COUNT(*) AS n FROM s GROUP BY 1)
+  SELECT slice, positive, CAST(ANY_VALUE(((SELECT MAX(n) FROM n) - n.n) // 2) AS BIGINT) AS made FROM s JOIN n USING (positive)
+  GROUP BY 1, 2 HAVING COUNT(*) > 3 AND made > 0""", ("v",))
 def time_smote(spark, sf_dir):
     v = fx.vectors(spark, sf_dir).withColumn("day", F.col("vec_id").cast("double"))
     made = sp.time_smote(v, "day", k=3, n_slices=5, label="positive")
@@ -233,7 +248,7 @@ def sample_rows(spark, sf_dir):
     return rp.sample_rows(fx.drive_day(spark, sf_dir), 1000, ["serial_number", "date"]).select("serial_number", "date", "smart_9_raw")
 
 
-@query("shuffle")
+@query("shuffle", "SELECT serial_number, date FROM drive_day", dates=("date",))
 def shuffle(spark, sf_dir):
     return sp.shuffle(fx.drive_day(spark, sf_dir)).select("serial_number", "date")
 

@@ -266,13 +266,13 @@ def min_max_scale_train(spark, sf_dir):
 _SMOOTH = """, n AS (SELECT serial_number, date, smart_9_raw AS x, ROW_NUMBER() OVER (PARTITION BY serial_number ORDER BY date) AS i FROM drive_day),
   s AS (SELECT serial_number, date, i, x, {start} AS f FROM n {join} WHERE i = 1
     UNION ALL SELECT n.serial_number, n.date, n.i, n.x, 0.3 * s.x + 0.7 * s.f FROM s JOIN n ON n.serial_number = s.serial_number AND n.i = s.i + 1)
-  SELECT serial_number, date, ROUND(f, 6) AS smart_9_raw FROM s"""
+  SELECT serial_number, date, ROUND(f, 4) AS smart_9_raw FROM s"""
 
 
 @query("exp_smooth", _SMOOTH.format(start="CAST(x AS DOUBLE)", join=""), dates=("date",))
 def exp_smooth(spark, sf_dir):
     days = fx.drive_day(spark, sf_dir).select("serial_number", "date", "smart_9_raw")
-    return rounded(sc.exp_smooth(days, ["smart_9_raw"], 0.3))
+    return rounded(sc.exp_smooth(days, ["smart_9_raw"], 0.3), 4)
 
 
 _FIT = """, z0 AS (SELECT serial_number, date, smart_9_raw AS x, ROW_NUMBER() OVER (PARTITION BY serial_number ORDER BY date) AS i FROM drive_day),
@@ -284,7 +284,7 @@ _FIT = """, z0 AS (SELECT serial_number, date, smart_9_raw AS x, ROW_NUMBER() OV
 @query("exp_smooth_least_squares", _FIT + _SMOOTH.format(start="start", join="JOIN l0 USING (serial_number)"), dates=("date",))
 def exp_smooth_least_squares(spark, sf_dir):
     days = fx.drive_day(spark, sf_dir).select("serial_number", "date", "smart_9_raw")
-    return rounded(sc.exp_smooth(days, ["smart_9_raw"], 0.3, "least_squares"))
+    return rounded(sc.exp_smooth(days, ["smart_9_raw"], 0.3, "least_squares"), 4)
 
 
 @query("window_range_join", """, p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY serial_number ORDER BY date) AS position FROM drive_day)
