@@ -161,7 +161,7 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     schema = "tree int, feature array<int>, cut array<double>, path array<double>"
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
         x = np.vstack([np.asarray(v, dtype=float) for v in pdf["_v"]])
         rng = np.random.default_rng([seed, int(key[0])])

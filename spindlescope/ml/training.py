@@ -127,7 +127,7 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, learner: str, params:
     model = Pipeline(stages=[estimator]).fit(train)
     predicted = model.transform(test.withColumn("label", F.col("label").cast("double")))
     report = mt.report_metrics(predicted).first().asDict()
-    report["auc_score"] = mt.auc_score(predicted)
+    report["auc_score"] = mt.auc_score(predicted) if model.stages[-1].numClasses == 2 else None
     return Trained(model, chosen, cv, report, predicted)
 
 

@@ -69,6 +69,48 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared Euclidean distances by one matrix product, and a bound on their rounding error."""
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    slack = 1e-11 * (float(na.max(initial=0.0)) + float(nb.max(initial=0.0))) + 1e-300
+    return na[:, None] + nb[None, :] - 2.0 * (a @ b.T), slack
+
+
+def _pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distances of chosen pairs."""
+    out = np.empty(len(i))
+    step = max(1, 4_000_000 // a.shape[1])
+    for k in range(0, len(i), step):
+        gap = a[i[k:k + step]] - b[j[k:k + step]]
+        out[k:k + step] = np.sqrt((gap * gap).sum(axis=1))
+    return out
+
+
+def _closest(a: np.ndarray, b: np.ndarray, m: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of every pair that can be among the ``m`` closest of its row, ties included."""
+    if metric == "euclidean":
+        value, slack = _rough_squares(a, b)
+    else:
+        value, slack = _distances(a, b, metric), 0.0
+    if m < value.shape[1]:
+        limit = np.partition(value, m - 1, axis=1)[:, m - 1:m]
+        i, j = np.nonzero(value <= limit + 2 * slack)
+    else:
+        i, j = np.divmod(np.arange(value.size), value.shape[1])
+    return i, j, _pair_distances(a, b, i, j) if metric == "euclidean" else value[i, j]
+
+
+def _within(a: np.ndarray, b: np.ndarray, eps: float, metric: str) -> np.ndarray:
+    """Which pairs are at most ``eps`` apart; pairs too near the limit for rough numbers are redone exactly."""
+    if metric != "euclidean":
+        return _distances(a, b, metric) <= eps
+    value, slack = _rough_squares(a, b)
+    close = value <= eps * eps
+    i, j = np.nonzero(np.abs(value - eps * eps) <= 2 * slack)
+    close[i, j] = _pair_distances(a, b, i, j) <= eps
+    return close
+
+
 def choose_pivots(distinct: DataFrame, rows: int) -> np.ndarray:
     """Up to ``MAX_PIVOTS`` distinct vectors in hash order; one per ``CHUNK`` rows."""
     count = max(1, min(MAX_PIVOTS, -(-rows // CHUNK)))
@@ -140,18 +182,19 @@ def _nearest(m: int, columns: list[str], metric: str) -> Callable:
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        first = np.array([ids[0] for ids in right["_ids"]])
-        gaps = _distances(_matrix(left["_v"]), _matrix(right["_v"]), metric)
-        spots, far, who = [], [], []
-        for i, row in enumerate(gaps):
-            limit = np.partition(row, m - 1)[m - 1] if m < len(row) else np.inf
-            near = np.flatnonzero(row <= limit)
-            near = near[np.lexsort((first[near], row[near]))][:m]
-            best = sorted((row[j], nid) for j in near for nid in right["_ids"].iat[j])[:m]
-            spots += [i] * len(best)
-            far += [d for d, _ in best]
-            who += [nid for _, nid in best]
-        return pd.DataFrame({"_w": left["_w"].to_numpy()[spots], "_key": left["_key"].to_numpy()[spots], "_dist": far, "_nid": who})
+        i, j, far = _closest(_matrix(left["_v"]), _matrix(right["_v"]), m, metric)
+        copies = right["_ids"].map(len).to_numpy()
+        ids = np.concatenate([np.asarray(x) for x in right["_ids"]])
+        start = np.concatenate([[0], np.cumsum(copies)[:-1]])
+        pair = np.repeat(np.arange(len(i)), copies[j])
+        inner = np.arange(len(pair)) - np.repeat(np.cumsum(copies[j]) - copies[j], copies[j])
+        who, rows, far = ids[start[j[pair]] + inner], i[pair], far[pair]
+        order = np.lexsort((who, far, rows))
+        who, rows, far = who[order], rows[order], far[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < m
+        return pd.DataFrame({"_w": left["_w"].to_numpy()[rows[keep]], "_key": left["_key"].to_numpy()[rows[keep]],
+                             "_dist": far[keep], "_nid": who[keep]})
 
     return compare
 
@@ -223,7 +266,7 @@ class Neighbourhood:
         def compare(left, right):
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["_key", "_weight"])
-            close = _distances(_matrix(left["_v"]), _matrix(right["_v"]), metric) <= eps
+            close = _within(_matrix(left["_v"]), _matrix(right["_v"]), eps, metric)
             return pd.DataFrame({"_key": left["_key"].to_numpy(), "_weight": close @ right["_copies"].to_numpy()})
 
         counted = self._meet_within(self.points, self.points, compare, schema)
@@ -240,7 +283,7 @@ class Neighbourhood:
         def compare(left, right):
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["_a", "_b"])
-            close = _distances(_matrix(left["_v"]), _matrix(right["_v"]), metric) <= eps
+            close = _within(_matrix(left["_v"]), _matrix(right["_v"]), eps, metric)
             lk, rk = left["_key"].to_numpy(), right["_key"].to_numpy()
             edges, seen_l, seen_r = [], np.zeros(len(lk), bool), np.zeros(len(rk), bool)
             for start in range(len(lk)):
@@ -270,7 +313,7 @@ class Neighbourhood:
         def compare(left, right):
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["_key", "_near"])
-            i, j = np.nonzero(_distances(_matrix(left["_v"]), _matrix(right["_v"]), metric) <= eps)
+            i, j = np.nonzero(_within(_matrix(left["_v"]), _matrix(right["_v"]), eps, metric))
             return pd.DataFrame({"_key": left["_key"].to_numpy()[i], "_near": right["_key"].to_numpy()[j]})
 
         return self._meet_within(left, right, compare, schema)

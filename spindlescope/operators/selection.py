@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spindlescope.config import CORE
 from spindlescope.functions.names import split_list, vendor_of
@@ -125,12 +124,13 @@ def apply_feature_weights(df: DataFrame, weights: dict[str, float]) -> DataFrame
 
 
 def drop_all_null_drives(df: DataFrame, features: list[str]) -> DataFrame:
-    """Remove drives for which some feature is never filled."""
-    by_drive = Window.partitionBy("serial_number")
-    seen = F.lit(True)
-    for c in features:
-        seen = seen & (F.count(F.col(c)).over(by_drive) > 0)
-    return df.withColumn("_seen", seen).filter("_seen").drop("_seen")
+    """Remove drives for which some feature is never filled.
+
+    Counts are partial before the shuffle, so no drive's rows have to meet to be judged.
+    """
+    counts = df.groupBy("serial_number").agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(features)])
+    whole = counts.filter(" AND ".join(f"n{i} > 0" for i in range(len(features))))
+    return df.join(whole.select("serial_number"), "serial_number", "left_semi")
 
 
 def require_keys(df: DataFrame, cols=("date", "serial_number", "capacity_bytes")) -> DataFrame:
