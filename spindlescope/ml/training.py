@@ -66,7 +66,7 @@ def search(rows: DataFrame, learner: str, combos: list[dict], width: int, count:
     Combinations that only differ in Spark parameters share one cross-validator, which runs them
     in parallel; the others (C, penalty, layers) take one each.
     """
-    folded = cut_lineage(sp.stratified_kfold(rows, folds, "label", keys, seed, "_fold3"))
+    folded = sp.stratified_kfold(rows, folds, "label", keys, seed, "_fold3")
     groups: dict[str, list[dict]] = {}
     special = ("C", "penalty", "hidden")
     for c in combos:
@@ -100,7 +100,8 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, learner: str, params:
     """Search, cross-validate, fit on all training rows, predict the test rows and report.
 
     Frames hold ``vector``, 0/1 ``label`` and ``keys``. ``method`` is ``grid``, ``randomized`` or None;
-    one fit uses all rows. The training rows are stored once, since every stage reads them again.
+    one fit uses all rows. Training rows are stored once, since every stage reads them again, and so are
+    the predictions, without their vectors; folds are a column computed on the stored rows.
     """
     keys = list(keys)
     weight_col = None
@@ -122,10 +123,11 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, learner: str, params:
     estimator = ln.build(learner, chosen, width, count, seed, weight_col)
     cv = None
     if folds:
-        folded = cut_lineage(sp.stratified_kfold(train, folds, "label", keys, seed, "_fold5"))
+        folded = sp.stratified_kfold(train, folds, "label", keys, seed, "_fold5")
         cv = float(_cross_validate(estimator, [], folded, folds, accuracy_judge(), "_fold5", parallelism)[0])
     model = Pipeline(stages=[estimator]).fit(train)
-    predicted = model.transform(test.withColumn("label", F.col("label").cast("double")))
+    scored = model.transform(test.withColumn("label", F.col("label").cast("double")))
+    predicted = cut_lineage(scored.select(*keys, "label", "prediction", "rawPrediction"))
     report = mt.report_metrics(predicted).first().asDict()
     report["auc_score"] = mt.auc_score(predicted) if model.stages[-1].numClasses == 2 else None
     return Trained(model, chosen, cv, report, predicted)
@@ -202,7 +204,7 @@ def vectors_of(windows: DataFrame, cfg: RunConfig, pca: list | None = None) -> D
 
 def prepare(df: DataFrame, cfg: RunConfig) -> tuple[DataFrame, list[str], dict, dict]:
     """Labelled windows with ``is_test``, the columns used, their training ranges and weights."""
-    labelled = clean_and_label(df, cfg)
+    labelled = cut_lineage(clean_and_label(df, cfg))
     cols, weights = choose_columns(labelled, cfg)
     days = labelled.select("serial_number", "date", "model", "failure", "predict_val", "validate_val", *cols)
     if cfg.interpolate:
@@ -215,7 +217,8 @@ def prepare(df: DataFrame, cfg: RunConfig) -> tuple[DataFrame, list[str], dict,
 def _sides(samples: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
     """Training and test vectors; only the training side is balanced."""
     train = samples.filter("NOT is_test")
-    test = samples.filter("is_test").select("serial_number", "date", "vector", F.col("window_label").alias("label"))
+    test = samples.filter("is_test").select(
+        F.concat_ws("|", "serial_number", "date").alias("vec_id"), "vector", F.col("window_label").alias("label"))
     rows = train.select(F.concat_ws("|", "serial_number", "date").alias("vec_id"), vector_to_array("vector").alias("vec"),
                         F.col("window_label").alias("label"))
     if cfg.over_ratio is not None or cfg.under_ratio is not None:
@@ -224,9 +227,12 @@ def _sides(samples: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
 
 
 def fit_run(df: DataFrame, cfg: RunConfig, params: dict | None = None, grid: dict | None = None, folds: int | None = None) -> Run:
-    """Clean, label, choose, fill, split, scale, window, balance, fit and evaluate under one configuration."""
+    """Clean, label, choose, fill, split, scale, window, balance, fit and evaluate under one configuration.
+
+    Windows are ``window`` times the size of the days, so they are rebuilt from the stored days and
+    not stored themselves; balancing reads only their keys and labels.
+    """
     windows, cols, ranges, weights = prepare(df, cfg)
-    windows = cut_lineage(windows)
     pca = ft.fit_window_pca(windows.filter("NOT is_test"), len(cols), cfg.pca_components) if cfg.extract == "PCA" else None
     train, test = _sides(vectors_of(windows, cfg, pca), cfg)
     done = train_and_evaluate(train, test, cfg.learner, params, grid, cfg.search, cfg.n_iter, folds, cfg.seed, ["vec_id"])

@@ -116,7 +116,7 @@ def interpolate(df: DataFrame, method: str = "linear", labels=LABELS) -> DataFra
     """
     if method not in ("linear", "time"):
         raise ValueError(f"unknown interpolation method: {method}")
-    marks, new = {}, {}
+    marks, new, rounded = {}, {}, {}
     for field in df.schema:
         c = field.name
         if c in ("serial_number", "date"):
@@ -127,8 +127,11 @@ def interpolate(df: DataFrame, method: str = "linear", labels=LABELS) -> DataFra
             new[c] = F.coalesce(F.col(f"_p_{c}"), F.col(f"_n_{c}"))
             continue
         marks.update(_marks(c))
-        new[c] = F.bround(snap_to_zero(_between(c)), 0).cast(field.dataType) if c in labels else _between(c)
-    return daily_spine(df).withColumns(marks).withColumns(new).select(*df.columns)
+        new[c] = _between(c)
+        if c in labels:
+            rounded[c] = F.bround(snap_to_zero(F.col(c)), 0).cast(field.dataType)
+    filled = daily_spine(df).withColumns(marks).withColumns(new)
+    return (filled.withColumns(rounded) if rounded else filled).select(*df.columns)
 
 
 def interpolation_report(df: DataFrame) -> DataFrame:
