@@ -252,11 +252,13 @@ class Neighbourhood:
         points = cut_lineage(_distinct(self.rows))
         self.pivots = choose_pivots(points, points.count())
         self.points = cut_lineage(_assign(points, self.pivots, metric))
-        self.cells = self.points.groupBy("_w", "_cell").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+        cells = self.points.groupBy("_w", "_cell").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+        probes = self.points.withColumn("_reach", F.lit(float(eps)))
+        self.visits = cut_lineage(_visit(probes, cells, self.pivots, "_reach", own=True, metric=metric))
 
     def _meet_within(self, left: DataFrame, right: DataFrame, compare: Callable, schema: T.StructType) -> DataFrame:
-        probes = left.withColumn("_reach", F.lit(float(self.eps)))
-        return _meet(_visit(probes, self.cells, self.pivots, "_reach", own=True, metric=self.metric), right, compare, schema)
+        """Chunks of the cells that ``left`` vectors visit against the ``right`` vectors living there."""
+        return _meet(self.visits.join(left.select("_key"), "_key", "left_semi"), right, compare, schema)
 
     def weights(self) -> DataFrame:
         """Rows within ``eps`` of each distinct vector, itself included: (_key, _weight)."""
