@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from spindlescope.operators.neighbours import Neighbourhood, knn_join
 from spindlescope.operators.ordering import exact_quantiles, row_hash
-from spindlescope.session import cut_lineage
+from spindlescope.session import cut_lineage, lookup_join
 
 POOL_ROWS = 16_384
 
@@ -75,7 +75,7 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: str =
     placed = roots.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
     rows = space.rows.select(id_col, "_key").join(placed, "_key", "left")
     first = rows.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(id_col).alias("cluster"))
-    return rows.join(first, "_root", "left").select(
+    return lookup_join(rows, first, ["_root"], "left").select(
         id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
