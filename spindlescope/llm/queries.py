@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import url_filter
+from spindlescope.llm import url_filter, warc
 
 QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLES = {
     "op5_url_filter": url_filter.SQL,
+    "op9_warc": warc.SQL,
 }
