@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import url_filter, warc
+from spindlescope.llm import quality, url_filter, warc
 
 QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op9_warc": warc.op9_warc,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
