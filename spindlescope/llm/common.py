@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlescope.session import ensure_checkpoint_dir
@@ -85,20 +84,6 @@ def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def batches(frames: Iterator, units: int, count) -> Iterator[list[tuple]]:
-    """Rows of pandas frames as lists of tuples with at most about ``units`` by ``count`` each."""
-    for frame in frames:
-        rows, total = [], 0
-        for row in frame.itertuples(index=False, name=None):
-            rows.append(row)
-            total += count(row)
-            if total >= units:
-                yield rows
-                rows, total = [], 0
-        if rows:
-            yield rows
-
-
 def bitmap(hashes: DataFrame, column: str, log2: int = BITMAP_LOG2) -> bytes:
     """A bit for the low ``log2`` bits of every hash. Its size is fixed: 2**log2 / 8 bytes on the driver."""
     bit = F.col(column).bitwiseAND(F.lit((1 << log2) - 1))
@@ -117,14 +102,22 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(h >> np.uint64(5)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def with_value(docs: DataFrame, column: str) -> DataFrame:
-    """Rows that have a value in ``column``."""
-    return docs.where(F.col(column).isNotNull())
-
-
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blank_to_empty(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def spread(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", parts: int = 8) -> DataFrame:
+    """Join ``small`` (one row per ``key``) to ``big``, splitting every key by a hash of ``by`` into ``parts`` parts."""
+    salted = big.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    copies = small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return salted.join(copies, [key, "__part"], how).drop("__part")
+
+
+def pass_through(fn, columns: tuple[str, ...]):
+    """A mapInArrow function: ``columns`` go through as they are, ``fn(texts)`` gives the further columns as a dict of arrays."""
+    def run(batches_in):
+        for batch in batches_in:
+            extra = fn(batch.column("text").to_pylist())
+            arrays = [batch.column(c) for c in columns] + [v if isinstance(v, pa.Array) else pa.array(v) for v in extra.values()]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, *extra])
+    return run

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import quality, url_filter, warc
+from spindlescope.llm import minhash, quality, url_filter, warc
 
 QUERIES = {
+    "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
+    "op4_minhash_near_dedup": minhash.SQL,
     "op5_url_filter": url_filter.SQL,
     "op9_warc": warc.SQL,
 }
