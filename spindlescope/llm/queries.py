@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import fuzzy_lines, minhash, quality, url_filter, warc
+from spindlescope.llm import decontaminate, fuzzy_lines, minhash, quality, url_filter, warc
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_spaced_seed_decontamination": decontaminate.op6_spaced_seed_decontamination,
     "op7_fuzzy_line_dedup": fuzzy_lines.op7_fuzzy_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
