@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import decontaminate, fuzzy_lines, minhash, quality, url_filter, warc
+from spindlescope.llm import decontaminate, fuzzy_lines, minhash, quality, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_spaced_seed_decontamination": decontaminate.op6_spaced_seed_decontamination,
