@@ -21,8 +21,8 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 16, 12
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
 #: Rows that the classifier is fitted on at most, by a hash of their id; among them texts of up to TRAIN_BYTES bytes.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1500, 3500, 8000
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 7
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 2000, 3000
+EPOCHS, BATCH, RATE, SEED = 4, 32, 0.01, 7
 SHARP = 2.0
 #: Words whose inputs a task keeps, and words per numpy call.
 KEPT_WORDS, CHUNK_WORDS = 150_000, 60_000
