@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import decontaminate, fuzzy_lines, minhash, quality, toxicity, url_filter, warc
+from spindlescope.llm import decontaminate, fuzzy_lines, minhash, quality, sampled_pieces, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_spaced_seed_decontamination": decontaminate.op6_spaced_seed_decontamination,
     "op7_fuzzy_line_dedup": fuzzy_lines.op7_fuzzy_line_dedup,
+    "op8_sampled_segmentations": sampled_pieces.op8_sampled_segmentations,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }

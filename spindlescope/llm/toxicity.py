@@ -22,7 +22,8 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
 #: Rows that the classifier is fitted on at most, by a hash of their id; among them texts of up to TRAIN_BYTES bytes.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 2000, 3000
-EPOCHS, BATCH, RATE, SEED = 4, 32, 0.01, 7
+#: Updates, whatever the sample's size: a small one is gone through more often.
+STEPS, BATCH, RATE, SEED = 400, 32, 0.01, 7
 SHARP = 2.0
 #: Words whose inputs a task keeps, and words per numpy call.
 KEPT_WORDS, CHUNK_WORDS = 150_000, 60_000
@@ -191,7 +192,7 @@ def laid_out(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(mask, start[None, :] + step, 0), mask.astype(np.float32), text_of
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
+def train(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Fit the network to whole texts and their labels. Without toxic examples it answers "not toxic"."""
     rng = np.random.default_rng(seed)
     p = initial(rng)
@@ -199,25 +200,24 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
         p["out"][:], p["bias"][:] = 0, -5
         return p
     found, y = [tokens(t) for t in texts], np.array(labels, np.float64)
-    m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    total = epochs * -(-len(found) // BATCH)
-    for _ in range(epochs):
-        order = rng.permutation(len(found))
-        for a in range(0, len(order), BATCH):
-            rows = order[a:a + BATCH]
-            flat = [w for i in rows for w in found[i]] or [b""]
-            names = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-            at, mask, text_of = laid_out(np.array([len(found[i]) for i in rows]))
-            ids = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat))[at]
-            _, g = gradients(p, ids, mask, text_of, y[rows], *word_inputs(list(names)))
-            step += 1
-            norm = np.sqrt(sum(float((v.astype(np.float64) ** 2).sum()) for v in g.values()))
-            clip, rate = np.float32(min(1.0, 1.0 / (norm + 1e-9))), RATE * (1 - 0.9 * step / total)
-            for k, v in g.items():
-                v = v * clip
-                m1[k] = np.float32(0.9) * m1[k] + np.float32(0.1) * v
-                m2[k] = np.float32(0.99) * m2[k] + np.float32(0.01) * v * v
-                p[k] = p[k] - np.float32(rate) * (m1[k] / np.float32(1 - 0.9 ** step)) / (np.sqrt(m2[k] / np.float32(1 - 0.99 ** step)) + np.float32(1e-6))
+    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    queue = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(queue) < BATCH:
+            queue = np.concatenate([queue, rng.permutation(len(found))])
+        rows, queue = queue[:BATCH], queue[BATCH:]
+        flat = [w for i in rows for w in found[i]] or [b""]
+        names = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        at, mask, text_of = laid_out(np.array([len(found[i]) for i in rows]))
+        ids = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat))[at]
+        _, g = gradients(p, ids, mask, text_of, y[rows], *word_inputs(list(names)))
+        norm = np.sqrt(sum(float((v.astype(np.float64) ** 2).sum()) for v in g.values()))
+        clip, rate = np.float32(min(1.0, 1.0 / (norm + 1e-9))), RATE * (1 - 0.9 * step / steps)
+        for k, v in g.items():
+            v = v * clip
+            m1[k] = np.float32(0.9) * m1[k] + np.float32(0.1) * v
+            m2[k] = np.float32(0.99) * m2[k] + np.float32(0.01) * v * v
+            p[k] = p[k] - np.float32(rate) * (m1[k] / np.float32(1 - 0.9 ** step)) / (np.sqrt(m2[k] / np.float32(1 - 0.99 ** step)) + np.float32(1e-6))
     return p
 
 
@@ -308,6 +308,18 @@ def score_texts(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose text scores below ``threshold``; all columns stay, whatever their names, and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            scores = scorer.scores(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array(scores < threshold))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's score by a network fitted to the labelled rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
