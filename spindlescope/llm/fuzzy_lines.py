@@ -157,14 +157,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     lines = stage(line_table(docs))
-    classes = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("note"))
+    classes = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"))
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()))
 
     @F.pandas_udf("array<long>")
     def keys(sims: pd.Series) -> pd.Series:
         return pd.Series(list(block_keys(sims.to_numpy(np.int64).view(np.uint64)).view(np.int64)))
 
-    members = stage(classes.select(F.explode(keys("note")).alias("bucket"), "id", "note"))
+    members = stage(classes.select(F.explode(keys("sim")).alias("bucket"), "id"))
 
     def near(x, y):
         return F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS
@@ -183,7 +183,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    roots = linked_groups(members, verify, near)
+    roots = linked_groups(members, classes.select("id", F.col("sim").alias("note")), verify, near)
     grouped = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # a group of classes may be large: its first occurrence comes from partial minima and goes back in parts
     first = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindlescope.llm.common import attach, spread, stage
+from spindlescope.llm.common import spread, stage
 
 #: Pivot rounds at most before all pairs that are still open inside a bucket are compared.
 PIVOT_ROUNDS = 4
-#: Open pairs per member of an open bucket above which one more pivot round is worth its while.
-OPEN_PAIRS = 16
+#: Open pairs per member of an open bucket above which one more pivot round comes first. Comparing costs little: only
+#: pairs that pass the cheap test become rows.
+OPEN_PAIRS = 256
+PARTS = 8
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = attach(both.where("v > u"), least, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = spread(both.where("v > u"), least, "u", "v", parts=PARTS).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u != v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = attach(large, least, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        hung = spread(large, least, "u", "v", parts=PARTS).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         e = stage(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(e)
         if state == before:
@@ -42,47 +44,55 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct())
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]) -> DataFrame:
+def _pairs(met: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    return met.where(near(F.col("note"), F.col("pnote"))).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+
+
+def linked_groups(members: DataFrame, notes: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column],
+                  sharpen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of all links inside buckets, without building all pairs of a bucket.
 
-    ``members``: bucket, id, note (stored). ``near(note, note)``: cheap test that every link passes. ``verify``: pairs (a, b)
-    to the linked ones among them. Each bucket first compares its members with one pivot. What that links needs no
-    further comparison; a bucket whose members are still in several components takes another pivot by a hash, and at
-    last compares all its pairs of different components. No link between two components is lost: any pair that shares a
-    bucket is either verified or already connected. Returns (id, root) for ids with a link.
+    ``members``: bucket, id; ``notes``: id, note (both stored). ``near(note, note)``: cheap test that links pass.
+    ``verify``: pairs (a, b) to the linked ones among them. Each bucket first compares its members with one pivot. What
+    that links needs no further comparison; while a bucket's members are in many components it takes another pivot by a hash,
+    then its members of different components are compared, part by part. No link between two components is lost: any
+    pair that shares a bucket and passes ``near`` is either verified or already connected. ``sharpen``: the ids (id) of all
+    open buckets to better notes (id, note) for them; an id it leaves out has no link to another of them. Returns (id, root)
+    for ids with a link.
     """
-    multi = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.min_by("note", "id").alias("pnote"), F.count("*").alias("c")).where("c > 1")
-    shared = stage(spread(members, multi.drop("c"), "bucket", "id"))
-    pairs = stage(shared.where((F.col("id") != F.col("pivot")) & near(F.col("note"), F.col("pnote")))
-                  .select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
-    links = stage(verify(pairs))
-    roots = components(links)
-    rows = shared.select("bucket", "id", "note")
-    for turn in range(PIVOT_ROUNDS + 1):
-        named = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        still = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("r")).where("r > 1")
-        rows = stage(spread(named, still.select("bucket"), "bucket", "id"))
-        left = still.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("open"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            return roots
-        last = turn == PIVOT_ROUNDS or left["open"] <= OPEN_PAIRS * left["n"]
+    multi = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    rows = stage(spread(members, multi, "bucket", "id", parts=PARTS).join(notes, "id").select("bucket", "id", "note", F.col("id").alias("root")))
+    done, roots, turn = None, None, 0
+    while True:
+        if roots is None:
+            pick, last = F.min(F.struct("id", "note", "root")), False
+        else:
+            named = rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+            still = stage(sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("r")).where("r > 1"))
+            left = still.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("open"), F.sum("n").alias("n")).first()
+            if not left["n"]:
+                return roots
+            rows = stage(spread(named, still.select("bucket"), "bucket", "id", parts=PARTS))
+            if sharpen and turn == 1:
+                rows = stage(rows.drop("note").join(stage(sharpen(rows.select("id").distinct())), "id"))
+            last = turn > PIVOT_ROUNDS or left["open"] <= OPEN_PAIRS * left["n"]
+            pick = F.min_by(F.struct("id", "note", "root"), F.xxhash64("id", "bucket", F.lit(turn)))
         if last:
             other = rows.select("bucket", *[F.col(c).alias(f"p{c}") for c in ("id", "note", "root")],
-                                F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"))
-            met = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).join(other, ["bucket", "part"]).where("root < proot")
+                                F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+            met = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(other, ["bucket", "part"]).where("root < proot")
         else:
-            pick = F.min_by(F.struct("id", "note", "root"), F.xxhash64("id", "bucket", F.lit(turn))).alias("p")
-            pivots = rows.groupBy("bucket").agg(pick).select("bucket", F.col("p.id").alias("pid"), F.col("p.note").alias("pnote"), F.col("p.root").alias("proot"))
-            met = spread(rows, pivots, "bucket", "id").where("root != proot")
-        fresh = met.where(near(F.col("note"), F.col("pnote"))).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        fresh = stage(fresh.join(pairs, ["a", "b"], "left_anti"))
-        pairs = pairs.unionByName(fresh)
+            pivots = rows.groupBy("bucket").agg(pick.alias("p")).select("bucket", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("id", "note", "root")])
+            met = spread(rows, pivots, "bucket", "id", parts=PARTS).where("root != proot")
+        fresh = _pairs(met, near)
+        fresh = stage(fresh if done is None else fresh.join(done, ["a", "b"], "left_anti"))
+        done = fresh if done is None else done.unionByName(fresh)
         found = stage(verify(fresh))
-        if found.limit(1).count():
-            links = links.unionByName(found)
+        if roots is None:
+            roots = components(found)
+        elif found.limit(1).count():
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found))
         if last:
             return roots
-        rows = rows.select("bucket", "id", "note")
-    return roots
+        turn += 1

@@ -52,6 +52,18 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a 64-bit number."""
+    nibbles = (signature & np.uint32(15)).astype(np.uint64).reshape(len(signature), -1, 16)
+    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def least_agreement(coordinates: int, percent: int) -> int:
+    """Equal four-bit coordinates that a pair at the threshold has, less five standard deviations: it has fewer 3 times in ten million."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(coordinates * p - 5 * (coordinates * p * (1 - p)) ** 0.5)
+
+
 def shingle_sets(texts: list[str | None], n: int, known: WordHashes) -> list[np.ndarray]:
     """Sorted distinct hashes of the n-word shingles of each text."""
     return [np.unique(shingle_hashes(known.of(words(t, lower=True)), n)) for t in texts]
@@ -64,7 +76,7 @@ def _describe(n: int, bands: int, rows: int):
         sets = shingle_sets(texts, n, known)
         sizes = np.array([len(s) for s in sets], np.int64)
         prints = [s.sum(dtype=np.uint64).tobytes() + mix(s).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little") for s in sets]
-        keys = np.zeros((len(sets), bands), np.uint64)
+        keys, brief = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), bands * rows // 16), np.uint64)
         full = np.flatnonzero(sizes)
         at = 0
         while at < len(full):
@@ -75,11 +87,12 @@ def _describe(n: int, bands: int, rows: int):
             rows_here = full[at:end]
             starts = np.concatenate([[0], np.cumsum(sizes[rows_here])[:-1]])
             signature = signatures(place(np.concatenate([sets[i] for i in rows_here])), starts, bands * rows)
-            keys[rows_here] = bands_of(signature, bands, rows)
+            keys[rows_here], brief[rows_here] = bands_of(signature, bands, rows), sketches(signature)
             at = end
-        offsets = np.arange(len(sets) + 1, dtype=np.int32) * bands
-        return {"n_shingles": sizes, "print": pa.array(prints, pa.binary()),
-                "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))}
+        def lists(matrix):
+            offsets = np.arange(len(sets) + 1, dtype=np.int32) * matrix.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.view(np.int64).ravel()))
+        return {"n_shingles": sizes, "print": pa.array(prints, pa.binary()), "bands": lists(keys), "sketch": lists(brief)}
     return of
 
 
@@ -89,7 +102,7 @@ def describe(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         yield from pass_through(_describe(shingle, bands, rows), ("doc_id",))(batches)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, print binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, print binary, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -116,19 +129,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     One row per row with an id: doc_id, n_shingles, component_id (smallest doc_id of its group), kept (it is that one).
     Equal sets are one class from the start; classes that share a band are linked if their full sets are similar
     enough (64-bit shingle hashes). A pair at the threshold shares a band with probability 1 - (1 - 0.8**4)**32, all but
-    5 in 100 million. Texts without words (null, empty) have an empty set and stand alone. Rows that share an id are one
+    5 in 100 million; before full sets travel, signatures must agree as far as such a pair does (all but 3 in 10 million). Texts without words (null, empty) have an empty set and stand alone. Rows that share an id are one
     document: each set it has links it. Rows without an id are left out, other columns left behind.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     told = stage(describe(docs, shingle, bands, rows))
-    classes = stage(told.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("note"), F.first("bands").alias("bands")))
-    members = stage(classes.select(F.explode("bands").alias("bucket"), "id", "note"))
+    classes = stage(told.where("n_shingles > 0").groupBy("print").agg(
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    members = stage(classes.select(F.explode("bands").alias("bucket"), "id").distinct())
     multi = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     ids = stage(members.join(multi, "bucket", "left_semi").select("id").distinct())
     sets = stage(full_sets(docs, ids, shingle).distinct())
+    longs = bands * rows // 16
+    notes = classes.select("id", F.struct("n", F.col("n").alias("c"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)]).alias("note"))
+    least = least_agreement(bands * rows, percent)
 
     def near(x, y):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+        other = F.lit(0)
+        for i in range(longs):
+            d = x[f"s{i}"].bitwiseXOR(y[f"s{i}"])
+            d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+            d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+            other = other + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+        # the common part of a linked pair is at least percent / (100 + percent) of both sizes together
+        common = F.least(x["c"], y["c"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
+        return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & common & (other <= bands * rows - least)
+
+    def sharpen(open_ids: DataFrame) -> DataFrame:
+        """Notes with c, how many shingles of a set some other open set has too: no common part is larger."""
+        flat = sets.join(open_ids, "id", "left_semi").select("id", F.explode("set").alias("g"))
+        own = flat.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("own"))
+        new = notes.join(open_ids, "id", "left_semi").join(own, "id", "left").withColumn("c", F.col("note.n") - F.coalesce("own", F.lit(0)))
+        return new.where(F.col("c") * 100 >= F.col("note.n") * percent).select("id", F.col("note").withField("c", F.col("c")).alias("note"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -138,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
         both = wide.join(left, ["a", "__salt"]).withColumn("i", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b").distinct()
 
-    roots = linked_groups(members, verify, near)
+    roots = linked_groups(members, notes, verify, near, sharpen)
     of_print = classes.select("print", "id").join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     named = attach(told.select("doc_id", "n_shingles", "print"), of_print, "print")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
