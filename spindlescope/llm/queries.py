@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import decontaminate, fuzzy_lines, minhash, page_text, quality, sampled_pieces, toxicity, url_filter, warc
+from spindlescope.llm import decontaminate, fuzzy_lines, minhash, page_text, quality, sampled_pieces, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_main_text": page_text.op3_main_text,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
