@@ -283,7 +283,10 @@ def _record_runs(shared_bits, parts: int, length: int):
         order = np.lexsort((anchor, tag, doc, right, rank))
         key = np.stack([rank[order], right[order]])
         first = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        gone, kept = order[~first], order[first]
+        kept = order[first]
+        leader = kept[np.cumsum(first) - 1]
+        itself = (doc[order] == doc[leader]) & (tag[order] == tag[leader]) & (anchor[order] == anchor[leader])
+        gone = order[~itself]  # equal rows of the table are one text: its own place is no repeat
         part = _parts_of(hashes[kept], parts)
         by = kept[np.argsort(part, kind="stable")]
         bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
@@ -325,7 +328,7 @@ def _settle(group: list, length: int, out: list) -> None:
     """Spans of one group of records with equal PREFIX bytes: (doc, tag, anchor, bytes to the right, record), in any order."""
     if len(group) < 2:
         return
-    group.sort(key=lambda x: x[:3])
+    group = sorted(set(group))  # equal rows of the table are one text
     texts: set = set()
     strings: set = set()
     for doc, tag, anchor, right, record in group:
