@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindlescope.session import ensure_checkpoint_dir
@@ -121,3 +122,16 @@ def pass_through(fn, columns: tuple[str, ...]):
             arrays = [batch.column(c) for c in columns] + [v if isinstance(v, pa.Array) else pa.array(v) for v in extra.values()]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, *extra])
     return run
+
+
+def may_be_in(listed: DataFrame, *columns: str) -> Column:
+    """Whether a row's ``columns`` may be among those of ``listed``: always for listed rows, seldom for others.
+
+    A bitmap of fixed size goes to the tasks, so rows that are surely not listed need no shuffle to a join.
+    """
+    bits = listed.sparkSession.sparkContext.broadcast(bitmap(listed.select(F.xxhash64(*columns).alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def look(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(np.frombuffer(bits.value, np.uint32), h.to_numpy(np.int64)))
+    return look(F.xxhash64(*columns))

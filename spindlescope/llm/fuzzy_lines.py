@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, mix, stage, table, utf8
+from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, may_be_in, mix, stage, table, utf8
 from spindlescope.llm.grouping import linked_groups
 
 #: Lines are linked if their 64-bit SimHashes differ in at most this many bits and their edit similarity reaches PERCENT.
@@ -164,7 +164,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     def keys(sims: pd.Series) -> pd.Series:
         return pd.Series(list(block_keys(sims.to_numpy(np.int64).view(np.uint64)).view(np.int64)))
 
-    members = stage(classes.select(F.explode(keys("sim")).alias("bucket"), "id"))
+    members = classes.select(F.explode(keys("sim")).alias("bucket"), "id")
 
     def near(x, y):
         return F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS
@@ -183,7 +183,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    roots = linked_groups(members, classes.select("id", F.col("sim").alias("note")), verify, near)
+    roots = linked_groups(members, classes.select("id", F.col("sim").alias("note")), near, lambda ids: (verify, None))
     grouped = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # a group of classes may be large: its first occurrence comes from partial minima and goes back in parts
     first = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
@@ -205,8 +205,11 @@ def drop_lines(docs: DataFrame, gone: DataFrame, column: str = "text") -> DataFr
 
     Adds __lines (lines with a word before) and __gone (lines cut).
     """
-    per_doc = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line")).alias("__cut"))
-    joined = docs.join(per_doc, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    per_doc = stage(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line")).alias("__cut")))
+    # texts that surely lose no line pass as they are read; only the others are shuffled to their cuts
+    touched = F.coalesce(may_be_in(per_doc.select(F.col("__id").alias("doc_id")), "doc_id"), F.lit(False))
+    joined = docs.where(touched).join(per_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id").unionByName(
+        docs.where(~touched).withColumn("__cut", F.lit(None).cast("array<int>")))
 
     @F.pandas_udf("text string, lines long, gone long")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindlescope.llm.common import spread, stage
+from spindlescope.llm.common import may_be_in, spread, stage
 
 #: Pivot rounds at most before all pairs that are still open inside a bucket are compared.
 PIVOT_ROUNDS = 4
@@ -48,20 +48,24 @@ def _pairs(met: DataFrame, near: Callable[[Column, Column], Column]) -> DataFram
     return met.where(near(F.col("note"), F.col("pnote"))).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
 
 
-def linked_groups(members: DataFrame, notes: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column],
-                  sharpen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_groups(members: DataFrame, notes: DataFrame, near: Callable[[Column, Column], Column],
+                  tests: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]]) -> DataFrame:
     """Components of all links inside buckets, without building all pairs of a bucket.
 
-    ``members``: bucket, id; ``notes``: id, note (both stored). ``near(note, note)``: cheap test that links pass.
-    ``verify``: pairs (a, b) to the linked ones among them. Each bucket first compares its members with one pivot. What
-    that links needs no further comparison; while a bucket's members are in many components it takes another pivot by a hash,
-    then its members of different components are compared, part by part. No link between two components is lost: any
-    pair that shares a bucket and passes ``near`` is either verified or already connected. ``sharpen``: the ids (id) of all
-    open buckets to better notes (id, note) for them; an id it leaves out has no link to another of them. Returns (id, root)
-    for ids with a link.
+    ``members``: bucket, id (read twice); ``notes``: id, note (stored). ``near(note, note)``: cheap test that links pass.
+    ``tests``: the ids (id) that share a bucket at all to (verify, sharpen). ``verify``: pairs (a, b) to the linked ones among
+    them. ``sharpen``, or None: the ids of all open buckets to better notes (id, note); an id it leaves out has no link to
+    another of them.
+
+    Each bucket first compares its members with one pivot. What that links needs no further comparison; while a bucket's
+    members are in many components it takes another pivot by a hash, then its members of different components are compared,
+    part by part. No link between two components is lost: any pair that shares a bucket and passes ``near`` is either verified
+    or already connected. Returns (id, root) for ids with a link.
     """
-    multi = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    rows = stage(spread(members, multi, "bucket", "id", parts=PARTS).join(notes, "id").select("bucket", "id", "note", F.col("id").alias("root")))
+    multi = stage(members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"))
+    shared = members.where(may_be_in(multi, "bucket"))
+    rows = stage(spread(shared, multi, "bucket", "id", parts=PARTS).join(notes, "id").select("bucket", "id", "note", F.col("id").alias("root")))
+    verify, sharpen = tests(stage(rows.select("id").distinct()))
     done, roots, turn = None, None, 0
     while True:
         if roots is None:

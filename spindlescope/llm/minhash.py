@@ -136,10 +136,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     told = stage(describe(docs, shingle, bands, rows))
     classes = stage(told.where("n_shingles > 0").groupBy("print").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    members = stage(classes.select(F.explode("bands").alias("bucket"), "id").distinct())
-    multi = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    ids = stage(members.join(multi, "bucket", "left_semi").select("id").distinct())
-    sets = stage(full_sets(docs, ids, shingle).distinct())
+    members = classes.select(F.explode("bands").alias("bucket"), "id")
     longs = bands * rows // 16
     notes = classes.select("id", F.struct("n", F.col("n").alias("c"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)]).alias("note"))
     least = least_agreement(bands * rows, percent)
@@ -155,22 +152,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
         common = F.least(x["c"], y["c"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
         return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & common & (other <= bands * rows - least)
 
-    def sharpen(open_ids: DataFrame) -> DataFrame:
-        """Notes with c, how many shingles of a set some other open set has too: no common part is larger."""
-        flat = sets.join(open_ids, "id", "left_semi").select("id", F.explode("set").alias("g"))
-        own = flat.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("own"))
-        new = notes.join(open_ids, "id", "left_semi").join(own, "id", "left").withColumn("c", F.col("note.n") - F.coalesce("own", F.lit(0)))
-        return new.where(F.col("c") * 100 >= F.col("note.n") * percent).select("id", F.col("note").withField("c", F.col("c")).alias("note"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        wide = wide.withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(64)))
-        left = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(64)).alias("__salt")).distinct().join(
-            sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        both = wide.join(left, ["a", "__salt"]).withColumn("i", F.size(F.array_intersect("x", "y")))
-        return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b").distinct()
-
-    roots = linked_groups(members, notes, verify, near, sharpen)
+    def tests(ids: DataFrame):
+        sets = stage(full_sets(docs, ids, shingle))
+
+        def sharpen(open_ids: DataFrame) -> DataFrame:
+            """Notes with c, how many shingles of a set some other open set has too: no common part is larger."""
+            flat = sets.join(open_ids, "id", "left_semi").select("id", F.explode("set").alias("g"))
+            own = flat.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("own"))
+            new = notes.join(open_ids, "id", "left_semi").join(own, "id", "left").withColumn("c", F.col("note.n") - F.coalesce("own", F.lit(0)))
+            return new.where(F.col("c") * 100 >= F.col("note.n") * percent).select("id", F.col("note").withField("c", F.col("c")).alias("note"))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+            wide = wide.withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(64)))
+            left = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(64)).alias("__salt")).distinct().join(
+                sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+            both = wide.join(left, ["a", "__salt"]).withColumn("i", F.size(F.array_intersect("x", "y")))
+            return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b").distinct()
+
+        return verify, sharpen
+
+    roots = linked_groups(members, notes, near, tests)
     of_print = classes.select("print", "id").join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     named = attach(told.select("doc_id", "n_shingles", "print"), of_print, "print")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
