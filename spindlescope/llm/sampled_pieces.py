@@ -29,7 +29,7 @@ from spindlescope.llm.common import mix, table
 #: Where the vocabulary lies if no path is given: the package of public tokenizers.
 MODEL = "piece_bpe_32k.model"
 SAMPLES, THETA, SEED = 2, 0.5, 11
-KEPT_SEGMENTS, CHUNK_SEGMENTS = 200_000, 50_000
+KEPT_SEGMENTS, CHUNK_SEGMENTS = 150_000, 30_000
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 _ALL = (1 << 64) - 1
 _STEP, _ROUND = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03
@@ -80,6 +80,8 @@ def segments(text: str) -> list[str]:
 
 
 _P = np.uint64(0x100000001B3)
+#: Small types: a task keeps about a hundred thousand lattices.
+_ARRAYS = {"first": np.int32, "size": np.int32, "lo": np.int32, "hi": np.int32, "prev": np.int32, "id_at": np.int32, "id_n": np.int32, "cum": np.float32, "log_c": np.float64}
 
 
 class Lattices(dict):
@@ -108,8 +110,8 @@ class Lattices(dict):
     def reset(self) -> None:
         self.clear()
         self.fresh: list[str] = []
-        i, f = np.empty(0, np.int64), np.empty(0)
-        self.first, self.size, self.lo, self.hi, self.prev, self.id_at, self.id_n, self.cum, self.log_c = i, i, i, i, i, i, i, f, f
+        for name, kind in _ARRAYS.items():
+            setattr(self, name, np.empty(0, kind))
         self.pool = np.arange(len(self.v.bytes_of), dtype=np.int32)  # a piece's ids are itself; those of unknown letters follow
         self.spelled: dict[int, int] = {}
 
@@ -177,7 +179,7 @@ class Lattices(dict):
         cum[hi[hi > lo] - 1] = 2.0
         nodes, edges = len(self.lo), len(self.prev)
         for name, new in (("first", node0 + nodes), ("size", size), ("lo", lo + edges), ("hi", hi + edges), ("prev", prev), ("id_at", id_at), ("id_n", id_n), ("cum", cum), ("log_c", log_c)):
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
+            setattr(self, name, np.concatenate([getattr(self, name), new.astype(_ARRAYS[name])]))
 
     def other_path(self, number: int, excluded: list[tuple[int, ...]], draw) -> tuple[int, ...] | None:
         """A random segmentation (edges from the end) that is none of ``excluded``; None if there is no other."""
@@ -213,12 +215,12 @@ def uniform(keys: np.ndarray) -> np.ndarray:
 def walk(lat: Lattices, numbers: np.ndarray, keys: np.ndarray):
     """A random segmentation of every segment: flat edges in text order, where each segment's start, log-probabilities."""
     lo, prev, cum, log_c = lat.lo, lat.prev, lat.cum, lat.log_c
-    base, place = lat.first[numbers], lat.size[numbers]
+    base, place = lat.first[numbers].astype(np.int64), lat.size[numbers]
     logs, steps, counts = np.zeros(len(numbers)), [], np.zeros(len(numbers), np.int64)
     active, at = np.arange(len(numbers)), place
     while len(active):
         u = uniform(keys[active] + np.uint64(len(steps) * int(_STEP) & _ALL))
-        e = lo[base[active] + at]
+        e = lo[base[active] + at].astype(np.int64)
         behind = np.flatnonzero(cum[e] < u)
         while len(behind):
             e[behind] += 1
