@@ -206,7 +206,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS, seed:
         if len(queue) < BATCH:
             queue = np.concatenate([queue, rng.permutation(len(found))])
         rows, queue = queue[:BATCH], queue[BATCH:]
-        flat = [w for i in rows for w in found[i]] or [b""]
+        flat = [w for i in rows for w in found[i]] or [b"\x00"]
         names = {w: k for k, w in enumerate(dict.fromkeys(flat))}
         at, mask, text_of = laid_out(np.array([len(found[i]) for i in rows]))
         ids = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat))[at]
@@ -253,7 +253,7 @@ class Scorer(dict):
         return ids
 
     def _score(self, found: list[list[bytes]]) -> np.ndarray:
-        flat = [w for f in found for w in f] or [b""]
+        flat = [w for f in found for w in f] or [b"\x00"]
         ids = self._ids(flat)
         at, mask, text_of = laid_out(np.array([len(f) for f in found]))
         logits = np.empty(len(text_of))
