@@ -29,7 +29,7 @@ from spindlescope.llm.common import bitmap, in_bitmap, mix, stage, table, utf8
 
 LENGTH, PREFIX = 100, 32
 #: Suffixes that a task sorts at a time, bytes per NumPy call, bits of the filter between the two sorts (16 MB).
-RUN_SUFFIXES, CHUNK_BYTES, FILTER_LOG2 = 250_000, 2_000_000, 27
+RUN_SUFFIXES, CHUNK_BYTES, FILTER_LOG2 = 150_000, 500_000, 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
