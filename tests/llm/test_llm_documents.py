@@ -352,7 +352,8 @@ def test_network_learns_and_scores_edges(spark):
     assert np.mean((scores >= 0.5) == [y for _, y in fresh]) > 0.95
     got = toxicity.score_texts(docs_of(spark, EDGES), model).collect()
     assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
-    whole = toxicity.Scorer(model).scores([LONG, LONG + " grobian"])
+    long = " ".join(t for t, _ in toxic_rows(3, 400, insult=False))
+    whole = toxicity.Scorer(model).scores([long, long + " grobian"])
     assert whole[1] > 0.5 > whole[0]
     kept = toxicity.drop_toxic(docs_of(spark, [*EDGES, (77, "ta re grobian mo")]), model)
     assert kept.columns == docs_of(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in EDGES}
