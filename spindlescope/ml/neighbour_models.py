@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spindlescope.operators.neighbours import Neighbourhood, knn_join
-from spindlescope.operators.ordering import exact_quantiles, row_hash
+from spindlescope.operators.ordering import exact_quantiles
 from spindlescope.session import cut_lineage, lookup_join
 
-POOL_ROWS = 16_384
+#: Rows that a tree's first draw has beyond its sample, in standard deviations of that draw; it falls short less than once in a billion trees.
+SPARE = 6.0
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "uniform", id_col: str = "vec_id",
@@ -149,15 +150,18 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
                      vec: str = "vec") -> IsolationForestModel:
     """Fit one tree per bounded sample, all trees in parallel.
 
-    A pool of at most ``POOL_ROWS`` rows is taken in hash order (a top-k, no full sort); every tree
-    draws its ``sample`` rows from the pool by its own hash.
+    Every tree draws its ``sample`` rows from the whole table by a hash of row and tree: one scan keeps, for each tree, the rows
+    below a cut-off that lets a few more through than are needed, and the smallest hashes of these are the sample.
     """
     rows = df.select(F.col(id_col).cast("string").alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
-    pool = cut_lineage(rows.orderBy(row_hash(["_id"], seed), "_id").limit(max(POOL_ROWS, sample)))
-    size = min(sample, pool.count())
-    copies = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    total = rows.count()
+    size = min(sample, total)
+    share = min(1.0, (size + SPARE * math.sqrt(size) + SPARE ** 2) / max(total, 1))
+    cut = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    hit = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col("_id"), t, F.lit(seed)) <= cut)
+    copies = rows.withColumn("tree", F.explode(hit))
     by = Window.partitionBy("tree").orderBy("_o", "_id")
-    drawn = copies.withColumn("_o", row_hash(["_id", "tree"], seed)).withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= size)
+    drawn = copies.withColumn("_o", F.xxhash64("_id", "tree", F.lit(seed))).withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= size)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     schema = "tree int, feature array<int>, cut array<double>, path array<double>"
 

@@ -10,6 +10,7 @@ its k best per row (or a count, or a spanning forest), never the pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -22,7 +23,6 @@ from pyspark.sql.window import Window
 from spindlescope.session import cut_lineage, lookup_join
 
 CHUNK = 1024
-MAX_PIVOTS = 256
 SLACK = 1e-9
 RING_BLOCKS = 200
 
@@ -112,8 +112,11 @@ def _within(a: np.ndarray, b: np.ndarray, eps: float, metric: str) -> np.ndarray
 
 
 def choose_pivots(distinct: DataFrame, rows: int) -> np.ndarray:
-    """Up to ``MAX_PIVOTS`` distinct vectors in hash order; one per ``CHUNK`` rows."""
-    count = max(1, min(MAX_PIVOTS, -(-rows // CHUNK)))
+    """Distinct vectors in hash order: one per ``CHUNK`` rows, but the square root of the rows at most.
+
+    So cells keep shrinking against the table, and the driver holds 100,000 vectors for ten billion rows.
+    """
+    count = max(1, min(math.isqrt(rows), -(-rows // CHUNK)))
     picked = distinct.select("_key", "_v").orderBy("_key").limit(count).collect()
     return np.array([r["_v"] for r in picked], dtype=float)
 

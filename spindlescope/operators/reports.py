@@ -13,7 +13,6 @@ from spindlescope.config import CRITICAL_COLUMNS, smart_columns
 from spindlescope.functions.names import bin_of, vendor_of
 from spindlescope.operators.history import forward
 from spindlescope.operators.ordering import exact_quantiles, long_form, pick_by_hash, row_hash
-from spindlescope.session import lookup_rows
 
 CORR_PAIRS_PER_PASS = 200
 
@@ -139,17 +138,18 @@ def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataF
     return pick_by_hash(df, [], keys, seed, lambda rows: F.least(rows, F.lit(n))).filter("picked").drop("picked")
 
 
-def histogram(df: DataFrame, col: str, bins: int, max_rows: int = 5_000_000, keys=("serial_number", "date"),
+def histogram(df: DataFrame, col: str, bins: int, rows: int | None = None, keys=("serial_number", "date"),
               seed: int = 42) -> DataFrame:
-    """Equal-width histogram: (bin, low, high, records) and the null count; sampled above ``max_rows``."""
-    low, high, rows, nulls = df.agg(F.min(col), F.max(col), F.count(F.lit(1)), F.count_if(F.col(col).isNull())).first()
+    """Equal-width histogram of all rows: (bin, low, high, records) and the null count.
+
+    A column without values gives one row without a bin. ``rows`` asks for a sample of so many rows instead.
+    """
+    if rows is not None:
+        df = sample_rows(df, rows, list(keys), seed)
+    low, high, nulls = df.agg(F.min(col), F.max(col), F.count_if(F.col(col).isNull())).first()
     schema = "bin long, low double, high double, records long, null_records long"
     if low is None:
-        return df.sparkSession.createDataFrame([], schema)
-    if rows > max_rows:
-        df = sample_rows(df, max_rows, list(keys), seed)
-        nulls = df.filter(F.col(col).isNull()).count()
-        low, high = df.agg(F.min(col), F.max(col)).first()
+        return df.sparkSession.createDataFrame([(None, None, None, 0, nulls)], schema)
     width = (high - low) / bins
     counted = df.filter(F.col(col).isNotNull()).groupBy(bin_of(F.col(col), low, high, bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("records"))
@@ -190,15 +190,11 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: str | None = None) ->
 def correlation_by_vendor(df: DataFrame, cols: list[str], max_null: float = 0.01) -> DataFrame:
     """Per vendor, only columns with fewer than ``max_null`` nulls in that vendor."""
     named = df.withColumn("vendor", vendor_of(F.col("model")))
-    sparse = lookup_rows(null_report(named, cols, "vendor"))
-    dense: dict[str, list[str]] = {}
-    for r in sparse:
-        if r["null_pct"] < max_null * 100.0:
-            dense.setdefault(r["vendor"], []).append(r["column"])
-    ok = F.lit(False)
-    for vendor, kept in dense.items():
-        ok = ok | ((F.col("vendor") == vendor) & F.col("feature_a").isin(kept) & F.col("feature_b").isin(kept))
-    return correlation_matrix(named, cols, "vendor").filter(ok)
+    dense = null_report(named, cols, "vendor").filter(F.col("null_pct") < max_null * 100.0)
+    out = correlation_matrix(named, cols, "vendor")
+    for side in ("feature_a", "feature_b"):
+        out = out.join(dense.select("vendor", F.col("column").alias(side)), ["vendor", side], "left_semi")
+    return out.select("vendor", "feature_a", "feature_b", "r")
 
 
 def top_models(report: DataFrame, by: str, k: int = 10) -> DataFrame:

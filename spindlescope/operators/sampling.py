@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindlescope.operators.neighbours import knn_join
 from spindlescope.operators.ordering import exact_quantiles, hash_cutoffs, hash_number, hash_quantile_cuts, pick_by_hash, row_hash
-from spindlescope.session import lookup_join, lookup_rows
+from spindlescope.session import cut_lineage, lookup_join, lookup_rows
 
 ROW_KEYS = ["serial_number", "date"]
 
@@ -162,14 +162,11 @@ def time_smote(df: DataFrame, time: str, k: int = 5, n_slices: int = 10, step: f
         gaps = {c: (max(counts.values()) - n) // 2 for c, n in counts.items()}
     else:
         gaps = sampling_targets(counts, strategy)
-    rows = lookup_rows(sliced.groupBy("slice", label).agg(F.count(F.lit(1)).alias("n")))
-    per_slice: dict[int, int] = {}
-    for r in rows:
-        per_slice[r["slice"]] = per_slice.get(r["slice"], 0) + r["n"]
-    made = [(r["slice"], r[label], r["n"], gaps.get(r[label], 0)) for r in rows
-            if per_slice[r["slice"]] > k and r["n"] > k and gaps.get(r[label], 0) > 0]
     kind = df.schema[label].dataType.simpleString()
-    plan = df.sparkSession.createDataFrame(made, f"slice int, {label} {kind}, n long, new long")
+    wanted = df.sparkSession.createDataFrame([(c, int(n)) for c, n in gaps.items() if n > 0], f"{label} {kind}, new long")
+    sizes = cut_lineage(sliced.groupBy("slice", label).agg(F.count(F.lit(1)).alias("n")))
+    full = sizes.groupBy("slice").agg(F.sum("n").alias("_rows")).filter(F.col("_rows") > k).select("slice")
+    plan = sizes.filter(F.col("n") > k).join(full, "slice", "left_semi").join(F.broadcast(wanted), label).select("slice", label, "n", "new")
     parents = lookup_join(sliced, plan.select("slice", label), ["slice", label])
     near = knn_join(parents, sliced, k, "slice", id_col, vec, exclude_self=True)
     copies = _copies(parents, ["slice", label], plan, id_col, seed)

@@ -11,7 +11,7 @@ from spindlescope.functions.names import log_ratio, normalized_twin
 from spindlescope.functions.pvalues import normal_pvalue, t_pvalue
 from spindlescope.operators.ordering import long_form, running_totals, value_counts
 from spindlescope.operators.reports import pearson, top_features
-from spindlescope.session import lookup_rows
+from spindlescope.session import cut_lineage, lookup_rows
 
 
 def _class_moments(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -166,7 +166,9 @@ def model_divergence(df: DataFrame, features: list[str], bins: int = 20, eps: fl
 def partition_models_by_divergence(df: DataFrame, features: list[str], bins: int = 20) -> DataFrame:
     """Weighted mean divergence per model and whether it is relevant (at most the mean over models)."""
     weight = 1.0 / (F.col("p_value") + 1e-10)
-    per_model = model_divergence(df, features, bins).groupBy(F.col("model_a").alias("model")).agg(
-        F.coalesce(F.avg(F.col("kl") * weight), F.lit(0.0)).alias("weighted_kl"))
+    averages = model_divergence(df, features, bins).groupBy(F.col("model_a").alias("model")).agg(F.avg(F.col("kl") * weight).alias("w"))
+    # a model without partners diverges from nothing
+    per_model = cut_lineage(df.select("model").distinct().join(averages, "model", "left").select(
+        "model", F.coalesce("w", F.lit(0.0)).alias("weighted_kl")))
     threshold = per_model.agg(F.avg("weighted_kl").alias("t")).first()["t"]
     return per_model.withColumn("relevant", F.col("weighted_kl") <= F.lit(threshold))

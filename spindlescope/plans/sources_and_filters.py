@@ -35,9 +35,14 @@ def read_all(spark, sf_dir):
     return _typed(snap.read_snapshots(spark, _csv_days(spark, sf_dir)))
 
 
-@query("read_snapshots_quarters", f"""SELECT {ALL} FROM drive_day WHERE year(date) = 2024 AND quarter(date) = 1""", dates=("date",))
+@query("read_snapshots_quarters", f"""SELECT {ALL} FROM (SELECT * FROM drive_day UNION ALL
+  SELECT * REPLACE (CAST(date + INTERVAL 150 DAY AS DATE) AS date) FROM drive_day) WHERE year(date) = 2024 AND quarter(date) = 1""", dates=("date",))
 def read_quarters(spark, sf_dir):
-    return _typed(snap.read_snapshots(spark, _csv_days(spark, sf_dir), years=["2024"], quarters=["Q1"]))
+    """Every drive day twice, half a year apart; one half is asked for."""
+    root = fx.shared_folder(spark, f"snapshots-{uuid.uuid4().hex}")
+    days = fx.drive_day(spark, sf_dir)
+    snap.write_snapshots(days.unionByName(days.withColumn("date", F.date_add("date", 150))), root)
+    return _typed(snap.read_snapshots(spark, f"{root}/*/*/*.csv", years=["2024"], quarters=["Q1"]))
 
 
 @query("read_snapshots_preset", """SELECT date, serial_number, model, failure, smart_5_normalized, smart_5_raw, smart_9_raw,
@@ -51,9 +56,9 @@ def read_raw(spark, sf_dir):
     return _typed(snap.read_snapshots(spark, _csv_days(spark, sf_dir), columns="raw"))
 
 
-@query("prune_days", f"SELECT {ALL} FROM drive_day WHERE year(date) = 2024 AND quarter(date) IN (1, 3)", dates=("date",))
+@query("prune_days", f"SELECT {ALL} FROM supplier_day WHERE year(date) IN (1996, 1998) AND quarter(date) IN (1, 3)", ("supplier_day",), dates=("date",))
 def prune_days(spark, sf_dir):
-    return snap.prune_days(fx.drive_day(spark, sf_dir), years=[2024], quarters=["Q1", "Q3"])
+    return snap.prune_days(fx.supplier_day(spark, sf_dir), years=[1996, 1998], quarters=["Q1", "Q3"])
 
 
 @query("union_snapshots", f"""SELECT serial_number, date, model, failure, smart_5_raw, NULL::DOUBLE AS smart_9_raw
@@ -198,10 +203,13 @@ def apply_feature_weights(spark, sf_dir):
                       F.round("smart_9_raw", 6).alias("smart_9_raw"))
 
 
-@query("drop_all_null_drives", f"""SELECT {ALL} FROM drive_day WHERE serial_number IN (
+@query("drop_all_null_drives", f"""SELECT {ALL} FROM drive_day WHERE serial_number % 5 != 0 AND serial_number IN (
   SELECT serial_number FROM drive_day GROUP BY 1 HAVING COUNT(smart_188_raw) > 0 AND COUNT(smart_9_raw) > 0)""", dates=("date",))
 def drop_all_null_drives(spark, sf_dir):
-    return sel.drop_all_null_drives(fx.drive_day(spark, sf_dir), ["smart_188_raw", "smart_9_raw"])
+    """A fifth of the drives never reports one of the two columns."""
+    days = fx.drive_day(spark, sf_dir)
+    silent = days.withColumn("smart_188_raw", F.when(F.col("serial_number") % 5 != 0, F.col("smart_188_raw")))
+    return sel.drop_all_null_drives(silent, ["smart_188_raw", "smart_9_raw"])
 
 
 _HOLES = "CASE WHEN smart_5_raw = 1 THEN NULL ELSE capacity_bytes END"

@@ -84,3 +84,10 @@ def test_sparse_limit_is_a_share_of_all_rows(spark):
     df = spark.range(100).select("id", F.when(F.col("id") < 45, 1).alias("at"), F.when(F.col("id") < 44, 1).alias("below"))
     assert sel.drop_sparse_columns(df).columns == ["id", "at"]
     assert sel.drop_null_columns(df).columns == ["id"]
+
+
+def test_year_choice_reaches_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("date_add(DATE'2023-12-27', cast(id AS int)) AS date", "id").write.parquet(str(tmp_path / "days"))
+    cut = snap.prune_days(spark.read.parquet(str(tmp_path / "days")), years=[2024], quarters=["Q1"])
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,2024-01-01)" in plan and "LessThanOrEqual(date,2024-03-31)" in plan and cut.count() == 5

@@ -76,13 +76,20 @@ def test_divergence_of_a_model_with_itself_is_zero_and_pairs_are_ordered(spark):
     assert len(got) == 6 and all(abs(r["kl"]) < 1e-9 for r in got)
 
 
+def test_a_lone_model_has_no_divergence_and_is_relevant(spark):
+    one = spark.createDataFrame([("x", float(i % 7)) for i in range(70)], "model string, smart_1_raw double")
+    assert [tuple(r) for r in st.partition_models_by_divergence(one, ["smart_1_raw"]).collect()] == [("x", 0.0, True)]
+
+
 def test_histogram_counts_every_value_and_samples_exactly(spark):
     df = spark.range(1000).select(F.col("id").alias("serial_number"), F.col("id").alias("date"),
                                   F.when(F.col("id") % 10 > 0, F.col("id") % 100).cast("double").alias("x"))
     assert rp.histogram(df, "x", 9).agg(F.sum("records")).first()[0] == 900
-    sampled = rp.histogram(df, "x", 9, max_rows=300)
+    sampled = rp.histogram(df, "x", 9, rows=300)
     r = sampled.agg(F.sum("records"), F.max("null_records")).first()
     assert r[0] + r[1] == 300
+    empty = rp.histogram(df.withColumn("x", F.lit(None).cast("double")), "x", 9).collect()
+    assert [(e["bin"], e["records"], e["null_records"]) for e in empty] == [(None, 0, 1000)]
 
 
 @pytest.mark.parametrize("x", [[1.0, 2.0, 4.0, 8.0], [0.1] * 7, [3.0], [0.1, 0.1, 0.1, 0.2]])
