@@ -147,13 +147,13 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """Lines (doc_id, line) that repeat an earlier line, exactly or nearly; earlier: smaller doc_id, then smaller line number.
 
     Lines with equal normalised text are one class. Classes are linked if their SimHashes differ in at most MOST_BITS bits and
     their edit similarity is at least PERCENT / 100; of each connected group the first occurrence stays. Lines without
     a word are never duplicates. Rows without an id are left out; rows that share an id are read as they come, their
-    line numbers count per row.
+    line numbers count per row. ``blocks``: more of them make longer keys and more keys, not other results.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     lines = stage(line_table(docs))
@@ -162,7 +162,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def keys(sims: pd.Series) -> pd.Series:
-        return pd.Series(list(block_keys(sims.to_numpy(np.int64).view(np.uint64)).view(np.int64)))
+        return pd.Series(list(block_keys(sims.to_numpy(np.int64).view(np.uint64), MOST_BITS, blocks).view(np.int64)))
 
     members = classes.select(F.explode(keys("sim")).alias("bucket"), "id")
 
