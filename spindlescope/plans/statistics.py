@@ -32,7 +32,21 @@ def t_test(spark, sf_dir):
     return rounded(st.t_test(fx.labelled_days(spark, sf_dir), fx.FULL_RAW).drop("p_value"))
 
 
-@query("t_test_p_values")
+def _integral(value: str, low: str, high: str, steps: int = 4000) -> str:
+    """Simpson's rule in SQL; ``value`` is an expression of x."""
+    at = f"({low} + i * ({high} - {low}) / {steps})"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {value.replace('x', at)})) * ({high} - {low}) / {3 * steps})"
+
+
+#: Two-sided tail of the t distribution: with t = sqrt(dof) tan(x) the density becomes a power of the cosine.
+_T_TAIL = ("2 * EXP(LGAMMA((dof + 1) / 2) - LGAMMA(dof / 2)) / SQRT(PI()) * "
+           + _integral("POW(COS(x), dof - 1)", "ATAN(ABS(t) / SQRT(dof))", "LEAST(PI() / 2, ATAN(ABS(t) / SQRT(dof)) + 60 / SQRT(dof))"))
+_NORMAL_TAIL = "2 / SQRT(2 * PI()) * " + _integral("EEE(-x * x / 2)", "ABS(z)", "(ABS(z) + 12)").replace("EEE", "EXP")
+
+
+@query("t_test_p_values", f"""SELECT feature, ROUND(t, 6) AS t, dof, ROUND({_T_TAIL}, 6) AS p_value
+  FROM (SELECT feature, {_POOLED} AS t, CAST(n0 + n1 - 2 AS DOUBLE) AS dof FROM label_moments)""", ("label_moments",))
 def t_test_p_values(spark, sf_dir):
     return rounded(st.t_test(fx.labelled_days(spark, sf_dir), fx.FULL_RAW))
 
@@ -58,7 +72,8 @@ def mann_whitney(spark, sf_dir):
     return rounded(st.mann_whitney(fx.labelled_days(spark, sf_dir), fx.FULL_RAW).drop("p_value"))
 
 
-@query("mann_whitney_p_values")
+@query("mann_whitney_p_values", f"""SELECT feature, ROUND(u, 6) AS u, ROUND(z, 6) AS z, ROUND({_NORMAL_TAIL}, 6) AS p_value
+  FROM (SELECT feature, u, {_Z} AS z FROM label_u)""", ("label_u",))
 def mann_whitney_p_values(spark, sf_dir):
     return rounded(st.mann_whitney(fx.labelled_days(spark, sf_dir), fx.FULL_RAW))
 
