@@ -14,7 +14,8 @@ PIVOT_ROUNDS = 4
 #: Open pairs per member of an open bucket above which one more pivot round comes first. Comparing costs little: only
 #: pairs that pass the cheap test become rows.
 OPEN_PAIRS = 256
-PARTS = 8
+#: Buckets of more than HOT members are dealt to PARTS tasks.
+HOT, PARTS = 1024, 8
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -44,6 +45,19 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct())
 
 
+def _part(hot: Column) -> Column:
+    return F.when(hot, F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0)).alias("part")
+
+
+def _parts(hot: Column) -> Column:
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("part")
+
+
+def _meet(rows: DataFrame, small: DataFrame, hot: Column) -> DataFrame:
+    """Join rows (bucket, id, ...) to ``small`` (one row per bucket), hot buckets in parts; ``hot`` depends on the bucket alone."""
+    return rows.withColumn("part", _part(hot)).join(small.select("*", _parts(hot)).drop("n"), ["bucket", "part"]).drop("part")
+
+
 def _pairs(met: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
     return met.where(near(F.col("note"), F.col("pnote"))).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
 
@@ -62,9 +76,12 @@ def linked_groups(members: DataFrame, notes: DataFrame, near: Callable[[Column,
     part by part. No link between two components is lost: any pair that shares a bucket and passes ``near`` is either verified
     or already connected. Returns (id, root) for ids with a link.
     """
-    multi = stage(members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"))
+    multi = stage(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = may_be_in(multi.where(F.col("n") > HOT), "bucket")
     shared = members.where(may_be_in(multi, "bucket"))
-    rows = stage(spread(shared, multi, "bucket", "id", parts=PARTS).join(notes, "id").select("bucket", "id", "note", F.col("id").alias("root")))
+    met = shared.withColumn("part", _part(hot)).join(multi.select("bucket", "n", _parts(hot)), ["bucket", "part"])
+    rows = stage(met.join(notes, "id").select("bucket", "id", "note", F.col("id").alias("root"), "n"))
+    large = F.col("n") > HOT
     verify, sharpen = tests(stage(rows.select("id").distinct()))
     done, roots, turn = None, None, 0
     while True:
@@ -72,23 +89,22 @@ def linked_groups(members: DataFrame, notes: DataFrame, near: Callable[[Column,
             pick, last = F.min(F.struct("id", "note", "root")), False
         else:
             named = rows.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-            still = stage(sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("r")).where("r > 1"))
-            left = still.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("open"), F.sum("n").alias("n")).first()
-            if not left["n"]:
+            sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+            still = stage(sizes.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("r"), F.max("n").alias("n")).where("r > 1"))
+            left = still.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("open"), F.sum("m").alias("m")).first()
+            if not left["m"]:
                 return roots
-            rows = stage(spread(named, still.select("bucket"), "bucket", "id", parts=PARTS))
+            rows = stage(_meet(named, still.select("bucket", "n"), large))
             if sharpen and turn == 1:
                 rows = stage(rows.drop("note").join(stage(sharpen(rows.select("id").distinct())), "id"))
-            last = turn > PIVOT_ROUNDS or left["open"] <= OPEN_PAIRS * left["n"]
+            last = turn > PIVOT_ROUNDS or left["open"] <= OPEN_PAIRS * left["m"]
             pick = F.min_by(F.struct("id", "note", "root"), F.xxhash64("id", "bucket", F.lit(turn)))
         if last:
-            other = rows.select("bucket", *[F.col(c).alias(f"p{c}") for c in ("id", "note", "root")],
-                                F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-            met = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(other, ["bucket", "part"]).where("root < proot")
+            other = rows.select("bucket", *[F.col(c).alias(f"p{c}") for c in ("id", "note", "root")], _parts(large))
+            met = rows.withColumn("part", _part(large)).join(other, ["bucket", "part"]).where("root < proot")
         else:
-            pivots = rows.groupBy("bucket").agg(pick.alias("p")).select("bucket", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("id", "note", "root")])
-            met = spread(rows, pivots, "bucket", "id", parts=PARTS).where("root != proot")
+            pivots = rows.groupBy("bucket").agg(pick.alias("p"), F.max("n").alias("n")).select("bucket", "n", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("id", "note", "root")])
+            met = _meet(rows, pivots, large).where("root != proot")
         fresh = _pairs(met, near)
         fresh = stage(fresh if done is None else fresh.join(done, ["a", "b"], "left_anti"))
         done = fresh if done is None else done.unionByName(fresh)
