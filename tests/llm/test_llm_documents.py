@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spindlescope.llm import decontaminate, fuzzy_lines, minhash, quality, sampled_pieces, suffix_dedup, toxicity
+from spindlescope.llm import decontaminate, fuzzy_lines, grouping, minhash, quality, sampled_pieces, suffix_dedup, toxicity
 from spindlescope.llm.common import WordHashes, table, words
 from spindlescope.llm.grouping import components
 
@@ -77,6 +77,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == jaccard_groups(rows, 4, 80)
 
 
+def test_hot_buckets_are_dealt_out_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "HOT", 3)
+    monkeypatch.setattr(grouping, "OPEN_PAIRS", 0)
+    rows = mutated(4, copies=40)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, rows), shingle=4).collect()}
+    assert got == jaccard_groups(rows, 4, 80)
+
+
 def test_near_duplicates_on_edges(spark):
     got = minhash.near_duplicates(docs_of(spark, EDGES)).collect()
     assert len(got) == 11 and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9, 10: 9}
