@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from spindlescope.llm.common import WordHashes, bitmap, in_bitmap, mix, spread, stage, table
 
-#: Fixed seeds: a 1 is a token that counts, a 0 one that may differ. No position is a 1 in all of them at every shift.
-MASKS = ("1101100111", "1110010111", "1011101101")
-#: An overlap counts from this many equal tokens (or the whole item if it is shorter) ...
+#: Fixed seeds: a 1 is a token that counts, a 0 one that may differ. Every alignment with LEAST_TOKENS equal tokens that are
+#: PERCENT of it holds one of them somewhere, wherever its other tokens lie.
+MASKS = ("111111", "11010111", "111011001")
+#: The same for items that need fewer equal tokens, down to SHORTEST_ITEM.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+#: An overlap counts from this many equal tokens (PERCENT of a shorter item's tokens) ...
 LEAST_TOKENS = 13
 #: ... if this share of its aligned tokens is equal.
 PERCENT = 80
-#: Items shorter than the masks are sought whole and unchanged; still shorter ones say nothing and are never sought.
+#: Shorter items say nothing and are never sought.
 SHORTEST_ITEM = 5
-_SPAN = max(map(len, MASKS))
 _FOLD = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
@@ -26,6 +28,16 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().translate(_FOLD).encode("utf-8", "surrogatepass").split()
 
 
+def least_equal(size: int) -> int:
+    """Equal tokens that an overlap with an item of ``size`` tokens needs."""
+    return min(LEAST_TOKENS, -(-PERCENT * size // 100))
+
+
+def masks_of(size: int) -> tuple[str, ...]:
+    """The masks that find every overlap with an item of ``size`` tokens; none for one that is never sought."""
+    return () if size < SHORTEST_ITEM else MASKS if least_equal(size) == LEAST_TOKENS else SHORT_MASKS
+
+
 def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the counting positions of ``mask`` laid at every token."""
     size = len(hashes) - len(mask) + 1
@@ -49,8 +61,7 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
             row, at, found = [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
                 hashes = known.of(tokens(t))
-                masks = MASKS if len(hashes) >= _SPAN else ("1" * len(hashes),) if len(hashes) >= SHORTEST_ITEM else ()
-                for m in masks:
+                for m in masks_of(len(hashes)):
                     h = seed_hashes(hashes, m)
                     row.append(np.full(len(h), i))
                     at.append(np.arange(len(h), dtype=np.int32))
@@ -61,16 +72,16 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     return benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(run, f"h long, item_id {kind}, at int")
 
 
-def short_lengths(benchmark: DataFrame) -> list[int]:
-    """Lengths of the items that are sought whole: fewer than the masks' span, so a handful at most."""
+def used_masks(benchmark: DataFrame) -> list[str]:
+    """The masks that some item of the benchmark needs."""
     def run(batches):
         for batch in batches:
-            n = {len(tokens(t)) for t in batch.column("text").to_pylist()}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(x for x in n if SHORTEST_ITEM <= x < _SPAN), pa.int32())], ["n"])
-    return [r["n"] for r in benchmark.select("text").mapInArrow(run, "n int").distinct().collect()]
+            used = {m for t in batch.column("text").to_pylist() for m in masks_of(len(tokens(t)))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(used), pa.string())], ["m"])
+    return sorted(r["m"] for r in benchmark.select("text").mapInArrow(run, "m string").distinct().collect())
 
 
-def seed_hits(docs: DataFrame, seeds: DataFrame, lengths: list[int]) -> DataFrame:
+def seed_hits(docs: DataFrame, seeds: DataFrame, masks: list[str]) -> DataFrame:
     """Exact seed matches (doc_id, item_id, offset): the item starts ``offset`` tokens into the text (negative: before it).
 
     Two bitmaps of fixed size pass the positions that may be seeds, the join on the hash keeps the true ones; a seed that
@@ -79,7 +90,6 @@ def seed_hits(docs: DataFrame, seeds: DataFrame, lengths: list[int]) -> DataFram
     sc = docs.sparkSession.sparkContext
     second = F.shiftrightunsigned("h", 32).alias("h")
     bits = sc.broadcast((bitmap(seeds, "h"), bitmap(seeds.select(second), "h")))
-    masks = [*MASKS, *("1" * n for n in lengths)]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -107,28 +117,35 @@ def seed_hits(docs: DataFrame, seeds: DataFrame, lengths: list[int]) -> DataFram
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, offset: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """(start in the text, length, equal tokens) of the best stretch of the alignment: each equal token gains 100 - percent, each other loses percent."""
+    """(start in the text, length, equal tokens) of the stretch of the alignment with the most equal tokens among those of which ``percent`` are equal."""
     lo, hi = max(0, -offset), min(len(item), len(doc) - offset)
     if hi <= lo:
         return 0, 0, 0
     equal = doc[lo + offset:hi + offset] == item[lo:hi]
+    # a stretch from i to j has the share if sums[j] >= sums[i]; for each j the earliest such i has the most equal tokens
     sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+    count = np.concatenate([[0], np.cumsum(equal)])
     floor = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - floor))
-    begin = int(np.argmin(sums[:end + 1]))
-    return lo + offset + begin, end - begin, int(equal[begin:end].sum())
+    begins = np.searchsorted(-floor, -sums)
+    matched = count - count[begins]
+    end = int(np.argmax(matched))
+    if not matched[end]:
+        return 0, 0, 0
+    # unequal tokens at its ends are no part of it
+    inside = begins[end] + np.flatnonzero(equal[begins[end]:end])
+    return int(lo + offset + inside[0]), int(inside[-1] - inside[0] + 1), len(inside)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps (doc_id, item_id, start, length, matched) between texts and benchmark items.
 
-    An overlap is the best stretch of an alignment that some seed found; it counts with LEAST_TOKENS equal tokens
-    (the whole item if shorter) that are PERCENT of it. Null and empty texts overlap with nothing; rows without doc_id
+    An overlap is the stretch of an alignment with the most equal tokens that are PERCENT of it; it counts with LEAST_TOKENS
+    equal tokens (PERCENT of a shorter item). The masks leave no such alignment without a seed. Null and empty texts overlap with nothing; rows without doc_id
     or item_id are left out; rows that share an id are each compared. No benchmark items: no overlaps.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     seeds = stage(item_seeds(benchmark).distinct())
-    hits = stage(seed_hits(docs, seeds, short_lengths(benchmark)))
+    hits = stage(seed_hits(docs, seeds, used_masks(benchmark)))
     ids = stage(hits.select("doc_id").distinct())
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "h"))
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
@@ -151,7 +168,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for w in wanted:
                     item = known.of(tokens(w["item"]))
                     start, length, matched = best_overlap(doc, item, w["offset"])
-                    if matched >= min(LEAST_TOKENS, len(item)) and 100 * matched >= PERCENT * length:
+                    if length and matched >= least_equal(len(item)):
                         rows.append((doc_id, w["item_id"], start, length, matched))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "start", "length", "matched"), r)) for r in rows],
                                              schema=pa.schema([("doc_id", batch.schema.field("doc_id").type), ("item_id", batch.schema.field("wanted").type.value_type.field("item_id").type),

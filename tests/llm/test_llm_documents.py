@@ -195,6 +195,57 @@ def test_overlaps_tolerate_substitutions(spark):
     assert decontaminate.overlaps(docs_of(spark, []), bench).count() == 0
 
 
+def unhit(masks, least):
+    """An alignment (1: equal) with ``least`` equal tokens that are 80 % of it and no mask, or None: the heaviest walk without a hit."""
+    span = max(map(len, masks))
+    weight, path, turn = {("", 0): 0}, {("", 0): ""}, [("", 0)]
+    while turn:
+        following = set()
+        for s, m in turn:
+            for bit in "10":
+                body = s + bit
+                if any(len(body) >= len(k) and all(x <= y for x, y in zip(k, body[-len(k):])) for k in masks):
+                    continue
+                t, w = (body[1 - span:], min(least, m + int(bit))), weight[s, m] + (1 if bit == "1" else -4)
+                if w >= -60 and weight.get(t, -99) < w:
+                    weight[t], path[t] = w, path[s, m] + bit
+                    following.add(t)
+                    if w >= 0 and t[1] == least:
+                        return path[t]
+        turn = list(following)
+    return None
+
+
+def test_masks_hit_every_alignment_that_counts():
+    assert unhit(("1101100111", "1110010111", "1011101101"), 13)
+    assert unhit(decontaminate.MASKS, 13) is None and unhit(decontaminate.SHORT_MASKS, 4) is None
+
+
+def test_overlaps_with_every_allowed_substitution(spark):
+    r = random.Random(19)
+    sizes = [100, 100, 100, 100, 100, 16, 20, *range(5, 16)]
+    items = [[f"c{r.randrange(10 ** 6)}" for _ in range(n)] for n in sizes]
+    rows, want, d = [], set(), 0
+
+    def plant(i, changed, counts=True):
+        nonlocal d
+        text = [f"z{d}x{k}" if k in changed else w for k, w in enumerate(items[i])]
+        rows.append((d, " ".join([f"f{r.randrange(10 ** 6)}" for _ in range(7)] + text + [f"f{r.randrange(10 ** 6)}" for _ in range(7)])))
+        if counts:
+            want.add((d, i))
+        d += 1
+    for phase in range(5):
+        plant(phase, set(range(phase, 100, 5)))
+    for i, n in enumerate(sizes):
+        if n > 20:
+            continue
+        for _ in range(60):
+            plant(i, set(r.sample(range(n), n // 5)))
+        plant(i, set(r.sample(range(n), n - decontaminate.least_equal(n) + 1)), counts=False)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(docs_of(spark, rows), bench).collect()} == want
+
+
 # suffixes
 
 def test_repeats_equal_brute_force(spark):
