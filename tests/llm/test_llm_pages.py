@@ -94,6 +94,20 @@ def test_repeated_runs_go_on_pages_without_an_article(spark):
     assert page_text.main_text(pages_of(spark, [])).count() == 0
 
 
+def test_counts_of_shards_are_added_up(spark):
+    notice = "This notice about cookies stands on three pages of the host alone"
+    unique = "<p>" + " ".join("w{0}x%d" % k for k in range(12)) + "</p>"
+    pages = pages_of(spark, [(i, f"http://a.b/{i}", f"<html><body>{unique.format(i)}" + (f"<div>{notice}</div>" if i % 20 == 0 else "")
+                              + ("<div>Share this</div>" if i % 20 == 1 else "") + f"<p>one of the most common {i} ends here {i} today {i}</p>") for i in range(60)])
+    opened = page_text.stage(page_text.block_table(pages).withColumn("page_key", page_text.F.monotonically_increasing_id())
+                             .select(url_filter.host_of(page_text.F.col("url")).alias("host"), "page_key", "opens"))
+    found = [{r["run_hash"] for r in page_text.boilerplate_runs(opened, shard_pages=n).collect()} for n in (512, 6, 1)]
+    assert found[0] and found[0] == found[1] == found[2]
+    got = {r["page_id"]: r["text"] for r in page_text.main_text(pages).collect()}
+    for i in range(60):
+        assert notice not in got[i] and "Share this" not in got[i] and f"w{i}x3" in got[i] and f"common {i} ends" in got[i]
+
+
 def test_runs_of_a_suffix_array():
     streams = [[1, 2, 3, 4, 5, 9], [7, 1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [3, 4, 5, 1], []]
     assert page_text.repeated_runs(streams, 5, 3) == {(1, 2, 3, 4, 5)}
