@@ -19,7 +19,6 @@ from spindlescope.plans.reports import rounded
 
 CFG = RunConfig(min_days=fx.MIN_DAYS, gap_window=fx.GAP_WINDOW, max_missing=fx.MAX_MISSING, horizon=fx.HORIZON,
                 window=fx.WINDOW, num_features=4, learner="random_forest", split="hdd", under_ratio=0.5)
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 5}
 
 
 def judged(spark, sf_dir):
@@ -79,28 +78,23 @@ def _fit(spark, sf_dir, learner, params, **kw):
     return rounded(mt.report_metrics(done.predictions), 4)
 
 
-_SMALL = {
-    "random_forest": SMALL_FOREST, "extra_trees": SMALL_FOREST, "decision_tree": {"maxDepth": 5}, "logistic_regression": {"maxIter": 20},
-    "svm": {"maxIter": 20}, "xgb": {"maxIter": 5}, "gradient_boosting": {"maxIter": 5}, "naive_bayes": {},
-    "mlp": {"hidden": (16,), "maxIter": 30}, "dense_net": {"maxIter": 30},
-}
-for _name, _params in _SMALL.items():
-    query(f"learn_{_name}")(lambda spark, sf_dir, n=_name, p=_params: _fit(spark, sf_dir, n, p))
+for _name in ("random_forest", "extra_trees", "decision_tree", "logistic_regression", "svm", "xgb", "gradient_boosting", "naive_bayes", "mlp", "dense_net"):
+    query(f"learn_{_name}")(lambda spark, sf_dir, n=_name: _fit(spark, sf_dir, n, None))
 
 
 @query("learn_with_class_weights")
 def learn_with_class_weights(spark, sf_dir):
-    return _fit(spark, sf_dir, "logistic_regression", {"maxIter": 20}, weights={0: 0.3, 1: 1.7})
+    return _fit(spark, sf_dir, "logistic_regression", None, weights={0: 0.3, 1: 1.7})
 
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
-    return _fit(spark, sf_dir, "logistic_regression", {"maxIter": 10}, method="grid", grid={"C": [0.1, 10.0]})
+    return _fit(spark, sf_dir, "logistic_regression", None, method="grid")
 
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    return _fit(spark, sf_dir, "decision_tree", None, method="randomized", n_iter=3, grid={"maxDepth": [2, 4, 6], "impurity": ["gini", "entropy"]})
+    return _fit(spark, sf_dir, "decision_tree", None, method="randomized")
 
 
 _SIDE = """SELECT vec_id, vec, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, ROW_NUMBER() OVER (PARTITION BY label = 0 ORDER BY md5('42|' || vec_id))
@@ -129,7 +123,7 @@ def learn_nearest_neighbours_distance(spark, sf_dir):
 @query("isolation_forest")
 def isolation_forest(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
-    model = nm.isolation_forest(v, trees=25, sample=128)
+    model = nm.isolation_forest(v)
     return rounded(model.predict(v).select("vec_id", "anomaly", "prediction"))
 
 
@@ -174,7 +168,7 @@ def silhouette(spark, sf_dir):
 
 @query("train_and_evaluate")
 def train_and_evaluate(spark, sf_dir):
-    run = tr.fit_run(fx.drive_day(spark, sf_dir), CFG, SMALL_FOREST)
+    run = tr.fit_run(fx.drive_day(spark, sf_dir), CFG)
     return rounded(spark.createDataFrame(sorted((k, float(v)) for k, v in run.metrics.items() if v is not None), "metric string, value double"), 4)
 
 
@@ -182,14 +176,14 @@ def train_and_evaluate(spark, sf_dir):
 def score_saved_model(spark, sf_dir):
     days = fx.drive_day(spark, sf_dir)
     folder = fx.shared_folder(spark, f"models-{uuid.uuid4().hex}")
-    tr.save_model(tr.fit_run(days, CFG, SMALL_FOREST), folder)
+    tr.save_model(tr.fit_run(days, CFG), folder)
     return tr.score(days, tr.load_model(spark, folder))
 
 
 @query("score_drive")
 def score_drive(spark, sf_dir):
     days = fx.drive_day(spark, sf_dir)
-    run = tr.fit_run(days, CFG, SMALL_FOREST)
+    run = tr.fit_run(days, CFG)
     worst = days.filter("failure = 1").agg(F.min("serial_number").alias("s")).first()["s"]
     return tr.score_drive(days, worst, run)
 

@@ -343,5 +343,5 @@ def feature_rank(spark, sf_dir):
 
 @query("genetic_feature_select")
 def genetic_feature_select(spark, sf_dir):
-    _, _, history = ft.genetic_feature_select(fx.labelled_days(spark, sf_dir), fx.FULL_SMART, n_pop=3, n_gen=1)
+    _, _, history = ft.genetic_feature_select(fx.labelled_days(spark, sf_dir), fx.FULL_SMART)
     return rounded(history)

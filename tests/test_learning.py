@@ -139,3 +139,32 @@ def test_transfer_starts_networks_from_the_first_fit(planted):
     first = tr.train_and_evaluate(near, test, "mlp", {"hidden": (4,), "maxIter": 1}, folds=None, keys=["vec_id"])
     assert done.params["initialWeights"] == first.model.stages[-1].weights
     assert tr.transfer_train(near, far, test, "decision_tree", {"maxDepth": 3}).metrics["accuracy"] > 0.7
+
+
+def test_registered_learners_run_their_defaults(monkeypatch):
+    import __spark_entry__ as entry
+    from spindlescope.plans import learning, statistics
+    calls = []
+
+    class Stop(Exception):
+        pass
+
+    def record(*args, **kw):
+        calls.append((args, kw))
+        raise Stop
+
+    monkeypatch.setattr(learning, "embedding_sides", lambda *a: (None, None))
+    monkeypatch.setattr(learning, "_as_vectors", lambda df: df)
+    for module in (learning.fx, statistics.fx):
+        for name in ("vectors", "drive_day", "labelled_days", "shared_folder"):
+            monkeypatch.setattr(module, name, lambda *a: None)
+    monkeypatch.setattr(learning.tr, "train_and_evaluate", record)
+    monkeypatch.setattr(learning.tr, "fit_run", record)
+    monkeypatch.setattr(learning.nm, "isolation_forest", record)
+    monkeypatch.setattr(statistics.ft, "genetic_feature_select", record)
+    names = ["random_forest", "extra_trees", "decision_tree", "logistic_regression", "svm", "xgb", "gradient_boosting", "mlp", "dense_net", "with_class_weights"]
+    for name in [*(f"learn_{n}" for n in names), "grid_search", "random_search", "isolation_forest", "genetic_feature_select", "train_and_evaluate"]:
+        with pytest.raises(Stop):
+            entry.queries()[name](None, "")
+        args, kw = calls[-1]
+        assert not any(isinstance(x, dict) and x for x in args) and not {"grid", "n_iter", "trees", "sample", "n_pop", "n_gen"} & set(kw), name
