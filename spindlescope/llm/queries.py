@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spindlescope.llm import decontaminate, fuzzy_lines, minhash, page_text, quality, sampled_pieces, suffix_dedup, toxicity, url_filter, warc
+from spindlescope.llm import (decontaminate, fuzzy_lines, minhash, mixing, page_text, periodic, quality, sampled_pieces, suffix_dedup, toxicity, url_filter, warc,
+                               whitening)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +16,14 @@ QUERIES = {
     "op8_sampled_segmentations": sampled_pieces.op8_sampled_segmentations,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_source_mix": mixing.op12_source_mix,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLES = {
     "op4_minhash_near_dedup": minhash.SQL,
     "op5_url_filter": url_filter.SQL,
     "op9_warc": warc.SQL,
+    "op12_source_mix": mixing.SQL,
 }
