@@ -285,12 +285,13 @@ def tiled(doc_id: Column, text: Column) -> Column:
     """The text in which a tenth of the rows, by crc32 of the id, repeat a stretch of their words up to the end; null ids never do."""
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
+    times = (3 + F.pmod(g, F.lit(8))).cast("int")
     found = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), 0)
     n = F.size(found)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
-    again = F.array_join(F.transform(place, lambda i: F.get(found, i.cast("int"))), " ")
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / times)).cast("int")
+    again = F.concat(F.slice(found, 1, a), F.flatten(F.array_repeat(F.slice(found, a + 1, p), times)))
+    again = F.array_join(F.slice(again, 1, n), " ")
     return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(r"[^\x20\x09-\x0D]"), again).otherwise(text)
 
 
