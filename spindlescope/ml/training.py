@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from spindlescope.config import RunConfig, smart_columns
 from spindlescope.ml import learners as ln
 from spindlescope.ml import metrics as mt
+from spindlescope.ml.batched import cross_validated
+from spindlescope.ml.passes import stored_rows
 from spindlescope.operators import features as ft
 from spindlescope.operators import history as hs
 from spindlescope.operators import sampling as sp
@@ -63,10 +65,15 @@ def search(rows: DataFrame, learner: str, combos: list[dict], width: int, count:
            folds: int = 3, parallelism: int = 4, weight_col: str | None = None) -> tuple[dict, float]:
     """The combination with the best mean F1 over stratified folds.
 
-    Combinations that only differ in Spark parameters share one cross-validator, which runs them
-    in parallel; the others (C, penalty, layers) take one each.
+    Logistic regressions, all combinations and folds, share their scans. Of the other learners, combinations that only
+    differ in Spark parameters share one cross-validator, which runs them in parallel; the others (C, layers) take one each.
     """
     folded = sp.stratified_kfold(rows, folds, "label", keys, seed, "_fold3")
+    if learner == "logistic_regression":
+        stored = stored_rows(folded.withColumnRenamed("_fold3", "fold"), "label", "fold", *([weight_col] if weight_col else []))
+        scores = cross_validated(stored, combos, width, folds, weight_col)
+        top = int(np.argmax(scores))
+        return combos[top], float(scores[top])
     groups: dict[str, list[dict]] = {}
     special = ("C", "penalty", "hidden")
     for c in combos:
