@@ -16,6 +16,8 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 
+from spindlescope.ml.trees import BoostedTrees, ExtraTrees
+
 
 @dataclasses.dataclass(frozen=True)
 class Learner:
@@ -43,13 +45,20 @@ def _penalised(cls):
     return make
 
 
+def _own(cls):
+    """Learners of this package; they read ``vector`` and ``label`` themselves."""
+    def make(params: dict, width: int, rows: int):
+        return cls(**params)
+    return make
+
+
 def _network(params: dict, width: int, rows: int):
     rest = {k: v for k, v in params.items() if k != "hidden"}
     return MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[width, *params["hidden"], 2], **rest)
 
 
 # Default parameters and search grids, in Spark's parameter names. Depth "none" is 30,
-# the largest Spark grows; minimum samples to split have no counterpart.
+# the largest Spark grows; minimum samples to split have no counterpart. Extra trees have no bound but their leaves.
 LEARNERS: dict[str, Learner] = {
     "random_forest": Learner(
         _plain(RandomForestClassifier),
@@ -57,9 +66,8 @@ LEARNERS: dict[str, Learner] = {
         {"numTrees": [1000, 2000, 3000], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["auto", "sqrt"],
          "maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"], "bootstrap": [True, False]}),
     "extra_trees": Learner(
-        _plain(RandomForestClassifier),
-        {"numTrees": 100, "featureSubsetStrategy": "sqrt", "bootstrap": False, "maxDepth": 30},
-        {"numTrees": [100, 200, 300, 400, 500], "featureSubsetStrategy": ["auto", "sqrt", "log2"], "bootstrap": [True, False]}),
+        _own(ExtraTrees), {"numTrees": 100, "maxFeatures": "auto", "bootstrap": False},
+        {"numTrees": [100, 200, 300, 400, 500], "maxFeatures": ["auto", "sqrt", "log2"], "bootstrap": [True, False]}),
     "decision_tree": Learner(
         _plain(DecisionTreeClassifier),
         {"impurity": "gini", "maxDepth": 30, "minInstancesPerNode": 1},
@@ -72,10 +80,10 @@ LEARNERS: dict[str, Learner] = {
     "svm": Learner(
         _penalised(LinearSVC), {"C": 1.0, "maxIter": 100}, {"C": [0.1, 1.0, 10.0, 100.0, 1000.0]}, seeded=False),
     "xgb": Learner(
-        _plain(GBTClassifier),
-        {"stepSize": 0.1, "maxIter": 100, "maxDepth": 3, "minInstancesPerNode": 1, "minInfoGain": 0.1, "subsamplingRate": 1.0},
-        {"stepSize": [0.01, 0.1, 0.2, 0.3], "maxIter": [100, 500, 1000, 1500], "maxDepth": [3, 5, 7, 9],
-         "minInstancesPerNode": [1, 3, 5], "minInfoGain": [0.1, 0.2, 0.3, 0.4], "subsamplingRate": [0.6, 0.8, 1.0]}),
+        _own(BoostedTrees),
+        {"stepSize": 0.1, "maxIter": 100, "maxDepth": 3, "minChildWeight": 1, "gamma": 0.1, "subsample": 1.0, "colsampleByTree": 1.0},
+        {"stepSize": [0.01, 0.1, 0.2, 0.3], "maxIter": [100, 500, 1000, 1500], "maxDepth": [3, 5, 7, 9], "minChildWeight": [1, 3, 5],
+         "gamma": [0.1, 0.2, 0.3, 0.4], "subsample": [0.6, 0.8, 1.0], "colsampleByTree": [0.6, 0.8, 1.0]}),
     "gradient_boosting": Learner(
         _plain(GBTClassifier),
         {"stepSize": 0.1, "maxIter": 100, "maxDepth": 3, "minInstancesPerNode": 1},

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spindlescope.session import cut_lineage
 
@@ -60,3 +61,32 @@ def block_sums(rows: DataFrame, fn: Callable[[np.ndarray, dict[str, np.ndarray]]
         numbers = np.frombuffer(r["v"], float)
         out[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(numbers)] = numbers
     return out
+
+
+def keyed(rows: DataFrame, partial: Callable[[np.ndarray, dict[str, np.ndarray]], dict[int, np.ndarray]], combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
+          finish: Callable[[int, np.ndarray], tuple], schema: str) -> list:
+    """Per key, one array combined over all blocks of rows, and what ``finish(key, array)`` makes of it (a row of ``schema``).
+
+    Tasks combine their own blocks first; then the arrays of a key meet in one task, as many as there were tasks. Only what
+    ``finish`` returns comes to the driver.
+    """
+    def first(batches):
+        acc: dict[int, np.ndarray] = {}
+        for x, rest in blocks(batches):
+            for k, v in partial(x, rest).items():
+                acc[k] = combine(acc[k], v) if k in acc else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int64()), pa.array([np.ascontiguousarray(v, float).tobytes() for v in acc.values()], pa.binary())], ["key", "v"])
+
+    def second(batches):
+        acc: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column("key").to_pylist(), batch.column("v")):
+                v = np.frombuffer(v.as_buffer(), float)
+                acc[k] = combine(acc[k], v) if k in acc else v
+        found = [finish(k, v) for k, v in acc.items()]
+        if found:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, f)) for f in found], schema=arrow)
+
+    kind = rows.sparkSession.createDataFrame([], schema).schema
+    names, arrow = kind.names, to_arrow_schema(kind)
+    return rows.mapInArrow(first, "key bigint, v binary").repartition("key").mapInArrow(second, kind).collect()

@@ -11,6 +11,7 @@ from spindlescope.config import RunConfig
 from spindlescope.ml import metrics as mt
 from spindlescope.ml import neighbour_models as nm
 from spindlescope.ml import training as tr
+from spindlescope.ml import trees as fr
 from spindlescope.operators import sampling as sp
 from spindlescope.operators import statistics as st
 from spindlescope.plans import fixtures as fx
@@ -200,3 +201,75 @@ def transfer_train(spark, sf_dir):
     done = tr.transfer_train(train.filter(F.col("model").isin(near)), train.filter(~F.col("model").isin(near)), test,
                              "mlp", {"hidden": (8,), "maxIter": 20})
     return rounded(mt.report_metrics(done.predictions), 4)
+
+
+def _level_sql(number: int, source: str) -> str:
+    """Best cuts of a level's nodes (``best``) and the rows below them (``member``), first tree of second-order boosting."""
+    return f""", sums{number} AS (SELECT m.node, c.f, c.cut, SUM(CASE WHEN l.v < c.cut THEN 0.5 - m.y ELSE 0 END)::DOUBLE AS gl,
+      SUM(CASE WHEN l.v < c.cut THEN 0.25 ELSE 0 END)::DOUBLE AS hl, SUM(0.5 - m.y)::DOUBLE AS g, SUM(0.25)::DOUBLE AS h
+    FROM {source} m JOIN long l ON l.id = m.id JOIN places c ON c.f = l.f GROUP BY 1, 2, 3),
+  best{number} AS (SELECT node, f, cut, gain FROM (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM sums{number}
+      WHERE hl >= 1 AND h - hl >= 1) WHERE gain > 1e-6 QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1),
+  member{number + 1} AS (SELECT m.id, m.y, 2 * m.node + CASE WHEN l.v < b.cut THEN 1 ELSE 2 END AS node
+    FROM {source} m JOIN best{number} b ON b.node = m.node JOIN long l ON l.id = m.id AND l.f = b.f)"""
+
+
+view("drive_fact", """SELECT serial_number AS id, MAX(failure)::DOUBLE AS y, [MAX(smart_187_raw), SUM(smart_5_raw), COUNT(*)::DOUBLE, MIN(smart_197_raw)] AS x
+  FROM drive_day GROUP BY 1""", ("drive_day",))
+
+
+def drive_facts(spark, sf_dir):
+    """Per drive four numbers and whether it failed."""
+    days = fx.drive_day(spark, sf_dir).groupBy("serial_number").agg(
+        F.max("failure").alias("label"), F.array(F.max("smart_187_raw"), F.sum("smart_5_raw"), F.count(F.lit(1)).cast("double"), F.min("smart_197_raw")).alias("x"))
+    return days.select(F.col("serial_number").alias("vec_id"), array_to_vector("x").alias("vector"), "label")
+
+
+@query("boosted_tree_nodes", f""", long AS (SELECT id, UNNEST(x) AS v, generate_subscripts(x, 1) - 1 AS f FROM drive_fact),
+  places AS (SELECT DISTINCT f, v AS cut FROM long QUALIFY v > MIN(v) OVER (PARTITION BY f)),
+  member0 AS (SELECT id, y, 0 AS node FROM drive_fact){_level_sql(0, "member0")}{_level_sql(1, "member1")},
+  low AS (SELECT * FROM best1 WHERE gain >= 0.1), top AS (SELECT * FROM best0 WHERE gain >= 0.1 OR EXISTS (FROM low)),
+  kept AS (SELECT * FROM top UNION ALL SELECT * FROM low),
+  alive AS (SELECT id, y, node FROM member0 UNION ALL SELECT id, y, node FROM member1 WHERE EXISTS (FROM top)
+    UNION ALL SELECT id, y, node FROM member2 WHERE (node - 1) // 2 IN (SELECT node FROM low)),
+  total AS (SELECT node, SUM(0.5 - y)::DOUBLE AS g, SUM(0.25)::DOUBLE AS h FROM alive GROUP BY 1)
+  SELECT t.node::BIGINT AS node, COALESCE(k.f, -1)::BIGINT AS feature, k.cut, t.g, t.h, CASE WHEN k.f IS NULL THEN ROUND(-0.1 * t.g / (t.h + 1), 9) END AS weight
+  FROM total t LEFT JOIN kept k ON k.node = t.node""", ("drive_fact",))
+def boosted_tree_nodes(spark, sf_dir):
+    rows = fr.stored(drive_facts(spark, sf_dir), None)
+    found = fr.tree_table(fr.BoostedTrees(maxIter=1, maxDepth=2, maxBins=4096).boost(rows))
+    table = spark.createDataFrame([r[1:] for r in found], "node long, feature long, cut double, g double, h double, weight double")
+    return table.withColumns({"feature": F.coalesce("feature", F.lit(-1)), "weight": F.round("weight", 9)})
+
+
+_TREES, _LEVELS = 4, 3
+
+
+def _drawn_sql(level: int) -> str:
+    """Drawn cuts and class counts of the nodes of one level, and the rows below them."""
+    return f""", span{level} AS (SELECT m.tree, m.node, l.f, MIN(l.v) AS lo, MAX(l.v) AS hi, md5('42|' || m.tree || '|' || m.node || '|' || l.f) AS h
+    FROM member{level} m JOIN long l ON l.id = m.id GROUP BY 1, 2, 3 HAVING MIN(l.v) < MAX(l.v) AND MIN(m.y) < MAX(m.y)),
+  offer{level} AS (SELECT tree, node, f, rank, CASE WHEN spot < hi THEN spot ELSE lo END AS cut FROM (
+    SELECT *, lo + (hi - lo) * (CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS spot,
+      ROW_NUMBER() OVER (PARTITION BY tree, node ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT), f) AS rank FROM span{level}) WHERE rank <= 8),
+  side{level} AS (SELECT o.tree, o.node, o.f, o.cut, o.rank, SUM((l.v <= o.cut AND m.y = 0)::INT)::DOUBLE AS l0, SUM((l.v <= o.cut AND m.y = 1)::INT)::DOUBLE AS l1,
+    SUM((l.v > o.cut AND m.y = 0)::INT)::DOUBLE AS r0, SUM((l.v > o.cut AND m.y = 1)::INT)::DOUBLE AS r1
+    FROM offer{level} o JOIN member{level} m ON m.tree = o.tree AND m.node = o.node JOIN long l ON l.id = m.id AND l.f = o.f GROUP BY ALL),
+  split{level} AS (SELECT tree, node, f, cut FROM side{level}
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY tree, node ORDER BY (l0 * l0 + l1 * l1) / (l0 + l1) + (r0 * r0 + r1 * r1) / (r0 + r1) DESC, rank) = 1),
+  member{level + 1} AS (SELECT m.tree, m.id, m.y, 2 * m.node + CASE WHEN l.v <= s.cut THEN 1 ELSE 2 END AS node
+    FROM member{level} m JOIN split{level} s ON s.tree = m.tree AND s.node = m.node JOIN long l ON l.id = m.id AND l.f = s.f)"""
+
+
+@query("extra_trees_nodes", f""", long AS (SELECT vec_id AS id, UNNEST(vec) AS v, generate_subscripts(vec, 1) - 1 AS f FROM v),
+  member0 AS (SELECT t.tree, vec_id AS id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, 0 AS node FROM v, (SELECT UNNEST(range({_TREES})) AS tree) t)
+  {"".join(_drawn_sql(i) for i in range(_LEVELS))},
+  every AS ({" UNION ALL ".join(f"SELECT * FROM member{i}" for i in range(_LEVELS + 1))}),
+  split AS ({" UNION ALL ".join(f"SELECT * FROM split{i}" for i in range(_LEVELS))})
+  SELECT e.tree::BIGINT AS tree, e.node::BIGINT AS node, COALESCE(s.f, -1)::BIGINT AS feature, s.cut, SUM((y = 0)::INT)::DOUBLE AS n0, SUM((y = 1)::INT)::DOUBLE AS n1
+  FROM every e LEFT JOIN split s ON s.tree = e.tree AND s.node = e.node GROUP BY ALL""", ("v",))
+def extra_trees_nodes(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir).select(array_to_vector("vec").alias("vector"), F.col("positive").alias("label"))
+    rows = fr.stored(v, None)
+    found = fr.node_table(fr.ExtraTrees(numTrees=_TREES, maxDepth=_LEVELS).grow(rows, len(rows.first()["x"])))
+    return spark.createDataFrame(found, "tree long, node long, feature long, cut double, n0 double, n1 double").withColumn("feature", F.coalesce("feature", F.lit(-1)))
