@@ -9,13 +9,14 @@ import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
 
+from spindlescope.ml.kernels import KERNELS, KernelSVM
+from spindlescope.ml.networks import Network
 from spindlescope.ml.trees import BoostedTrees, ExtraTrees
 
 
@@ -33,16 +34,13 @@ def _plain(cls, **fixed):
     return make
 
 
-def _penalised(cls):
-    """Learners whose strength is given as C: regParam = 1 / (C * rows)."""
-    def make(params: dict, width: int, rows: int):
-        rest = {k: v for k, v in params.items() if k not in ("C", "penalty")}
-        penalty = params.get("penalty", "l2")
-        rest["regParam"] = 0.0 if penalty == "none" else 1.0 / (params.get("C", 1.0) * max(rows, 1))
-        if cls is LogisticRegression:
-            rest["elasticNetParam"] = {"l1": 1.0, "l2": 0.0, "elasticnet": 0.5, "none": 0.0}[penalty]
-        return cls(featuresCol="vector", labelCol="label", **rest)
-    return make
+def _logistic(params: dict, width: int, rows: int):
+    """Strength given as C: regParam = 1 / (C * rows)."""
+    rest = {k: v for k, v in params.items() if k not in ("C", "penalty")}
+    penalty = params.get("penalty", "l2")
+    rest["regParam"] = 0.0 if penalty == "none" else 1.0 / (params.get("C", 1.0) * max(rows, 1))
+    rest["elasticNetParam"] = {"l1": 1.0, "l2": 0.0, "elasticnet": 0.5, "none": 0.0}[penalty]
+    return LogisticRegression(featuresCol="vector", labelCol="label", **rest)
 
 
 def _own(cls):
@@ -73,12 +71,13 @@ LEARNERS: dict[str, Learner] = {
         {"impurity": "gini", "maxDepth": 30, "minInstancesPerNode": 1},
         {"impurity": ["gini", "entropy"], "maxDepth": list(range(1, 31)), "minInstancesPerNode": [1, 2, 4]}),
     "logistic_regression": Learner(
-        _penalised(LogisticRegression),
+        _logistic,
         {"penalty": "l2", "C": 1.0, "maxIter": 100},
         {"penalty": ["l1", "l2", "elasticnet", "none"], "C": [float(c) for c in np.logspace(-4, 4, 20)],
          "maxIter": [100, 1000, 2500, 5000]}, seeded=False),
     "svm": Learner(
-        _penalised(LinearSVC), {"C": 1.0, "maxIter": 100}, {"C": [0.1, 1.0, 10.0, 100.0, 1000.0]}, seeded=False),
+        _own(KernelSVM), {"C": 1.0, "gamma": "scale", "kernel": "rbf"},
+        {"C": [0.1, 1.0, 10.0, 100.0, 1000.0], "gamma": [1.0, 0.1, 0.01, 0.001, 0.0001], "kernel": list(KERNELS)}),
     "xgb": Learner(
         _own(BoostedTrees),
         {"stepSize": 0.1, "maxIter": 100, "maxDepth": 3, "minChildWeight": 1, "gamma": 0.1, "subsample": 1.0, "colsampleByTree": 1.0},
@@ -97,17 +96,19 @@ LEARNERS: dict[str, Learner] = {
     "dense_net": Learner(_network, {"hidden": (8, 8), "maxIter": 200}, {"hidden": [(8, 8), (64, 64)], "maxIter": [200]}),
 }
 
-WEIGHTED = ("random_forest", "extra_trees", "decision_tree", "logistic_regression", "svm", "xgb", "gradient_boosting", "naive_bayes")
+NETWORKS = ("mlp", "mlp_two_layer", "dense_net")
 
 
 def build(name: str, params: dict | None, width: int, rows: int, seed: int, weight_col: str | None = None):
-    """The estimator of a learner on ``vector``/``label``, with its defaults overlaid by ``params``."""
+    """The estimator of a learner on ``vector``/``label``, with its defaults overlaid by ``params``.
+
+    Networks with class weights are trained by this package, since Spark's have no weight column.
+    """
     learner = LEARNERS[name]
-    model = learner.make({**learner.defaults, **(params or {})}, width, rows)
+    chosen = {**learner.defaults, **(params or {})}
+    if weight_col and name in NETWORKS:
+        return Network(**{k: v for k, v in chosen.items() if k in Network.DEFAULTS}).setSeed(seed).setWeightCol(weight_col)
+    model = learner.make(chosen, width, rows)
     if learner.seeded:
         model = model.setSeed(seed)
-    if weight_col:
-        if name not in WEIGHTED:
-            raise ValueError(f"{name} takes no class weights")
-        model = model.setWeightCol(weight_col)
-    return model
+    return model.setWeightCol(weight_col) if weight_col else model

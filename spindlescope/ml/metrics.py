@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindlescope.session import cut_lineage
+
+#: Rows per group of the silhouette, and rows of a group that are compared at once.
+TILE, SLAB = 8192, 256
+
 
 def _count(truth: str, predicted: str, t: int, p: int) -> Column:
     return F.count_if((F.col(truth) == t) & (F.col(predicted) == p))
@@ -61,3 +69,58 @@ def silhouette(df: DataFrame, labels: str = "prediction", vector: str = "vector"
     if used.select("_l").distinct().limit(2).count() < 2:
         return None
     return ClusteringEvaluator(predictionCol="_l", featuresCol=vector, metricName="silhouette").evaluate(used)
+
+
+def _cluster_sums(left: np.ndarray, right: np.ndarray, cluster: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Clusters on the right, and per left row the sum of its distances to each of them."""
+    names, at = np.unique(cluster, return_inverse=True)
+    member = np.zeros((len(right), len(names)))
+    member[np.arange(len(right)), at] = copies
+    out = np.empty((len(left), len(names)))
+    for a in range(0, len(left), SLAB):
+        gap = left[a:a + SLAB, None, :] - right[None, :, :] if left.shape[1] <= 4 else None
+        if gap is not None:
+            d = np.sqrt((gap * gap).sum(axis=2))
+        else:
+            part = left[a:a + SLAB]
+            d = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + (right * right).sum(axis=1) - 2.0 * (part @ right.T), 0.0))
+        out[a:a + SLAB] = d @ member
+    return names, out
+
+
+def euclidean_silhouette(df: DataFrame, labels: str = "prediction", vector: str = "vector", tile: int = TILE) -> DataFrame:
+    """Mean silhouette in plain Euclidean distance, and the rows it is over: (records, silhouette).
+
+    Equal rows of a label are counted and compared once. The others are dealt out to groups of about ``tile``; every pair of groups
+    meets in one task, which adds up the distances of each row to each cluster; the sums are joined over the pairs in Spark. Distances do
+    not cancel like squared ones, so all pairs of rows are computed, but none is stored or shuffled. A row alone in its cluster
+    scores 0; with fewer than two clusters the score is null.
+    """
+    v = F.col(vector) if dict(df.dtypes)[vector].startswith("array") else vector_to_array(vector)
+    rows = df.select(v.cast("array<double>").alias("v"), F.col(labels).cast("int").alias("cluster")).where("v IS NOT NULL AND cluster IS NOT NULL")
+    distinct = cut_lineage(rows.groupBy("v", "cluster").agg(F.count(F.lit(1)).alias("copies"))
+                           .withColumns({"id": F.xxhash64("v", "cluster"), "id2": F.xxhash64("cluster", "v", F.lit(1))}))
+    groups = max(1, -(-distinct.count() // tile))
+    dealt = distinct.withColumn("g", F.pmod("id", F.lit(groups)).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left, right = dealt.withColumn("i", F.col("g")).withColumn("j", others), dealt.withColumn("j", F.col("g")).withColumn("i", others)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=["id", "id2", "own", "copies", "cluster", "total"])
+        x = np.vstack(a["v"].to_numpy())
+        middle = x.mean(axis=0)
+        names, sums = _cluster_sums(x - middle, np.vstack(b["v"].to_numpy()) - middle, b["cluster"].to_numpy(), b["copies"].to_numpy())
+        n = len(names)
+        kept = {c: np.repeat(a[source].to_numpy(), n) for c, source in (("id", "id"), ("id2", "id2"), ("own", "cluster"), ("copies", "copies"))}
+        return pd.DataFrame({**kept, "cluster": np.tile(names, len(a)), "total": sums.ravel()})
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "id long, id2 long, own int, copies long, cluster int, total double")
+    sums = met.groupBy("id", "id2", "own", "cluster").agg(F.max("copies").alias("copies"), F.sum("total").alias("total"))
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    means = sums.join(sizes, "cluster").groupBy("id", "id2", "own").agg(
+        F.max("copies").alias("copies"), F.max(F.when(F.col("own") == F.col("cluster"), F.col("n"))).alias("n"),
+        F.max(F.when(F.col("own") == F.col("cluster"), F.try_divide("total", F.col("n") - 1))).alias("a"),
+        F.min(F.when(F.col("own") != F.col("cluster"), F.col("total") / F.col("n"))).alias("b"))
+    score = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.when(F.col("b").isNotNull(), 0.0)))
+    return means.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("records"),
+                     F.when(F.count("b") > 0, F.sum(score * F.col("copies")) / F.sum("copies")).alias("silhouette"))

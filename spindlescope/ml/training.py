@@ -66,7 +66,7 @@ def search(rows: DataFrame, learner: str, combos: list[dict], width: int, count:
     """The combination with the best mean F1 over stratified folds.
 
     Logistic regressions, all combinations and folds, share their scans. Of the other learners, combinations that only
-    differ in Spark parameters share one cross-validator, which runs them in parallel; the others (C, layers) take one each.
+    differ in Spark parameters share one cross-validator, which runs them in parallel; layers take one each.
     """
     folded = sp.stratified_kfold(rows, folds, "label", keys, seed, "_fold3")
     if learner == "logistic_regression":
@@ -75,7 +75,7 @@ def search(rows: DataFrame, learner: str, combos: list[dict], width: int, count:
         top = int(np.argmax(scores))
         return combos[top], float(scores[top])
     groups: dict[str, list[dict]] = {}
-    special = ("C", "penalty", "hidden")
+    special = ("hidden",)
     for c in combos:
         groups.setdefault(json.dumps({k: c[k] for k in special if k in c}), []).append(c)
     best, top = {}, -1.0

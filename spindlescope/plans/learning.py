@@ -8,10 +8,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from spindlescope.config import RunConfig
+from spindlescope.ml import kernels as kn
 from spindlescope.ml import metrics as mt
+from spindlescope.ml import networks as nw
 from spindlescope.ml import neighbour_models as nm
 from spindlescope.ml import training as tr
 from spindlescope.ml import trees as fr
+from spindlescope.ml.passes import block_sums, stored_rows
 from spindlescope.operators import sampling as sp
 from spindlescope.operators import statistics as st
 from spindlescope.plans import fixtures as fx
@@ -88,6 +91,62 @@ def learn_with_class_weights(spark, sf_dir):
     return _fit(spark, sf_dir, "logistic_regression", None, weights={0: 0.3, 1: 1.7})
 
 
+@query("learn_network_with_class_weights")
+def learn_network_with_class_weights(spark, sf_dir):
+    return _fit(spark, sf_dir, "mlp", None, weights={0: 0.3, 1: 1.7})
+
+
+@query("learn_svm_kernels")
+def learn_svm_kernels(spark, sf_dir):
+    """One row of metrics per kernel, default strength and gamma."""
+    out = None
+    for kernel in kn.KERNELS:
+        row = _fit(spark, sf_dir, "svm", {"kernel": kernel}).withColumn("kernel", F.lit(kernel))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: What a kernel value from 4,096 mapped features may be off by; gamma is 1 / (columns * variance), so the values are about 1 at most.
+KERNEL_ERROR = 0.25
+
+
+@query("kernel_values", f""", g AS (SELECT 1 / (COUNT(*) / (SELECT COUNT(*) FROM v) * VAR_POP(x)) AS gamma FROM (SELECT UNNEST(vec) AS x FROM v)),
+  p AS (SELECT a.vec_id, gamma * list_dot_product(a.vec, b.vec) AS z, gamma * list_distance(a.vec, b.vec) ** 2 AS d FROM v a JOIN v b ON b.vec_id = a.vec_id + 1, g)
+  SELECT vec_id, 'poly' AS kernel, ROUND(z ** 3, 6) AS exact, TRUE AS close FROM p
+  UNION ALL SELECT vec_id, 'rbf', ROUND(EXP(-d), 6), TRUE FROM p
+  UNION ALL SELECT vec_id, 'sigmoid', ROUND((EXP(2 * z) - 1) / (EXP(2 * z) + 1), 6), TRUE FROM p WHERE ABS(z) <= 1""", ("v",))
+def kernel_values(spark, sf_dir):
+    """Exact kernel values of neighbouring rows, and whether the mapped rows give them within KERNEL_ERROR."""
+    v = fx.vectors(spark, sf_dir)
+    gamma = kn.scale_gamma(stored_rows(v.select(array_to_vector("vec").alias("vector"))))
+    pairs = v.select("vec_id", F.col("vec").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("b")), "vec_id")
+    both = F.zip_with("a", "b", lambda x, y: x * y)
+    apart = F.zip_with("a", "b", lambda x, y: (x - y) * (x - y))
+    z, d = (F.lit(gamma) * F.aggregate(c, F.lit(0.0), lambda s, x: s + x) for c in (both, apart))
+    pairs = pairs.withColumns({"z": z, "d": d})
+    out = None
+    for kernel, exact in (("poly", F.pow("z", F.lit(3.0))), ("rbf", F.exp(-F.col("d"))), ("sigmoid", F.tanh("z"))):
+        rows = pairs.where(F.abs("z") <= 1) if kernel == "sigmoid" else pairs
+        facts = {"kernel": kernel, "gamma": gamma, "degree": 3, "coef0": 0.0, "features": 4096, "seed": 42}
+        rows = kn.kernel_values(rows.withColumn("exact", exact), "a", "b", facts)
+        rows = rows.select("vec_id", F.lit(kernel).alias("kernel"), F.round("exact", 6).alias("exact"), (F.abs(F.col("approximate") - F.col("exact")) <= KERNEL_ERROR).alias("close"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("network_gradient", """, r AS (SELECT CASE WHEN label = 0 THEN 1.7 ELSE 0.3 END::DOUBLE AS w, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, vec FROM v)
+  SELECT p::BIGINT AS position, ROUND(SUM(w * (0.5 - y) * x), 6) AS slope FROM (SELECT w, y, UNNEST(vec) AS x, generate_subscripts(vec, 1) - 1 AS p FROM r) GROUP BY 1
+  UNION ALL SELECT 64, ROUND(SUM(w * (0.5 - y)), 6) FROM r""", ("v",))
+def network_gradient(spark, sf_dir):
+    """Weighted gradient, summed over the tasks, of a network without hidden layers whose weights are 0: one number per input, then the bias."""
+    v = fx.vectors(spark, sf_dir).select(array_to_vector("vec").alias("vector"), F.col("positive").alias("label"), F.when(F.col("positive") == 1, 1.7).otherwise(0.3).alias("w"))
+    rows = stored_rows(v, "label", "w")
+    layers = [len(rows.first()["x"]), 1]
+    flat = 0.0 * nw.initial(layers, 1)
+    sums = block_sums(rows, lambda x, rest: nw.weighted_gradient(flat, layers, x, rest["label"], rest["w"]), 2 + len(flat))
+    return rounded(spark.createDataFrame([(i, float(s)) for i, s in enumerate(sums[2:])], "position long, slope double"))
+
+
 @query("grid_search")
 def grid_search(spark, sf_dir):
     return _fit(spark, sf_dir, "logistic_regression", None, method="grid")
@@ -167,6 +226,15 @@ def silhouette(spark, sf_dir):
     return rounded(v.agg(F.count(F.lit(1)).alias("records"), F.lit(value).alias("silhouette")), 4)
 
 
+@query("silhouette_euclidean", """, pair AS (SELECT a.vec_id, a.label AS own, b.label AS other, AVG(list_distance(a.vec, b.vec)) AS mean, SUM(list_distance(a.vec, b.vec)) AS total, COUNT(*) AS n
+    FROM v a JOIN v b ON TRUE GROUP BY ALL),
+  s AS (SELECT vec_id, MAX(CASE WHEN own = other THEN n END) AS n, MAX(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a, MIN(CASE WHEN own <> other THEN mean END) AS b
+    FROM pair GROUP BY 1)
+  SELECT COUNT(*)::BIGINT AS records, ROUND(AVG(CASE WHEN n = 1 THEN 0 ELSE (b - a) / GREATEST(a, b) END), 6) AS silhouette FROM s""", ("v",))
+def silhouette_euclidean(spark, sf_dir):
+    return rounded(mt.euclidean_silhouette(fx.vectors(spark, sf_dir).select("vec", F.col("label").alias("prediction")), vector="vec"))
+
+
 @query("train_and_evaluate")
 def train_and_evaluate(spark, sf_dir):
     run = tr.fit_run(fx.drive_day(spark, sf_dir), CFG)
