@@ -16,6 +16,7 @@ from pyspark.ml.classification import (
 )
 
 from spindlescope.ml.kernels import KERNELS, KernelSVM
+from spindlescope.ml.neighbour_stages import DensityClusters, IsolationForest, NearestNeighbours
 from spindlescope.ml.networks import Network
 from spindlescope.ml.trees import BoostedTrees, ExtraTrees
 
@@ -57,6 +58,7 @@ def _network(params: dict, width: int, rows: int):
 
 # Default parameters and search grids, in Spark's parameter names. Depth "none" is 30,
 # the largest Spark grows; minimum samples to split have no counterpart. Extra trees have no bound but their leaves.
+# The leaf size of a neighbour search changes no result and is left out.
 LEARNERS: dict[str, Learner] = {
     "random_forest": Learner(
         _plain(RandomForestClassifier),
@@ -89,6 +91,16 @@ LEARNERS: dict[str, Learner] = {
         {"maxIter": [100, 200, 300, 400, 500], "stepSize": [0.1, 0.05, 0.01], "maxDepth": [3, 4, 5, 6, 7],
          "minInstancesPerNode": [1, 2, 5, 10]}),
     "naive_bayes": Learner(_plain(NaiveBayes, modelType="gaussian"), {}, {}, seeded=False),
+    "k_nearest": Learner(
+        _own(NearestNeighbours), {"k": 5, "weights": "uniform", "metric": "minkowski"},
+        {"k": list(range(1, 31)), "weights": ["uniform", "distance"], "metric": ["euclidean", "manhattan", "minkowski"]}, seeded=False),
+    "isolation_forest": Learner(
+        _own(IsolationForest), {"numTrees": 100, "maxSamples": "auto", "contamination": "auto", "maxFeatures": 1.0, "bootstrap": False},
+        {"numTrees": [100, 200, 300, 400, 500], "maxSamples": ["auto", 100, 200, 300, 400, 500], "contamination": ["auto", 0.1, 0.2, 0.3, 0.4, 0.5],
+         "maxFeatures": [1, 2, 3, 4, 5], "bootstrap": [True, False]}),
+    "dbscan": Learner(
+        _own(DensityClusters), {"eps": 0.5, "minSamples": 5},
+        {"eps": [0.3, 0.5, 0.7], "minSamples": [5, 10, 15], "metric": ["euclidean", "manhattan", "chebyshev"]}, seeded=False),
     "mlp": Learner(
         _network, {"hidden": (100,), "maxIter": 200},
         {"hidden": [(50, 50, 50), (50, 100, 50), (100,)], "maxIter": [200, 500, 1000]}),
@@ -97,6 +109,9 @@ LEARNERS: dict[str, Learner] = {
 }
 
 NETWORKS = ("mlp", "mlp_two_layer", "dense_net")
+#: Learners that do not read the labels: they are judged by the silhouette of what they find, and predict 1 for outliers.
+UNSUPERVISED = ("isolation_forest", "dbscan")
+UNWEIGHTED = (*UNSUPERVISED, "k_nearest")
 
 
 def build(name: str, params: dict | None, width: int, rows: int, seed: int, weight_col: str | None = None):
@@ -104,6 +119,8 @@ def build(name: str, params: dict | None, width: int, rows: int, seed: int, weig
 
     Networks with class weights are trained by this package, since Spark's have no weight column.
     """
+    if weight_col and name in UNWEIGHTED:
+        raise ValueError(f"{name} takes no class weights")
     learner = LEARNERS[name]
     chosen = {**learner.defaults, **(params or {})}
     if weight_col and name in NETWORKS:

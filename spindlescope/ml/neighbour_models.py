@@ -87,6 +87,21 @@ def _average_path(n):
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
+def path_lengths(trees, x: np.ndarray) -> np.ndarray:
+    """Sum over the trees of the path length of every row."""
+    rows, total = np.arange(len(x)), np.zeros(len(x))
+    for feature, cut, extra in trees:
+        node = np.zeros(len(x), dtype=int)
+        while True:
+            inner = feature[node] >= 0
+            if not inner.any():
+                break
+            right = x[rows, np.maximum(feature[node], 0)] >= cut[node]
+            node = np.where(inner, 2 * node + 1 + right, node)
+        total += extra[node]
+    return total
+
+
 @dataclasses.dataclass(frozen=True)
 class IsolationForestModel:
     """Trees as flat arrays; their size is trees * 2 * sample nodes, whatever the training rows."""
@@ -104,18 +119,7 @@ class IsolationForestModel:
         @F.pandas_udf(T.DoubleType())
         def anomaly(vectors: pd.Series) -> pd.Series:
             x = np.vstack([np.asarray(v, dtype=float) for v in vectors])
-            rows = np.arange(len(x))
-            total = np.zeros(len(x))
-            for feature, cut, extra in shared.value:
-                node = np.zeros(len(x), dtype=int)
-                while True:
-                    inner = feature[node] >= 0
-                    if not inner.any():
-                        break
-                    right = x[rows, np.maximum(feature[node], 0)] >= cut[node]
-                    node = np.where(inner, 2 * node + 1 + right, node)
-                total += extra[node]
-            return pd.Series(np.power(2.0, -total / len(shared.value) / expected))
+            return pd.Series(np.power(2.0, -path_lengths(shared.value, x) / len(shared.value) / expected))
 
         return df.withColumn(out, anomaly(F.col(vec)))
 

@@ -19,6 +19,7 @@ from spindlescope.config import RunConfig, smart_columns
 from spindlescope.ml import learners as ln
 from spindlescope.ml import metrics as mt
 from spindlescope.ml.batched import cross_validated
+from spindlescope.ml.neighbour_stages import fitted_labels
 from spindlescope.ml.passes import stored_rows
 from spindlescope.operators import features as ft
 from spindlescope.operators import history as hs
@@ -106,7 +107,8 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, learner: str, params:
                        keys=("serial_number", "date"), weights: dict | None = None, parallelism: int = 4) -> Trained:
     """Search, cross-validate, fit on all training rows, predict the test rows and report.
 
-    Frames hold ``vector``, 0/1 ``label`` and ``keys``. ``method`` is ``grid``, ``randomized`` or None;
+    Unsupervised learners are searched and judged by the plain silhouette of the labels they give the training rows (``silhouette`` in
+    the report, no cross-validation); their outliers count as class 1. Frames hold ``vector``, 0/1 ``label`` and ``keys``. ``method`` is ``grid``, ``randomized`` or None;
     one fit uses all rows. Training rows are stored once, since every stage reads them again, and so are
     the predictions, without their vectors; folds are a column computed on the stored rows.
     """
@@ -114,7 +116,8 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, learner: str, params:
     weight_col = None
     if weights:
         train, weight_col = sp.class_weights(train, weights, "label"), "weight"
-    train = cut_lineage(train.select(*keys, "vector", F.col("label").cast("double").alias("label"), *([weight_col] if weight_col else [])))
+    row_id = F.concat_ws("|", *keys).alias("row_id")
+    train = cut_lineage(train.select(*keys, row_id, "vector", F.col("label").cast("double").alias("label"), *([weight_col] if weight_col else [])))
     count = train.count()
     width = int(train.first()["vector"].size)
     chosen = dict(params or {})
@@ -124,22 +127,34 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, learner: str, params:
             combos = draw_maps(combos, n_iter, seed)
         elif method != "grid":
             raise ValueError(f"unknown search method: {method}")
-        found, _ = search(train, learner, [{**chosen, **c} for c in combos], width, count, seed, keys,
-                          parallelism=parallelism, weight_col=weight_col)
+        combos = [{**chosen, **c} for c in combos]
+        if learner in ln.UNSUPERVISED:
+            found = max(combos, key=lambda c: -2.0 if (s := _silhouette(train, learner, c, width, count, seed)) is None else s)
+        else:
+            found, _ = search(train, learner, combos, width, count, seed, keys, parallelism=parallelism, weight_col=weight_col)
         chosen.update(found)
     estimator = ln.build(learner, chosen, width, count, seed, weight_col)
     cv = None
-    if folds:
+    if folds and learner not in ln.UNSUPERVISED:
         folded = sp.stratified_kfold(train, folds, "label", keys, seed, "_fold5")
         cv = float(_cross_validate(estimator, [], folded, folds, accuracy_judge(), "_fold5", parallelism)[0])
     model = Pipeline(stages=[estimator]).fit(train)
-    scored = model.transform(test.withColumn("label", F.col("label").cast("double")))
+    scored = model.transform(test.select("*", row_id).withColumn("label", F.col("label").cast("double")))
     predicted = cut_lineage(scored.select(*keys, "label", "prediction", "rawPrediction"))
     report = mt.report_metrics(predicted).first().asDict()
     report["auc_score"] = mt.auc_score(predicted) if model.stages[-1].numClasses == 2 else None
+    if learner in ln.UNSUPERVISED:
+        labels = fitted_labels(model, learner, chosen, train)
+        report["silhouette"] = mt.euclidean_silhouette(labels).first()["silhouette"]
     return Trained(model, chosen, cv, report, predicted)
 
 
+def _silhouette(train: DataFrame, learner: str, params: dict, width: int, count: int, seed: int) -> float | None:
+    """Silhouette of the labels that one combination gives the training rows; None for a single cluster."""
+    model = Pipeline(stages=[ln.build(learner, params, width, count, seed)]).fit(train)
+    return mt.euclidean_silhouette(fitted_labels(model, learner, params, train)).first()["silhouette"]
+
+
 @dataclasses.dataclass
 class Run:
     """Everything scoring needs to repeat what training did."""

@@ -180,6 +180,32 @@ def learn_nearest_neighbours_distance(spark, sf_dir):
     return rounded(nm.knn_classify(train, test, weights="distance"))
 
 
+@query("learn_k_nearest", f""", n AS (SELECT a.vec_id, a.label AS truth, b.label, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.vec, b.vec), b.vec_id) AS rank
+    FROM sides a JOIN sides b ON a.is_test AND NOT b.is_test),
+  p AS (SELECT vec_id, MAX(truth) AS truth, CASE WHEN SUM(label) > 2 THEN 1 ELSE 0 END AS said FROM n WHERE rank <= 5 GROUP BY 1),
+  c AS (SELECT (COUNT(*) FILTER (truth = 1 AND said = 1))::DOUBLE AS tp, (COUNT(*) FILTER (truth = 0 AND said = 1))::DOUBLE AS fp,
+    (COUNT(*) FILTER (truth = 0 AND said = 0))::DOUBLE AS tn, (COUNT(*) FILTER (truth = 1 AND said = 0))::DOUBLE AS fn FROM p)
+  SELECT ROUND(SQRT((fp + fn) / (tp + fp + tn + fn)), 4) AS rmse, ROUND((fp + fn) / (tp + fp + tn + fn), 4) AS mae,
+  ROUND({_safe('fp', 'fp + tp')}, 4) AS fdr, ROUND({_safe('fp', 'fp + tn')}, 4) AS far, ROUND({_safe('2 * tp', '2 * tp + fp + fn')}, 4) AS f1,
+  ROUND({_safe('tp', 'tp + fn')}, 4) AS recall, ROUND({_safe('tp', 'tp + fp')}, 4) AS precision,
+  ROUND((tp + tn) / (tp + fp + tn + fn), 4) AS accuracy, ROUND(({_safe('tp', 'tp + fn')} + {_safe('tn', 'fp + tn')}) / 2, 4) AS auc_hard FROM c""", ("sides",))
+def learn_k_nearest(spark, sf_dir):
+    return _fit(spark, sf_dir, "k_nearest", None)
+
+
+@query("learn_unsupervised")
+def learn_unsupervised(spark, sf_dir):
+    """Isolation forest and density clusters through the runner: their metrics against the labels, and the silhouette of what they find."""
+    points = drive_points(spark, sf_dir).join(drive_facts(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    marked = sp.split_random(points, 0.3, label="label", keys=["vec_id"])
+    train, test = (_as_vectors(marked.filter(c)) for c in ("NOT is_test", "is_test"))
+    rows = []
+    for learner, params in (("isolation_forest", None), ("dbscan", {"eps": 0.15})):
+        done = tr.train_and_evaluate(train, test, learner, params, keys=["vec_id"])
+        rows += [(learner, k, float(v)) for k, v in sorted(done.metrics.items()) if v is not None]
+    return rounded(spark.createDataFrame(rows, "learner string, metric string, value double"), 4)
+
+
 @query("isolation_forest")
 def isolation_forest(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)

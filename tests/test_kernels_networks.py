@@ -32,7 +32,8 @@ def test_maps_give_the_kernels():
         m = kn.mapped(x, kernel, gamma, features=8192, **extra)
         off = np.abs((m * kn.signs(kernel, 9, 8192)) @ m.T - exact)
         small = np.abs(gamma * z) <= 1
-        size = np.maximum(1.0, np.sqrt(np.outer(np.diag(exact), np.diag(exact)))) if kernel == "poly" else 1.0
+        length = gamma * np.sqrt(np.outer(np.diag(z), np.diag(z))) + extra.get("coef0", 0.0)
+        size = np.maximum(1.0, length ** {"poly": extra.get("degree", 3), "sigmoid": 5}.get(kernel, 0))
         assert (off / size)[small].mean() < 0.03 and (off / size)[small].max() < 0.15, kernel
         assert (m == kn.mapped(x[:60], kernel, gamma, features=8192, **extra)).all()
     sketch = np.mean([(kn.power_sketch(x[:1], 3, 64, s) * kn.power_sketch(x[1:2], 3, 64, s)).sum() for s in range(400)])

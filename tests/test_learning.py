@@ -15,7 +15,7 @@ from spindlescope.ml.networks import Network
 SMALL = {
     "random_forest": {"numTrees": 10, "maxDepth": 4}, "extra_trees": {"numTrees": 10, "maxDepth": 6}, "decision_tree": {"maxDepth": 4},
     "logistic_regression": {}, "svm": {"maxIter": 20}, "xgb": {"maxIter": 5}, "gradient_boosting": {"maxIter": 5}, "naive_bayes": {},
-    "mlp": {"hidden": (8,), "maxIter": 50}, "dense_net": {"maxIter": 50},
+    "k_nearest": {}, "mlp": {"hidden": (8,), "maxIter": 50}, "dense_net": {"maxIter": 50},
 }
 
 
