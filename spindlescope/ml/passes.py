@@ -63,12 +63,11 @@ def block_sums(rows: DataFrame, fn: Callable[[np.ndarray, dict[str, np.ndarray]]
     return out
 
 
-def keyed(rows: DataFrame, partial: Callable[[np.ndarray, dict[str, np.ndarray]], dict[int, np.ndarray]], combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
-          finish: Callable[[int, np.ndarray], tuple], schema: str) -> list:
+def keyed_frame(rows: DataFrame, partial: Callable[[np.ndarray, dict[str, np.ndarray]], dict[int, np.ndarray]], combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
+                finish: Callable[[int, np.ndarray], tuple], schema: str) -> DataFrame:
     """Per key, one array combined over all blocks of rows, and what ``finish(key, array)`` makes of it (a row of ``schema``).
 
-    Tasks combine their own blocks first; then the arrays of a key meet in one task, as many as there were tasks. Only what
-    ``finish`` returns comes to the driver.
+    Tasks combine their own blocks first; then the arrays of a key meet in one task, as many as there were tasks.
     """
     def first(batches):
         acc: dict[int, np.ndarray] = {}
@@ -89,4 +88,9 @@ def keyed(rows: DataFrame, partial: Callable[[np.ndarray, dict[str, np.ndarray]]
 
     kind = rows.sparkSession.createDataFrame([], schema).schema
     names, arrow = kind.names, to_arrow_schema(kind)
-    return rows.mapInArrow(first, "key bigint, v binary").repartition("key").mapInArrow(second, kind).collect()
+    return rows.mapInArrow(first, "key bigint, v binary").repartition("key").mapInArrow(second, kind)
+
+
+def keyed(*args) -> list:
+    """The rows of ``keyed_frame`` on the driver: what ``finish`` returns, one row per key."""
+    return keyed_frame(*args).collect()

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,10 +10,10 @@ from pyspark.sql.window import Window
 
 from spindlescope.config import CRITICAL_COLUMNS, smart_columns
 from spindlescope.functions.names import bin_of, vendor_of
+from spindlescope.ml.passes import keyed_frame
 from spindlescope.operators.history import forward
 from spindlescope.operators.ordering import exact_quantiles, long_form, pick_by_hash, row_hash
 
-CORR_PAIRS_PER_PASS = 200
 
 
 def _count_if(condition):
@@ -168,23 +167,46 @@ def sample_drives(df: DataFrame, failed: int = 500, healthy: int = 75_000, seed:
 def correlation_matrix(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
     """Pairwise Pearson correlation in long form (feature_a < feature_b by position, complete pairs only).
 
-    All pairs are aggregates of one scan with map-side partial sums; very wide tables take one scan
-    per ``CORR_PAIRS_PER_PASS`` pairs, which keeps the aggregation buffer bounded.
+    One scan for any number of columns: a task adds up four matrices per group, of products, of values and squares where the other column
+    is present, and of counts. NaN counts as missing. ``by`` is a column with few values, which are read first. A pair is null if
+    either side does not vary on the complete rows.
     """
-    keys = [by] if by else []
-    pairs = list(combinations(cols, 2))
-    parts = []
-    for start in range(0, len(pairs), CORR_PAIRS_PER_PASS):
-        cells = F.array(*[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                     pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"))
-            for a, b in pairs[start:start + CORR_PAIRS_PER_PASS]
-        ])
-        parts.append(df.groupBy(*keys).agg(cells.alias("m")).select(*keys, F.inline("m")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d = len(cols)
+    names = [r[0] for r in df.select(by).distinct().collect()] if by else [None]
+    group = F.array_position(F.array(*[F.lit(n) for n in names if n is not None] or [F.lit("")]), F.col(by)) - 1 if by else F.lit(0)
+    order = [n for n in names if n is not None]
+    values = [F.col(c).cast("double") for c in cols]
+    start = df.select(*[F.first(v, ignorenulls=True).alias(f"c{i}") for i, v in enumerate(values)]).first() if d else []
+    shift = np.array([0.0 if v is None or not np.isfinite(v) else v for v in start], float)
+    rows = df.select(F.array(*values).alias("x"), F.coalesce(group, F.lit(len(order))).cast("double").alias("g"))
+    upper = np.triu_indices(d, 1)
+
+    def sums(x, rest):
+        out = {}
+        for g in np.unique(rest["g"]):
+            z = x[rest["g"] == g] - shift
+            there = ~np.isnan(z)
+            z, m = np.where(there, z, 0.0), there.astype(float)
+            out[int(g)] = np.stack([z.T @ z, z.T @ m, (z * z).T @ m, m.T @ m]).ravel()
+        return out
+
+    def finish(g, flat):
+        product, value, square, n = flat.reshape(4, d, d)
+        n = np.maximum(n, 1.0)
+        spread = square - value * value / n
+        spread = np.where(spread <= 1e-12 * square, 0.0, spread)
+        both = np.sqrt(spread * spread.T)
+        r = np.where(both > 0, (product - value * value.T / n) / np.where(both > 0, both, 1.0), np.nan)
+        return int(g), [None if np.isnan(v) else float(min(1.0, max(-1.0, v))) for v in r[upper]]
+    found = keyed_frame(rows, sums, np.add, finish, "g long, r array<double>")
+    first, second = (F.array(*[F.lit(cols[i]) for i in side]) for side in upper)
+    long = found.select("g", F.posexplode("r").alias("pos", "r"))
+    pairs = [F.get(first, F.col("pos")).alias("feature_a"), F.get(second, F.col("pos")).alias("feature_b"), "r"]
+    if not by:
+        return long.select(*pairs)
+    kind = df.schema[by].dataType
+    called = F.get(F.array(*[F.lit(n).cast(kind) for n in order] or [F.lit(None).cast(kind)]), F.col("g").cast("int"))
+    return long.select(called.alias(by), *pairs)
 
 
 def correlation_by_vendor(df: DataFrame, cols: list[str], max_null: float = 0.01) -> DataFrame:

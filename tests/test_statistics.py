@@ -64,10 +64,26 @@ def test_correlation_of_a_constant_is_null_and_nulls_drop_pairwise(two_classes):
     assert got[("id", "c_raw")] == pytest.approx(1.0)
 
 
-def test_wide_correlation_takes_several_passes(two_classes, monkeypatch):
-    whole = rp.correlation_matrix(two_classes, ["id", "predict_val", "a_raw", "c_raw"]).collect()
-    monkeypatch.setattr(rp, "CORR_PAIRS_PER_PASS", 2)
-    assert sorted(rp.correlation_matrix(two_classes, ["id", "predict_val", "a_raw", "c_raw"]).collect()) == sorted(whole)
+def test_correlations_equal_numpy_per_group_and_scan_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 30)) * 10.0 ** rng.integers(-3, 6, 30) + 1e5
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 7.0
+    kinds = [None if i % 10 == 0 else "ab"[i % 3 == 0] for i in range(300)]
+    cols = [f"c{i}" for i in range(30)]
+    rows = [(k, *[None if np.isnan(v) else float(v) for v in r]) for k, r in zip(kinds, x)]
+    df = spark.createDataFrame(rows, "kind string, " + ", ".join(f"{c} double" for c in cols)).repartition(4)
+    for by, groups in (("kind", [None, "a", "b"]), (None, [None])):
+        got = {(r[by] if by else None, r["feature_a"], r["feature_b"]): r["r"] for r in rp.correlation_matrix(df, cols, by).collect()}
+        assert len(got) == len(groups) * 435
+        for g in groups:
+            part = x[[i for i, k in enumerate(kinds) if by is None or k == g]]
+            for i in range(30):
+                for j in range(i + 1, 30):
+                    both = part[~np.isnan(part[:, i]) & ~np.isnan(part[:, j])]
+                    r = got[g, cols[i], cols[j]]
+                    assert r is None if 4 in (i, j) else r == pytest.approx(np.corrcoef(both[:, i], both[:, j])[0, 1], abs=1e-6)
+    assert rp.correlation_matrix(df.limit(0), cols).count() == 0
 
 
 def test_divergence_of_a_model_with_itself_is_zero_and_pairs_are_ordered(spark):
