@@ -35,15 +35,23 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict
 
 
 def block_sums(rows: DataFrame, fn: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray], size: int) -> np.ndarray:
-    """Sum of ``fn(x, columns)`` over all blocks of rows, ``size`` numbers.
+    """Sum of ``fn(x, columns)`` over all blocks of rows, ``size`` numbers."""
+    def whole(parts):
+        acc = np.zeros(size)
+        for x, rest in parts:
+            acc += np.asarray(fn(x, rest), dtype=float).ravel()
+        return acc
+    return task_sums(rows, whole, size)
+
+
+def task_sums(rows: DataFrame, fn: Callable[[Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all tasks of what ``fn`` makes of a task's blocks, in the order of its rows; ``size`` numbers.
 
-    Each task adds up its blocks; the partial sums are cut into chunks, dealt out by chunk and added again in tasks, so the
-    driver receives ``size`` numbers, however many tasks there are.
+    The partial sums are cut into chunks, dealt out by chunk and added again in tasks, so the driver receives ``size``
+    numbers, however many tasks there are.
     """
     def partial(batches):
-        acc = np.zeros(size)
-        for x, rest in blocks(batches):
-            acc += np.asarray(fn(x, rest), dtype=float).ravel()
+        acc = np.asarray(fn(blocks(batches)), dtype=float).ravel()
         at = range(0, size, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(list(range(len(at))), pa.int32()), pa.array([acc[a:a + CHUNK].tobytes() for a in at], pa.binary())], ["chunk", "v"])
 

@@ -9,7 +9,6 @@ import time
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +26,7 @@ from spindlescope.operators import sampling as sp
 from spindlescope.operators import scaling as sc
 from spindlescope.operators import selection as sel
 from spindlescope.operators import statistics as st
+from spindlescope.operators import window_axes as wx
 from spindlescope.operators import windows as wn
 from spindlescope.session import cut_lineage, lookup_rows
 
@@ -201,14 +201,18 @@ def split_days(df: DataFrame, cfg: RunConfig) -> DataFrame:
     return sp.split_by_time(df, cfg.test_share, cfg.seed)
 
 
-def windows_of(df: DataFrame, cfg: RunConfig, cols: list[str], ranges: dict, weights: dict | None = None,
-               label: str | None = "predict_val", align: str = "end") -> DataFrame:
-    """Scaling, optional smoothing and weights, then windows: the part training and scoring share."""
+def scaled_days(df: DataFrame, cfg: RunConfig, cols: list[str], ranges: dict, weights: dict | None = None) -> DataFrame:
+    """Scaling, optional weights and smoothing."""
     scaled = sc.apply_ranges(df, {c: ranges[c] for c in cols})
     if weights:
         scaled = sel.apply_feature_weights(scaled, weights)
-    if cfg.smoothing is not None:
-        scaled = sc.exp_smooth(scaled, cols, cfg.smoothing)
+    return sc.exp_smooth(scaled, cols, cfg.smoothing) if cfg.smoothing is not None else scaled
+
+
+def windows_of(df: DataFrame, cfg: RunConfig, cols: list[str], ranges: dict, weights: dict | None = None,
+               label: str | None = "predict_val", align: str = "end") -> DataFrame:
+    """Scaled days, then windows: the part training and scoring share."""
+    scaled = scaled_days(df, cfg, cols, ranges, weights)
     return wn.lag_windows(scaled, cols, cfg.window, cfg.overlap, label=label, pad=cfg.fillna_method, align=align,
                           windowing=cfg.windowing)
 
@@ -220,20 +224,32 @@ def vectors_of(windows: DataFrame, cfg: RunConfig, pca: list | None = None) -> D
     if cfg.extract == "basic":
         return ft.summary_vector(ft.window_features_basic(windows), ft.BASIC)
     if cfg.extract == "PCA":
-        return ft.window_pca(windows, pca).withColumn("vector", array_to_vector(F.flatten("components")))
+        return wx.window_pca(windows, pca).withColumn("vector", array_to_vector(F.flatten("components")))
     return wn.flatten_windows(windows)
 
 
 def prepare(df: DataFrame, cfg: RunConfig) -> tuple[DataFrame, list[str], dict, dict]:
     """Labelled windows with ``is_test``, the columns used, their training ranges and weights."""
+    marked, cols, ranges, weights = marked_days(df, cfg)
+    return windows_of(marked, cfg, cols, ranges, weights), cols, ranges, weights
+
+
+def marked_days(df: DataFrame, cfg: RunConfig) -> tuple[DataFrame, list[str], dict, dict]:
+    """Stored labelled days with ``is_test``, the columns used, their training ranges and weights."""
     labelled = cut_lineage(clean_and_label(df, cfg))
     cols, weights = choose_columns(labelled, cfg)
     days = labelled.select("serial_number", "date", "model", "failure", "predict_val", "validate_val", *cols)
     if cfg.interpolate:
         days = hs.interpolate(days, cfg.interpolate)
     marked = cut_lineage(split_days(days, cfg))
-    ranges = sc.fit_ranges(marked.filter("NOT is_test"), cols)
-    return windows_of(marked, cfg, cols, ranges, weights), cols, ranges, weights
+    return marked, cols, sc.fit_ranges(marked.filter("NOT is_test"), cols), weights
+
+
+def fit_axes(days: DataFrame, windows: DataFrame, cfg: RunConfig, cols: list[str]) -> list[wx.WindowAxes]:
+    """Components of the training windows: from scaled days where a window is a run of days, else from the windows."""
+    if cfg.windowing and cfg.overlap == "full" and cfg.fillna_method is None:
+        return wx.fit_window_pca_of_days(days, cols, cfg.window, cfg.pca_components, ~F.col("is_test"))
+    return wx.fit_window_pca(windows.filter("NOT is_test"), len(cols), cfg.pca_components)
 
 
 def _sides(samples: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
@@ -254,8 +270,9 @@ def fit_run(df: DataFrame, cfg: RunConfig, params: dict | None = None, grid: dic
     Windows are ``window`` times the size of the days, so they are rebuilt from the stored days and
     not stored themselves; balancing reads only their keys and labels.
     """
-    windows, cols, ranges, weights = prepare(df, cfg)
-    pca = ft.fit_window_pca(windows.filter("NOT is_test"), len(cols), cfg.pca_components) if cfg.extract == "PCA" else None
+    marked, cols, ranges, weights = marked_days(df, cfg)
+    windows = windows_of(marked, cfg, cols, ranges, weights)
+    pca = fit_axes(scaled_days(marked, cfg, cols, ranges, weights), windows, cfg, cols) if cfg.extract == "PCA" else None
     train, test = _sides(vectors_of(windows, cfg, pca), cfg)
     done = train_and_evaluate(train, test, cfg.learner, params, grid, cfg.search, cfg.n_iter, folds, cfg.seed, ["vec_id"])
     return Run(cfg, cols, ranges, done.model, {**done.metrics, "cv_accuracy": done.cv_accuracy}, weights, pca)
@@ -271,10 +288,8 @@ def save_model(run: Run, folder: str) -> str:
     spark = SparkSession.getActiveSession()
     path = f"{folder.rstrip('/')}/run-{time.time_ns():020d}"
     run.model.write().overwrite().save(f"{path}/model")
-    for i, m in enumerate(run.pca or []):
-        m.write().overwrite().save(f"{path}/pca-{i}")
     facts = {"config": json.loads(run.config.to_json()), "columns": run.columns, "ranges": run.ranges,
-             "metrics": run.metrics, "weights": run.weights, "pca": len(run.pca or [])}
+             "metrics": run.metrics, "weights": run.weights, "pca": [dataclasses.asdict(m) for m in run.pca or []]}
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
     return path
 
@@ -289,7 +304,7 @@ def load_model(spark: SparkSession, folder: str) -> Run:
             raise FileNotFoundError(f"no finished run in {folder}")
         folder = done[-1]
     facts = json.loads(spark.read.text(f"{folder}/facts").first()["value"])
-    pca = [PCAModel.load(f"{folder}/pca-{i}") for i in range(facts["pca"])]
+    pca = [wx.WindowAxes(**m) for m in facts["pca"]]
     return Run(RunConfig.from_json(json.dumps(facts["config"])), facts["columns"],
                {c: tuple(r) for c, r in facts["ranges"].items()}, PipelineModel.load(f"{folder}/model"),
                facts["metrics"], facts["weights"], pca or None)

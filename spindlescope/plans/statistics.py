@@ -8,6 +8,7 @@ from spindlescope.operators import features as ft
 from spindlescope.operators import reports as rp
 from spindlescope.operators import sampling as sp
 from spindlescope.operators import statistics as st
+from spindlescope.operators import window_axes as wx
 from spindlescope.operators import windows as wn
 from spindlescope.operators.neighbours import knn_join
 from spindlescope.plans import fixtures as fx
@@ -320,13 +321,42 @@ def window_features_basic(spark, sf_dir):
     return _summary_rows(ft.window_features_basic(windows), ft.BASIC)
 
 
+_AXIS_COLS = ["smart_9_raw", "smart_187_raw"]
+view("window_run", " UNION ALL ".join(f"""SELECT serial_number, date, '{c}' AS feature, LIST({c}) OVER w AS run FROM labelled_day
+  WINDOW w AS (PARTITION BY serial_number ORDER BY date ROWS BETWEEN {fx.WINDOW - 1} PRECEDING AND CURRENT ROW)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY serial_number ORDER BY date) >= {fx.WINDOW} AND COUNT({c}) OVER w = {fx.WINDOW}""" for c in _AXIS_COLS), ("labelled_day",))
+view("mean_run", "SELECT feature, " + ", ".join(f"AVG(run[{i + 1}]) AS m{i}" for i in range(fx.WINDOW)) + " FROM window_run GROUP BY 1", ("window_run",))
+
+
+@query("window_covariance", f"""SELECT feature, i, j, COUNT(*) AS windows, ROUND(COVAR_SAMP(run[i + 1], run[j + 1]), 6) AS covariance
+  FROM window_run, (SELECT CAST(UNNEST(range(0, {fx.WINDOW})) AS INT) AS i), (SELECT CAST(UNNEST(range(0, {fx.WINDOW})) AS INT) AS j)
+  GROUP BY 1, 2, 3""", ("window_run",))
+def window_covariance(spark, sf_dir):
+    return rounded(wx.window_covariance(fx.labelled_days(spark, sf_dir), _AXIS_COLS, fx.WINDOW))
+
+
+def _placed_windows(spark, sf_dir):
+    days = fx.labelled_days(spark, sf_dir)
+    axes = wx.fit_window_pca_of_days(days, _AXIS_COLS, fx.WINDOW, fx.WINDOW)
+    return wx.window_pca(wn.lag_windows(days, _AXIS_COLS, fx.WINDOW), axes)
+
+
 @query("window_pca")
 def window_pca(spark, sf_dir):
-    windows = wn.lag_windows(fx.labelled_days(spark, sf_dir), ["smart_9_raw", "smart_187_raw"], fx.WINDOW)
-    placed = ft.window_pca(windows, ft.fit_window_pca(windows, 2, 3))
+    placed = _placed_windows(spark, sf_dir)
     return rounded(placed.select("serial_number", "date", *[F.abs(F.col("components")[i][0]).alias(f"first_{i}") for i in range(2)]), 4)
 
 
+@query("window_pca_distances", "SELECT serial_number, date, feature, ROUND(" + " + ".join(f"POW(run[{i + 1}] - m{i}, 2)" for i in range(fx.WINDOW)) +
+       ", 4) AS distance FROM window_run JOIN mean_run USING (feature)", ("window_run", "mean_run"), dates=("date",))
+def window_pca_distances(spark, sf_dir):
+    """Squared length of a window's whole projection: its squared distance from the mean window, whatever the axes' order."""
+    named = F.arrays_zip(F.array(*[F.lit(c) for c in _AXIS_COLS]).alias("feature"), F.col("components").alias("p"))
+    length = F.aggregate("p", F.lit(0.0), lambda total, v: total + v * v)
+    rows = _placed_windows(spark, sf_dir).select("serial_number", "date", F.inline(named))
+    return rounded(rows.filter("p[0] IS NOT NULL").select("serial_number", "date", "feature", length.alias("distance")), 4)
+
+
 @query("drive_pca")
 def drive_pca(spark, sf_dir):
     stats = rp.drive_stats(fx.drive_day(spark, sf_dir).drop("smart_188_raw"))

@@ -136,14 +136,6 @@ def test_drive_pca_is_white(spark):
     assert cov == pytest.approx(np.eye(3), abs=1e-8)
 
 
-def test_window_pca_keeps_distances_with_all_components(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(30, 3))
-    df = spark.createDataFrame([([list(map(float, r))],) for r in x], "features array<array<double>>")
-    got = np.array([r["components"][0] for r in ft.window_pca(df, ft.fit_window_pca(df, 1, 3)).collect()])
-    assert np.linalg.norm(got[0] - got[1]) == pytest.approx(np.linalg.norm(x[0] - x[1]))
-
-
 def test_rank_sees_a_dependent_column(spark):
     from pyspark.ml.functions import array_to_vector
     rng = np.random.default_rng(3)
