@@ -183,6 +183,6 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
     model = IsolationForestModel([(np.array(r["feature"]), np.array(r["cut"]), np.array(r["path"])) for r in fitted], size, 0.5)
     if contamination == "auto":
         return model
-    scores = model.score(df, vec).select("anomaly")
+    scores = cut_lineage(model.score(df, vec).select("anomaly"))
     cutoff = exact_quantiles(scores, [], ["anomaly"], {"q": 1.0 - float(contamination)}).first()["q"]
     return dataclasses.replace(model, threshold=cutoff)

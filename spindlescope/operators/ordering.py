@@ -2,7 +2,7 @@
 
 Two facts carry this module. A selection of exactly q rows in hash order needs only the hash of
 the q-th row: 65,536 hash buckets are counted first, and only the one bucket that holds the
-cut-off is ranked. Running totals over a sorted column need only distinct values: equal values
+cut-off is ranked; quantiles likewise narrow ranges of values until each holds one. Running totals over a sorted column need only distinct values: equal values
 are counted first, so a value that fills a third of the table is one row afterwards, and the
 distinct values are cut into ranges that are summed separately and then offset.
 """
@@ -10,6 +10,7 @@ distinct values are cut into ranges that are summed separately and then offset.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,11 @@ from pyspark.sql.window import Window
 from spindlescope.session import cut_lineage, lookup_join
 
 SINGLE_RANGE_ROWS = 200_000
+#: Rows left in open ranges from which on their distinct values are counted.
+FEW_ROWS = 1_000_000
 RANGES = 256
+#: Accuracy of the quantile sketches that choose cuts, and how far beside a wanted quantile the first cuts are set.
+SKETCH, SKETCH_SLACK = 10_000, 2e-4
 
 
 def row_hash(keys: list[str], seed) -> Column:
@@ -122,23 +127,63 @@ def running_totals(counts: DataFrame, groups: list[str], order: str, sums: list[
     return out.select(*counts.columns, *[f"cum_{c}" for c in sums])
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], features: list[str], probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per (groups, feature), one column per entry of ``probs``."""
+def exact_quantiles(df: DataFrame, groups: list[str], features: list[str], probs: dict[str, float], sizes: DataFrame | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles per (groups, feature), one column per entry of ``probs``; null values and groups are left out.
+
+    ``df`` is read a few times (counts and limits, then two scans a round), so it should be a table or a cheap view of one;
+    per round only counts of value ranges are shuffled. ``sizes`` may hand in stored (groups, feature, n, lo, hi): count and
+    limits of the values that are not null.
+    """
     keys = [*groups, "feature"]
-    ranked = running_totals(value_counts(df, groups, features), keys, "value", ["n"])
-    sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    rows = lookup_join(ranked, sizes, keys)
-    picks = []
-    for name, q in probs.items():
-        spot = (F.col("_size") - 1) * F.lit(float(q))
-        for side, rank in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            here = (F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank)
-            picks.append(F.max(F.when(here, F.col("value"))).alias(f"_{name}_{side}"))
-    got = rows.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
+    rows = long_form(df, groups, features)
+    if sizes is None:
+        sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+    spots = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in probs.items()}
+    ranks = F.array_distinct(F.array(*[side(s).cast("long") for s in spots.values() for side in (F.floor, F.ceil)]))
+    found = values_at_ranks(rows, keys, sizes.withColumn("ranks", ranks), list(probs.values()))
+    at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
     out = []
-    for name, q in probs.items():
-        spot = (F.col("_size") - 1) * F.lit(float(q))
+    for name, spot in spots.items():
+        low, high = (F.col("_at")[side(spot).cast("long")] for side in (F.floor, F.ceil))
         share = spot - F.floor(spot)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * share).alias(name))
-    return got.select(*keys, *out)
+        out.append(F.when(share == 0, low).otherwise(low + (high - low) * share).alias(name))
+    return lookup_join(sizes, at, keys).select(*keys, *out)
+
+
+def values_at_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, probs: list[float]) -> DataFrame:
+    """(keys, rank, value): the values at given 0-based ranks, found by narrowing ranges.
+
+    ``rows`` holds ``keys`` and ``value``; ``wanted`` has one row per key with its count ``n``, limits ``lo`` and ``hi`` and ``ranks``;
+    ``probs`` says about where the ranks lie. A round cuts every open range at values of a quantile sketch, counts the rows at and
+    between the cuts, and keeps open only ranges that hold a wanted rank and more than one value. Counts decide, the sketch
+    only chooses cuts, so results are exact; a cut that is itself a heavy value is settled at once, and every round leaves its
+    cuts behind, so ranges shrink. When few rows are left in open ranges, their distinct values are counted.
+    """
+    near = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SKETCH_SLACK, SKETCH_SLACK)})
+    grid = [i / RANGES for i in range(RANGES + 1)]
+    state = wanted.select(*keys, "lo", "hi", "n", "ranks", F.lit(0).cast("long").alias("below"))
+    settled, spot = [], [*keys, "lo"]
+    while (left := state.agg(F.sum("n")).first()[0]):
+        inside = lookup_join(rows, state.drop("n"), keys).filter("value BETWEEN lo AND hi")
+        if left <= FEW_ROWS:
+            slot = F.col("value")
+        else:
+            cuts = F.percentile_approx("value", F.array(*map(F.lit, grid if settled else near)), SKETCH)
+            inside = lookup_join(inside, inside.groupBy(*spot).agg(F.array_distinct(cuts).alias("_cuts")), spot)
+            slot = F.size(F.filter("_cuts", lambda c: c < F.col("value"))) * 2 + F.array_contains("_cuts", F.col("value")).cast("int")
+        counts = inside.groupBy(*spot, slot.alias("_slot")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
+            F.first("below").alias("below"), F.first("ranks").alias("ranks"))
+        before = F.sum("n").over(Window.partitionBy(*spot).orderBy("least")) - F.col("n") + F.col("below")
+        counts = counts.withColumn("_before", before)
+        held = F.filter("ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("n")))
+        hit = counts.withColumn("ranks", held).filter(F.size("ranks") > 0)
+        last = left <= FEW_ROWS
+        hit = hit if last else cut_lineage(hit)
+        settled.append(hit.filter("least = most").select(*keys, F.explode("ranks").alias("rank"), F.col("least").alias("value")))
+        if last:
+            break
+        state = hit.filter("least < most").select(*keys, F.col("least").alias("lo"), F.col("most").alias("hi"), "n", "ranks", F.col("_before").alias("below"))
+    if not settled:
+        return rows.select(*keys, F.lit(0).cast("long").alias("rank"), "value").limit(0)
+    return reduce(DataFrame.union, settled)

@@ -13,6 +13,7 @@ from spindlescope.functions.names import bin_of, vendor_of
 from spindlescope.ml.passes import keyed_frame
 from spindlescope.operators.history import forward
 from spindlescope.operators.ordering import exact_quantiles, long_form, pick_by_hash, row_hash
+from spindlescope.session import cut_lineage
 
 
 
@@ -94,10 +95,11 @@ def vendor_report(df: DataFrame) -> DataFrame:
 
 def describe_by_failure(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per failure class and column."""
-    moments = long_form(df, ["failure"], cols).groupBy("failure", "feature").agg(
+    moments = cut_lineage(long_form(df, ["failure"], cols).groupBy("failure", "feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = exact_quantiles(df, ["failure"], cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+        F.min("value").alias("min"), F.max("value").alias("max")))
+    sizes = moments.select("failure", "feature", F.col("count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+    quartiles = exact_quantiles(df, ["failure"], cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, sizes)
     return moments.join(quartiles, ["failure", "feature"]).select(
         "failure", "feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
