@@ -423,6 +423,62 @@ def test_network_learns_and_scores_edges(spark):
 
 
 @tables
+def test_pooling_ignores_length_and_keeps_single_high_windows():
+    one = toxicity.soft_maximum(np.array([-6.0]), np.array([0]), np.zeros(1, int))[0][0]
+    many = toxicity.soft_maximum(np.full(1_000_000, -6.0), np.array([0]), np.zeros(1_000_000, int))[0][0]
+    assert many == pytest.approx(one)
+    spiked = np.full(1_000_000, -6.0)
+    spiked[777] = 6.0
+    assert toxicity.soft_maximum(spiked, np.array([0]), np.zeros(len(spiked), int))[0][0] > 5.9
+
+
+def test_length_alone_makes_no_text_toxic():
+    rows = toxic_rows(1, 300)
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows], steps=150)
+    clean = " ".join(t for t, _ in toxic_rows(4, 3000, insult=False)).split()
+    text = " ".join(clean * (1 + 1_000_000 // len(clean)))
+    scores = toxicity.Scorer(model).scores([text, text + " grobian " + text[:1000]])
+    assert len(text.split()) >= 1_000_000 and scores[0] < 0.5 < scores[1]
+
+
+def test_scores_equal_a_plain_pass_over_every_window():
+    rows = toxic_rows(1, 60)
+    p = toxicity.train([t for t, _ in rows], [y for _, y in rows], steps=20)
+    texts = [t for t, _ in toxic_rows(5, 12)] + ["", "one", " ".join(t for t, _ in toxic_rows(6, 9))]
+
+    def sig(x):
+        return 1 / (1 + np.exp(-x))
+
+    def states(xs, d):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            i, u = np.split(x @ p[f"w{d}"] + p[f"c{d}"], 3), np.split(h @ p[f"u{d}"], 3)
+            r, z = sig(i[0] + u[0]), sig(i[1] + u[1])
+            n = np.tanh(i[2] + r * u[2])
+            h = n + z * (h - n)
+            out.append(h)
+        return out
+
+    for text, score in zip(texts, toxicity.Scorer(p).scores(texts)):
+        words, logits, a = toxicity.tokens(text), [], 0
+        while True:
+            xs = []
+            for w in words[a:a + toxicity.WINDOW]:
+                bucket, grams, _ = toxicity.word_inputs([w])
+                xs.append(np.concatenate([p["words"][bucket[0]], p["chars"][grams].mean(axis=0)]).astype(float))
+            pooled = np.zeros(2 * toxicity.HIDDEN)
+            if xs:
+                both = np.concatenate([states(xs, "f"), states(xs[::-1], "b")[::-1]], axis=1)
+                weight = np.exp(np.clip(np.tanh(both @ p["att"]) @ p["attv"], -15, 15))
+                pooled = weight @ both / weight.sum()
+            logits.append(pooled @ p["out"] + p["bias"][0])
+            a += toxicity.STRIDE
+            if a + toxicity.WINDOW - toxicity.STRIDE >= len(words):
+                break
+        share = np.exp(toxicity.SHARP * (np.array(logits) - max(logits)))
+        assert score == pytest.approx(sig(share @ logits / share.sum()), abs=1e-4)
+
+
 def test_training_leaves_held_out_rows_alone(spark):
     docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
     rows = toxicity.training_rows(docs, labels).collect()
