@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word's input is its own (hashed) embedding beside the mean embedding of its character 3- to 5-grams. Windows of
-WINDOW words, half overlapping, each get a logit; a text's logit is their mean weighted towards the highest, so one bad passage in
-a long text counts and length alone does not.
+WINDOW words, half overlapping, each get a logit; a text's logit is their soft maximum, so one bad passage in a long text counts; what
+many windows add to it is bounded.
 Training (backpropagation and Adam, all in numpy) runs on a bounded sample of labelled rows; scoring runs in Spark
 tasks over every window of every text.
 """
@@ -21,12 +21,11 @@ WINDOW, STRIDE = 16, 8
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 16, 12
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
-#: Rows that the classifier is fitted on at most, by a hash of their id. A clean text of more than TRAIN_BYTES bytes teaches with a
-#: stretch of that many characters, its place drawn by the id; of a longer toxic text no one knows the place, so it does not teach.
+#: Rows that the classifier is fitted on at most, by a hash of their id; among them texts of up to TRAIN_BYTES bytes.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 2000, 3000
 #: Updates, whatever the sample's size: a small one is gone through more often.
 STEPS, BATCH, RATE, SEED = 400, 32, 0.01, 7
-SHARP = 2.0
+SHARP, CROWD = 2.0, 64
 #: Words whose inputs a task keeps, and words per numpy call.
 KEPT_WORDS, CHUNK_WORDS = 150_000, 60_000
 BLOCK = 4096
@@ -137,16 +136,17 @@ def window_logits(p, forward: np.ndarray, backward: np.ndarray, mask: np.ndarray
 
 
 def soft_maximum(logits: np.ndarray, starts: np.ndarray, text_of: np.ndarray):
-    """Per text the mean of its windows' logits weighted by exp(SHARP * logit), and its derivative by each logit.
+    """Per text log(sum(exp(SHARP * logit))) / SHARP, but at most log(CROWD) / SHARP above the highest, and its derivative by each logit.
 
-    It lies between the mean and the maximum: many equal windows score like one, so length alone changes nothing,
-    and a window far above the others decides however many they are.
+    Up to CROWD equal windows add to a text's logit, as in the texts learned from; beyond that length changes nothing.
     """
     top = np.maximum.reduceat(logits, starts)
     e = np.exp(SHARP * (logits - top[text_of]))
-    share = e / np.add.reduceat(e, starts)[text_of]
-    pooled = np.add.reduceat(share * logits, starts)
-    return pooled, share * (1 + SHARP * (logits - pooled[text_of]))
+    total = np.add.reduceat(e, starts)
+    highest = (e == 1).astype(float)
+    full = (total > CROWD)[text_of]
+    slope = np.where(full, highest / np.add.reduceat(highest, starts)[text_of], e / total[text_of])
+    return top + np.log(np.minimum(total, CROWD)) / SHARP, slope
 
 
 def gradients(p, ids: np.ndarray, mask: np.ndarray, text_of: np.ndarray, labels: np.ndarray, buckets, grams, counts):
@@ -292,11 +292,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.where("y = 1").orderBy(*order).limit(toxic_rows).union(marked.where("y = 0").orderBy(*order).limit(clean_rows))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    room = F.greatest(F.length("text") - TRAIN_BYTES + 1, F.lit(1))
-    stretch = F.substring("text", (F.pmod(F.xxhash64("doc_id"), room) + 1).cast("int"), F.lit(TRAIN_BYTES))
-    whole = F.octet_length("text") <= TRAIN_BYTES
-    return rows.where(whole | (F.col("y") == 0)).withColumn("text", F.when(whole, F.col("text")).otherwise(stretch))
+    return docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:

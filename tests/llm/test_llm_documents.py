@@ -423,13 +423,20 @@ def test_network_learns_and_scores_edges(spark):
 
 
 @tables
-def test_pooling_ignores_length_and_keeps_single_high_windows():
-    one = toxicity.soft_maximum(np.array([-6.0]), np.array([0]), np.zeros(1, int))[0][0]
-    many = toxicity.soft_maximum(np.full(1_000_000, -6.0), np.array([0]), np.zeros(1_000_000, int))[0][0]
-    assert many == pytest.approx(one)
+def test_pooling_bounds_what_length_adds_and_keeps_single_high_windows():
+    def pooled(logits):
+        return toxicity.soft_maximum(logits, np.array([0]), np.zeros(len(logits), int))[0][0]
+    limit = np.log(toxicity.CROWD) / toxicity.SHARP
+    assert pooled(np.full(1_000_000, -6.0)) == pytest.approx(-6.0 + limit)
+    assert pooled(np.full(5, -6.0)) == pytest.approx(-6.0 + np.log(5) / toxicity.SHARP)
     spiked = np.full(1_000_000, -6.0)
     spiked[777] = 6.0
-    assert toxicity.soft_maximum(spiked, np.array([0]), np.zeros(len(spiked), int))[0][0] > 5.9
+    assert 6.0 <= pooled(spiked) <= 6.0 + limit
+    for logits in (np.array([0.3, -1.0, 0.2]), np.concatenate([[0.9], np.full(200, 0.3)])):
+        _, slope = toxicity.soft_maximum(logits, np.array([0]), np.zeros(len(logits), int))
+        for i in range(3):
+            step = np.where(np.arange(len(logits)) == i, 1e-6, 0)
+            assert slope[i] == pytest.approx((pooled(logits + step) - pooled(logits - step)) / 2e-6, abs=1e-5)
 
 
 def test_length_alone_makes_no_text_toxic():
@@ -475,8 +482,7 @@ def test_scores_equal_a_plain_pass_over_every_window():
             a += toxicity.STRIDE
             if a + toxicity.WINDOW - toxicity.STRIDE >= len(words):
                 break
-        share = np.exp(toxicity.SHARP * (np.array(logits) - max(logits)))
-        assert score == pytest.approx(sig(share @ logits / share.sum()), abs=1e-4)
+        assert score == pytest.approx(sig(np.log(np.exp(toxicity.SHARP * np.array(logits)).sum()) / toxicity.SHARP), abs=1e-4)
 
 
 def test_training_leaves_held_out_rows_alone(spark):
