@@ -91,3 +91,22 @@ def test_year_choice_reaches_the_scan(spark, tmp_path):
     cut = snap.prune_days(spark.read.parquet(str(tmp_path / "days")), years=[2024], quarters=["Q1"])
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(date,2024-01-01)" in plan and "LessThanOrEqual(date,2024-03-31)" in plan and cut.count() == 5
+
+
+def test_headers_are_read_in_tasks_with_quotes(spark, tmp_path):
+    plain = "date,serial_number,model,capacity_bytes,failure,smart_5_raw\n"
+    files = {"2023-01-01.csv": plain + "2023-01-01,A,ST1,10,0,1\n" * 500,
+             "2023-01-02.csv": '\ufeff"date","serial_number","model","capacity_bytes","failure","smart_5_raw"\r\n2023-01-02,A,ST1,10,0,2\r\n',
+             "2023-01-03.csv": 'date,serial_number,model,capacity_bytes,failure,"smart_9, hours"\n2023-01-03,"B, x",ST1,10,0,3\n',
+             "2023-01-04.csv": "", "2023-01-05.csv": "\n"}
+    folder = tmp_path / "a day"
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / name).write_bytes(text.encode())
+    groups = snap._headers(spark, [f"file:{folder}/{name}" for name in files])
+    assert {h: [p.rsplit("/", 1)[1] for p in paths] for h, paths in groups.items()} == {
+        tuple(plain.strip().split(",")): ["2023-01-01.csv", "2023-01-02.csv"],
+        ("date", "serial_number", "model", "capacity_bytes", "failure", "smart_9, hours"): ["2023-01-03.csv"]}
+    df = snap.read_snapshots(spark, f"{folder}/*.csv")
+    assert df.count() == 502 and df.where("smart_5_raw = 2").count() == 1
+    assert [(r["serial_number"], r["smart_9, hours"]) for r in df.where("date = '2023-01-03'").collect()] == [("B, x", 3.0)]
