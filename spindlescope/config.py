@@ -35,7 +35,11 @@ def smart_columns(df, containing: str = "smart") -> list[str]:
 
 @dataclasses.dataclass(frozen=True)
 class RunConfig:
-    """Settings of one training run; saved next to the fitted model and reused by scoring."""
+    """Settings of one training run; saved next to the fitted model and reused by scoring.
+
+    ``interpolate_first`` fills missing days before labels are set, so the horizon counts calendar days instead of observed
+    rows. ``wavelets`` adds the magnitudes of ``wavelet_scales`` - 1 scales of every column to the days before they are windowed.
+    """
 
     models: str = ""
     manufacturer: str = "custom"
@@ -49,7 +53,8 @@ class RunConfig:
     window: int = 32
     overlap: str = "full"
     windowing: bool = True
-    interpolate: str = "linear"
+    interpolate: str | None = "linear"
+    interpolate_first: bool = False
     fillna_method: str | None = None
     test_type: str = "t-test"
     num_features: int = 18
@@ -69,6 +74,7 @@ class RunConfig:
     population: int = 10
     generations: int = 2
     augmentation: str = "duplicate"
+    wavelets: bool = False
     wavelet_scales: int = 50
     seed: int = 42
 

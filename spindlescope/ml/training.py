@@ -29,6 +29,7 @@ from spindlescope.operators import statistics as st
 from spindlescope.operators import window_axes as wx
 from spindlescope.operators import windows as wn
 from spindlescope.session import cut_lineage, lookup_rows
+from spindlescope.sources import snapshots as sn
 
 
 def _maps(grid: dict) -> list[dict]:
@@ -169,10 +170,16 @@ class Run:
 
 
 def clean_and_label(df: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Model filter, gap filter and horizon labels."""
+    """Years, columns of the preset, model filter, gap filter and horizon labels."""
+    if cfg.years:
+        df = sn.prune_days(df, years=cfg.years)
+    if cfg.preset:
+        df = sn.prune_columns(df, cfg.preset)
     if cfg.manufacturer != "custom" or cfg.models:
         df = sel.filter_manufacturer(df, cfg.manufacturer, cfg.models)
     kept, _, _ = hs.filter_drives(df, cfg.min_days, cfg.gap_window, cfg.gap_tolerance, cfg.max_missing)
+    if cfg.interpolate and cfg.interpolate_first:
+        kept = hs.interpolate(kept, cfg.interpolate)
     return hs.failure_horizon_labels(kept, cfg.horizon, cfg.window)
 
 
@@ -202,18 +209,25 @@ def split_days(df: DataFrame, cfg: RunConfig) -> DataFrame:
 
 
 def scaled_days(df: DataFrame, cfg: RunConfig, cols: list[str], ranges: dict, weights: dict | None = None) -> DataFrame:
-    """Scaling, optional weights and smoothing."""
+    """Scaling, optional weights, smoothing and wavelets; the columns to window are ``signals``."""
     scaled = sc.apply_ranges(df, {c: ranges[c] for c in cols})
     if weights:
         scaled = sel.apply_feature_weights(scaled, weights)
-    return sc.exp_smooth(scaled, cols, cfg.smoothing) if cfg.smoothing is not None else scaled
+    if cfg.smoothing is not None:
+        scaled = sc.exp_smooth(scaled, cols, cfg.smoothing)
+    return sc.with_wavelets(scaled, cols, cfg.wavelet_scales) if cfg.wavelets else scaled
+
+
+def signals(cfg: RunConfig, cols: list[str]) -> list[str]:
+    """Columns that go into a window: the chosen ones and, with ``wavelets``, their scales."""
+    return [*cols, *sc.wavelet_names(cols, cfg.wavelet_scales)] if cfg.wavelets else list(cols)
 
 
 def windows_of(df: DataFrame, cfg: RunConfig, cols: list[str], ranges: dict, weights: dict | None = None,
                label: str | None = "predict_val", align: str = "end") -> DataFrame:
     """Scaled days, then windows: the part training and scoring share."""
     scaled = scaled_days(df, cfg, cols, ranges, weights)
-    return wn.lag_windows(scaled, cols, cfg.window, cfg.overlap, label=label, pad=cfg.fillna_method, align=align,
+    return wn.lag_windows(scaled, signals(cfg, cols), cfg.window, cfg.overlap, label=label, pad=cfg.fillna_method, align=align,
                           windowing=cfg.windowing)
 
 
@@ -239,7 +253,7 @@ def marked_days(df: DataFrame, cfg: RunConfig) -> tuple[DataFrame, list[str], di
     labelled = cut_lineage(clean_and_label(df, cfg))
     cols, weights = choose_columns(labelled, cfg)
     days = labelled.select("serial_number", "date", "model", "failure", "predict_val", "validate_val", *cols)
-    if cfg.interpolate:
+    if cfg.interpolate and not cfg.interpolate_first:
         days = hs.interpolate(days, cfg.interpolate)
     marked = cut_lineage(split_days(days, cfg))
     return marked, cols, sc.fit_ranges(marked.filter("NOT is_test"), cols), weights
@@ -248,8 +262,8 @@ def marked_days(df: DataFrame, cfg: RunConfig) -> tuple[DataFrame, list[str], di
 def fit_axes(days: DataFrame, windows: DataFrame, cfg: RunConfig, cols: list[str]) -> list[wx.WindowAxes]:
     """Components of the training windows: from scaled days where a window is a run of days, else from the windows."""
     if cfg.windowing and cfg.overlap == "full" and cfg.fillna_method is None:
-        return wx.fit_window_pca_of_days(days, cols, cfg.window, cfg.pca_components, ~F.col("is_test"))
-    return wx.fit_window_pca(windows.filter("NOT is_test"), len(cols), cfg.pca_components)
+        return wx.fit_window_pca_of_days(days, signals(cfg, cols), cfg.window, cfg.pca_components, ~F.col("is_test"))
+    return wx.fit_window_pca(windows.filter("NOT is_test"), len(signals(cfg, cols)), cfg.pca_components)
 
 
 def _sides(samples: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
@@ -267,8 +281,8 @@ def _sides(samples: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
 def fit_run(df: DataFrame, cfg: RunConfig, params: dict | None = None, grid: dict | None = None, folds: int | None = None) -> Run:
     """Clean, label, choose, fill, split, scale, window, balance, fit and evaluate under one configuration.
 
-    Windows are ``window`` times the size of the days, so they are rebuilt from the stored days and
-    not stored themselves; balancing reads only their keys and labels.
+    Windows are ``window`` times the size of the days. The days are stored and windowed again where a step needs them; the vectors
+    of the training side are stored once more for the learner, which reads them many times.
     """
     marked, cols, ranges, weights = marked_days(df, cfg)
     windows = windows_of(marked, cfg, cols, ranges, weights)
@@ -310,21 +324,27 @@ def load_model(spark: SparkSession, folder: str) -> Run:
                facts["metrics"], facts["weights"], pca or None)
 
 
-def score(df: DataFrame, run: Run) -> DataFrame:
-    """Predicted class per window, for all drives in one job: (serial_number, position, prediction).
+def scored_windows(df: DataFrame, run: Run) -> DataFrame:
+    """Windows of all drives as training builds them, with ``position``: the place of a window's last day.
 
-    Short histories are extended, scaling uses the training ranges, and days are ordered by their
-    position, since repeated days share a date. ``failure`` is not needed.
+    Missing days are filled as in training before short histories are extended; scaling uses the training ranges, and days are
+    ordered by their position, since repeated days share a date.
     """
     cfg = run.config
     days = sel.require_keys(sel.select_attributes(df, run.columns, ("serial_number", "date", "capacity_bytes")))
     days = days.drop("capacity_bytes").na.drop(subset=run.columns)
+    if cfg.interpolate:
+        days = hs.interpolate(days, cfg.interpolate)
     long = wn.extend_short_history(days, cfg.horizon + cfg.window, cfg.augmentation, run.columns)
     start = F.min("date").over(hs.drive())
     placed = long.withColumn("date", F.date_add(start, F.col("position").cast("int")))
-    windows = windows_of(placed, dataclasses.replace(cfg, overlap="full" if cfg.overlap == "hybrid" else cfg.overlap),
-                         run.columns, run.ranges, run.weights, None, "start")
-    scored = run.model.transform(vectors_of(windows, cfg, run.pca))
+    return windows_of(placed, dataclasses.replace(cfg, overlap="full" if cfg.overlap == "hybrid" else cfg.overlap),
+                      run.columns, run.ranges, run.weights, None, "start")
+
+
+def score(df: DataFrame, run: Run) -> DataFrame:
+    """Predicted class per window, for all drives in one job: (serial_number, position, prediction). ``failure`` is not needed."""
+    scored = run.model.transform(vectors_of(scored_windows(df, run), run.config, run.pca))
     return scored.select("serial_number", "position", F.col("prediction").cast("int").alias("prediction"))
 
 

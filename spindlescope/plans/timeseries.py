@@ -298,12 +298,12 @@ def window_range_join(spark, sf_dir):
   c AS (SELECT b.serial_number, b.date, a.scale,
     SUM(t.x * EXP(-POW((t.i - b.i) / a.scale, 2)) * COS(PI() * (t.i - b.i) / a.scale)) / SQRT(PI() * a.scale) AS re,
     -SUM(t.x * EXP(-POW((t.i - b.i) / a.scale, 2)) * SIN(PI() * (t.i - b.i) / a.scale)) / SQRT(PI() * a.scale) AS im
-    FROM p b CROSS JOIN (SELECT CAST(UNNEST(range(1, 9)) AS INTEGER) AS scale) a
+    FROM p b CROSS JOIN (SELECT CAST(UNNEST(range(1, 50)) AS INTEGER) AS scale) a
     JOIN p t ON t.serial_number = b.serial_number AND t.i BETWEEN b.i - 8 * a.scale AND b.i + 8 * a.scale GROUP BY 1, 2, 3)
   SELECT serial_number, date, 'smart_9_raw' AS feature, scale, ROUND(re, 5) + 0.0 AS re, ROUND(im, 5) + 0.0 AS im,
     ROUND(SQRT(re * re + im * im), 5) AS magnitude FROM c""", dates=("date",))
 def wavelet(spark, sf_dir):
-    out = sc.wavelet(fx.drive_day(spark, sf_dir), ["smart_9_raw"], max_scale=9)
+    out = sc.wavelet(fx.drive_day(spark, sf_dir), ["smart_9_raw"])
     return rounded(out, 5).withColumns({"re": F.col("re") + 0.0, "im": F.col("im") + 0.0})
 
 

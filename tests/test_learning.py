@@ -11,6 +11,7 @@ from spindlescope.ml import learners as ln
 from spindlescope.ml import metrics as mt
 from spindlescope.ml import training as tr
 from spindlescope.ml.networks import Network
+from spindlescope.operators import scaling as sc
 
 SMALL = {
     "random_forest": {"numTrees": 10, "maxDepth": 4}, "extra_trees": {"numTrees": 10, "maxDepth": 6}, "decision_tree": {"maxDepth": 4},
@@ -132,6 +133,44 @@ def test_variants_of_a_run(fleet, change):
     assert tr.score(fleet, run).count() > 0
 
 
+def test_a_drive_with_gaps_gets_the_same_windows_in_training_and_scoring(fleet):
+    holes = fleet.where("NOT (serial_number = 'd04' AND day(date) IN (5, 6, 14, 20))")
+    cfg = dataclasses.replace(CFG, ranking=False)
+    marked, cols, ranges, weights = tr.marked_days(holes, cfg)
+    taught = tr.windows_of(marked, cfg, cols, ranges, weights).where("serial_number = 'd04'")
+    scored = tr.scored_windows(holes.where("serial_number = 'd04'"), tr.Run(cfg, cols, ranges, None))
+    want, got = ({str(r["features"]) for r in w.select("features").collect()} for w in (taught, scored))
+    assert len(want) == 30 - (cfg.window - 1) and want == got
+
+
+def test_days_can_be_filled_before_labels(fleet):
+    holes = fleet.where(f"NOT (serial_number = 'd03' AND date IN (DATE'{day(27)}', DATE'{day(28)}'))")
+    for first in (False, True):
+        marked, *_ = tr.marked_days(holes, dataclasses.replace(CFG, ranking=False, interpolate_first=first))
+        positive = [r["date"] for r in marked.where("serial_number = 'd03' AND predict_val = 1").select("date").orderBy("date").collect()]
+        assert positive[-1] == day(29) and positive[0] == (day(26) if first else day(24))
+
+
+def test_years_and_preset_choose_days_and_columns(spark, fleet):
+    extra = fleet.withColumn("smart_22_raw", F.lit(1.0)).unionByName(
+        fleet.withColumns({"date": F.add_months("date", -12), "smart_22_raw": F.lit(2.0)}))
+    got = tr.clean_and_label(extra, dataclasses.replace(CFG, years=(str(day(0).year),), preset="iSTEP"))
+    assert "smart_22_raw" not in got.columns and "smart_9_raw" in got.columns
+    assert got.selectExpr("count_if(year(date) != %d)" % day(0).year).first()[0] == 0 and got.count() == 24 * 30
+
+
+def test_wavelets_of_a_run_are_those_of_the_long_form(fleet):
+    cols = ["smart_5_raw", "smart_9_raw"]
+    wide = {(r["serial_number"], r["date"]): r for r in sc.with_wavelets(fleet, cols, 4).collect()}
+    long = sc.wavelet(fleet, cols, 4).collect()
+    assert len(long) == len(wide) * 6 and wide[("d00", day(3))]["failure"] == 0
+    assert all(abs(wide[(r["serial_number"], r["date"])][f"{r['feature']}_scale_{r['scale']}"] - r["magnitude"]) < 1e-9 for r in long)
+    hole = fleet.withColumn("smart_9_raw", F.when(F.col("date") != day(9), F.col("smart_9_raw")))
+    assert sc.with_wavelets(hole, cols, 2).where("smart_9_raw_scale_1 IS NULL").count() == 24 * 17
+    run = tr.fit_run(fleet, dataclasses.replace(CFG, wavelets=True, wavelet_scales=4), {"numTrees": 5, "maxDepth": 3})
+    assert tr.score(fleet, run).count() == 24 * 27 and run.model.stages[-1].numFeatures == 2 * 4 * CFG.window
+
+
 def test_transfer_starts_networks_from_the_first_fit(planted):
     train, test = planted
     near, far = train.filter("vec_id % 2 = 0"), train.filter("vec_id % 2 = 1")
