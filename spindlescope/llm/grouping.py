@@ -63,13 +63,15 @@ def _pairs(met: DataFrame, near: Callable[[Column, Column], Column]) -> DataFram
 
 
 def linked_groups(members: DataFrame, notes: DataFrame, near: Callable[[Column, Column], Column],
-                  tests: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]]) -> DataFrame:
+                  tests: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]],
+                  compare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of all links inside buckets, without building all pairs of a bucket.
 
     ``members``: bucket, id (read twice); ``notes``: id, note (stored). ``near(note, note)``: cheap test that links pass.
     ``tests``: the ids (id) that share a bucket at all to (verify, sharpen). ``verify``: pairs (a, b) to the linked ones among
     them. ``sharpen``, or None: the ids of all open buckets to better notes (id, note); an id it leaves out has no link to
-    another of them.
+    another of them. ``compare``, or None: the members of all open buckets (bucket, id, note, root) to pairs (a, b) that connect
+    what their links connect; without it, the last round builds the pairs of different components as rows and verifies each.
 
     Each bucket first compares its members with one pivot. What that links needs no further comparison; while a bucket's
     members are in many components it takes another pivot by a hash, then its members of different components are compared,
@@ -99,6 +101,11 @@ def linked_groups(members: DataFrame, notes: DataFrame, near: Callable[[Column,
                 rows = stage(rows.drop("note").join(stage(sharpen(rows.select("id").distinct())), "id"))
             last = turn > PIVOT_ROUNDS or left["open"] <= OPEN_PAIRS * left["m"]
             pick = F.min_by(F.struct("id", "note", "root"), F.xxhash64("id", "bucket", F.lit(turn)))
+        if last and compare:
+            found = stage(compare(rows.select("bucket", "id", "note", "root")))
+            if found.limit(1).count():
+                roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found))
+            return roots
         if last:
             other = rows.select("bucket", *[F.col(c).alias(f"p{c}") for c in ("id", "note", "root")], _parts(large))
             met = rows.withColumn("part", _part(large)).join(other, ["bucket", "part"]).where("root < proot")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, mix, pass_through, shingle_hashes, stage, table, words
 from spindlescope.llm.grouping import linked_groups
+from spindlescope.llm.set_links import compare_chunks
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
@@ -128,7 +129,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
 
     One row per row with an id: doc_id, n_shingles, component_id (smallest doc_id of its group), kept (it is that one).
     Equal sets are one class from the start; classes that share a band are linked if their full sets are similar
-    enough (64-bit shingle hashes). A pair at the threshold shares a band with probability 1 - (1 - 0.8**4)**32, all but
+    enough (64-bit shingle hashes). What pivots leave open is compared chunk against chunk in tasks. A pair at the threshold shares a band with probability 1 - (1 - 0.8**4)**32, all but
     5 in 100 million; before full sets travel, signatures must agree as far as such a pair does (all but 3 in 10 million). Texts without words (null, empty) have an empty set and stand alone. Rows that share an id are one
     document: each set it has links it. Rows without an id are left out, other columns left behind.
     """
@@ -152,8 +153,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
         common = F.least(x["c"], y["c"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
         return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & common & (other <= bands * rows - least)
 
+    stored = []
+
     def tests(ids: DataFrame):
         sets = stage(full_sets(docs, ids, shingle))
+        stored.append(sets)
 
         def sharpen(open_ids: DataFrame) -> DataFrame:
             """Notes with c, how many shingles of a set some other open set has too: no common part is larger."""
@@ -172,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
 
         return verify, sharpen
 
-    roots = linked_groups(members, notes, near, tests)
+    roots = linked_groups(members, notes, near, tests, lambda rows: compare_chunks(rows, stored[0], percent))
     of_print = classes.select("print", "id").join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     named = attach(told.select("doc_id", "n_shingles", "print"), of_print, "print")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spindlescope.llm import decontaminate, fuzzy_lines, grouping, minhash, quality, sampled_pieces, suffix_dedup, toxicity
+from spindlescope.llm import decontaminate, fuzzy_lines, grouping, minhash, quality, sampled_pieces, set_links, suffix_dedup, toxicity
 from spindlescope.llm.common import WordHashes, table, words
 from spindlescope.llm.grouping import components
 
@@ -85,6 +85,46 @@ def test_hot_buckets_are_dealt_out_without_loss(spark, monkeypatch):
     assert got == jaccard_groups(rows, 4, 80)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_chunks_of_a_bucket_are_compared_without_loss(spark, monkeypatch, seed):
+    monkeypatch.setattr(grouping, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(grouping, "OPEN_PAIRS", 0)
+    monkeypatch.setattr(set_links, "CHUNK_ELEMENTS", 300)
+    rows = mutated(seed, copies=40)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, rows), shingle=4).collect()}
+    assert got == jaccard_groups(rows, 4, 80)
+
+
+@pytest.mark.parametrize("chunk", [10, 100, 10 ** 6])
+def test_chunk_pairs_connect_what_links_connect(spark, monkeypatch, chunk):
+    monkeypatch.setattr(set_links, "CHUNK_ELEMENTS", chunk)
+    r = random.Random(chunk)
+    base = r.sample(range(1000), 30)
+    sets = {i: sorted({*r.sample(base, 30 - i % 9), *r.sample(range(2000, 9000), i % 4)}) for i in range(60)}
+    root = {i: i - i % 2 if i < 10 else i for i in sets}
+    rows = spark.createDataFrame([(b, i, (len(sets[i]),), root[i]) for b in (1, 2) for i in sets if i % 3 != b], "bucket long, id long, note struct<n: long>, root long")
+    kept = spark.createDataFrame(list(sets.items()), "id long, set array<long>")
+    found = {(x["a"], x["b"]) for x in set_links.compare_chunks(rows, kept, 80).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+             and any(a % 3 != k and b % 3 != k for k in (1, 2))}
+    assert found <= links and len(found) < len(links)
+
+    def groups(pairs):
+        name = dict(root)
+        for a, b in pairs:
+            x, y = name[a], name[b]
+            name = {k: x if v == y else v for k, v in name.items()}
+        return {frozenset(k for k in name if name[k] == v) for v in name.values()}
+    assert groups(found) == groups(links)
+
+
+def test_common_counts_equal_set_intersections(monkeypatch):
+    monkeypatch.setattr(set_links, "COLUMNS", 7)
+    r = random.Random(3)
+    a, b = ([np.array(sorted(r.sample(range(-60, 60), r.randrange(1, 40)))) for _ in range(12)] for _ in range(2))
+    assert set_links.common_counts(a, b).tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+
+
 def test_near_duplicates_on_edges(spark):
     got = minhash.near_duplicates(docs_of(spark, EDGES)).collect()
     assert len(got) == 11 and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9, 10: 9}
