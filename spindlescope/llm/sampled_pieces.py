@@ -29,7 +29,10 @@ from spindlescope.llm.common import mix, table
 #: Where the vocabulary lies if no path is given: the package of public tokenizers.
 MODEL = "piece_bpe_32k.model"
 SAMPLES, THETA, SEED = 2, 0.5, 11
-KEPT_SEGMENTS, CHUNK_SEGMENTS = 150_000, 30_000
+#: Lattices kept between chunks of texts, and segments laid out at a time: they decide a worker's memory, not its results.
+KEPT_SEGMENTS, CHUNK_SEGMENTS = 60_000, 12_000
+#: Texts that are Python objects at a time.
+TEXTS = 500
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 _ALL = (1 << 64) - 1
 _STEP, _ROUND = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03
@@ -371,17 +374,17 @@ def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, t
     def run(batches):
         encoder = Encoder(path, k, theta, seed)
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), [str(x) for x in batch.column("doc_id").to_pylist()]
-            for a in range(0, len(texts), 500):
-                found = encoder.encode(keys[a:a + 500], texts[a:a + 500])
+            for a in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(a, TEXTS)
+                found = encoder.encode([str(x) for x in part.column("doc_id").to_pylist()], part.column("text").to_pylist())
                 rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 ids = [ids for f in found for ids, _, _ in f]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows + a)), pa.array([s + 1 for f in found for s in range(len(f))], pa.int32()),
+                    [part.column("doc_id").take(pa.array(rows)), pa.array([s + 1 for f in found for s in range(len(f))], pa.int32()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))),
                      pa.array([x for f in found for _, x, _ in f], pa.float64()), pa.array([x for f in found for _, _, x in f], pa.float64()),
-                     batch.column("h").take(pa.array(rows + a))],
+                     part.column("h").take(pa.array(rows))],
                     ["doc_id", "sample", "ids", "log_prob", "log_inclusion", "text_hash"])
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     return rows.mapInArrow(run, f"doc_id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, text_hash long")
