@@ -30,7 +30,7 @@ from spindlescope.llm.common import mix, table
 MODEL = "piece_bpe_32k.model"
 SAMPLES, THETA, SEED = 2, 0.5, 11
 #: Lattices kept between chunks of texts, and segments laid out at a time: they decide a worker's memory, not its results.
-KEPT_SEGMENTS, CHUNK_SEGMENTS = 60_000, 12_000
+KEPT_SEGMENTS, CHUNK_SEGMENTS = 100_000, 24_000
 #: Texts that are Python objects at a time.
 TEXTS = 500
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
@@ -113,11 +113,53 @@ class Lattices(dict):
     def reset(self) -> None:
         self.clear()
         self.fresh: list[str] = []
-        for name, kind in _ARRAYS.items():
-            setattr(self, name, np.empty(0, kind))
+        self.buffers = {name: np.empty(0, kind) for name, kind in _ARRAYS.items()}
+        for name, buffer in self.buffers.items():
+            setattr(self, name, buffer)
+        self.hits = np.empty(0, np.int32)
         self.pool = np.arange(len(self.v.bytes_of), dtype=np.int32)  # a piece's ids are itself; those of unknown letters follow
         self.spelled: dict[int, int] = {}
 
+    def _append(self, name: str, new: np.ndarray) -> None:
+        """Add to an array inside its buffer, which doubles when it is full."""
+        held, buffer = len(getattr(self, name)), self.buffers[name]
+        if held + len(new) > len(buffer):
+            grown = np.empty(max(2 * len(buffer), held + len(new)), buffer.dtype)
+            grown[:held] = buffer[:held]
+            buffer = self.buffers[name] = grown
+        buffer[held:held + len(new)] = new
+        setattr(self, name, buffer[:held + len(new)])
+
+    def forget(self, most: int) -> None:
+        """Drop the lattices met least often, so that at most ``most`` stay."""
+        least = 2
+        while int((self.hits >= least).sum()) > most:
+            least *= 2
+        keep = np.flatnonzero(self.hits >= least)
+        nodes = self.size[keep].astype(np.int64) + 1
+        node_from = self.first[keep].astype(np.int64)
+        edge_from = self.lo[node_from].astype(np.int64)
+        edges = self.hi[node_from + nodes - 1] - edge_from
+        node_to, edge_to = np.cumsum(nodes) - nodes, np.cumsum(edges) - edges
+        node_at = np.arange(nodes.sum()) + np.repeat(node_from - node_to, nodes)
+        edge_at = np.arange(edges.sum()) + np.repeat(edge_from - edge_to, edges)
+        shift = np.repeat(edge_to - edge_from, nodes)
+        new = {"first": node_to, "size": self.size[keep], "lo": self.lo[node_at] + shift, "hi": self.hi[node_at] + shift}
+        new |= {name: getattr(self, name)[edge_at] for name in _ARRAYS if name not in new}
+        for name, kept in new.items():
+            setattr(self, name, self.buffers[name][:0])
+            self._append(name, kept)
+        names = list(self)
+        self.clear()
+        self.update((names[n], i) for i, n in enumerate(keep.tolist()))
+        self.hits = np.ones(len(keep), np.int32)
+
+    def met(self, numbers: np.ndarray) -> None:
+        """Count how often each lattice is used."""
+        counts = np.bincount(numbers, minlength=len(self)).astype(np.int32)
+        counts[:len(self.hits)] += self.hits
+        self.hits = counts
+
     def __missing__(self, segment: str) -> int:
         number = self[segment] = len(self)
         self.fresh.append(segment)
@@ -162,27 +204,29 @@ class Lattices(dict):
         start, length, log_p, id_at, id_n = self._edges(codes, size[owner] - local)
         seg, prev, end = owner[start], local[start], local[start] + length
         node = node0[seg] + end
-        order = np.lexsort((node, end))
+        order = np.argsort(node, kind="stable")
         seg, prev, end, node, log_p, id_at, id_n = (x[order] for x in (seg, prev, end, node, log_p, id_at, id_n))
-        total = int((size + 1).sum())
-        mass, value, log_c = np.zeros(total), np.empty(len(node)), np.empty(len(node))
-        bounds = np.searchsorted(end, np.arange(1, int(size.max()) + 2))
+        total, longest = int((size + 1).sum()), int(size.max())
+        mass, value = np.zeros(total), np.empty(len(node))
+        # places of all lattices from left to right; narrow numbers sort by their digits
+        turn = np.argsort(end.astype(np.int16) if longest < 1 << 15 else end, kind="stable")
+        bounds = np.searchsorted(end[turn], np.arange(1, longest + 2))
+        before, weight, after = node0[seg[turn]] + prev[turn], self.theta * log_p[turn], node[turn]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            value[a:b] = mass[node0[seg[a:b]] + prev[a:b]] + self.theta * log_p[a:b]
-            here, first = np.unique(node[a:b], return_index=True)
+            here = mass[before[a:b]] + weight[a:b]
+            first = np.flatnonzero(np.concatenate([[True], after[a + 1:b] != after[a:b - 1]]))
             counts = np.diff(np.append(first, b - a))
-            top = np.maximum.reduceat(value[a:b], first)
-            mass[here] = top + np.log(np.add.reduceat(np.exp(value[a:b] - np.repeat(top, counts)), first))
+            top = np.maximum.reduceat(here, first)
+            mass[after[a + first]] = top + np.log(np.add.reduceat(np.exp(here - np.repeat(top, counts)), first))
+            value[turn[a:b]] = here
         log_c = value - mass[node]
-        order = np.argsort(node, kind="stable")
-        node, prev, log_c, id_at, id_n = (x[order] for x in (node, prev, log_c, id_at, id_n))
         lo, hi = np.searchsorted(node, np.arange(total)), np.searchsorted(node, np.arange(total), "right")
         upto = np.cumsum(np.exp(log_c))
         cum = upto - np.concatenate([[0.0], upto])[lo[node]]
         cum[hi[hi > lo] - 1] = 2.0
         nodes, edges = len(self.lo), len(self.prev)
         for name, new in (("first", node0 + nodes), ("size", size), ("lo", lo + edges), ("hi", hi + edges), ("prev", prev), ("id_at", id_at), ("id_n", id_n), ("cum", cum), ("log_c", log_c)):
-            setattr(self, name, np.concatenate([getattr(self, name), new.astype(_ARRAYS[name])]))
+            self._append(name, new)
 
     def other_path(self, number: int, excluded: list[tuple[int, ...]], draw) -> tuple[int, ...] | None:
         """A random segmentation (edges from the end) that is none of ``excluded``; None if there is no other."""
@@ -254,6 +298,7 @@ class Search:
         sizes = np.array([len(f) for f in found], np.int64)
         numbers = np.fromiter(map(lat.__getitem__, (s for f in found for s in f)), np.int64, int(sizes.sum()))
         lat.add_fresh()
+        lat.met(numbers)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         text_of = np.repeat(np.arange(len(texts)), sizes)
         nth = (np.arange(len(numbers)) - begin[text_of]).astype(np.uint64)
@@ -348,7 +393,7 @@ class Encoder:
             if size < CHUNK_SEGMENTS and i + 1 < len(texts):
                 continue
             if len(lat) > KEPT_SEGMENTS:
-                lat.reset()
+                lat.forget(KEPT_SEGMENTS // 2)
             for best, threshold in Search(lat, k).run([x or "" for x in texts[start:i + 1]], seeds[start:i + 1]):
                 at, n, pool = lat.id_at, lat.id_n, lat.pool
                 rows = []
@@ -361,9 +406,12 @@ class Encoder:
         return out
 
 
-def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, theta: float = THETA, seed: int = SEED) -> DataFrame:
+def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, theta: float = THETA, seed: int = SEED,
+                   decoded: bool = False) -> DataFrame:
     """Up to ``k`` distinct segmentations of every whole text: doc_id, sample (from 1), ids, log_prob, log_inclusion, text_hash.
 
+    ``decoded`` adds the text of the ids as ``decode`` does, in the same pass: the ids need not go to a second worker.
+
     Random choices come from the row's doc_id and ``seed`` alone, so a task that runs again draws the same; rows that share an
     id and a text draw the same too. A null or empty text has one segmentation, without ids. A text with fewer than ``k``
     segmentations gives all of them, with log_inclusion 0. A null id is a key like any other. Other columns are left behind.
@@ -379,15 +427,16 @@ def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, t
                 found = encoder.encode([str(x) for x in part.column("doc_id").to_pylist()], part.column("text").to_pylist())
                 rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 ids = [ids for f in found for ids, _, _ in f]
+                back = [pa.array([encoder.lat.v.decode(x.tolist()) for x in ids], pa.string())] if decoded else []
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(rows)), pa.array([s + 1 for f in found for s in range(len(f))], pa.int32()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))),
                      pa.array([x for f in found for _, x, _ in f], pa.float64()), pa.array([x for f in found for _, _, x in f], pa.float64()),
-                     part.column("h").take(pa.array(rows))],
-                    ["doc_id", "sample", "ids", "log_prob", "log_inclusion", "text_hash"])
+                     part.column("h").take(pa.array(rows)), *back],
+                    ["doc_id", "sample", "ids", "log_prob", "log_inclusion", "text_hash", *["decoded"][:len(back)]])
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    return rows.mapInArrow(run, f"doc_id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, text_hash long")
+    return rows.mapInArrow(run, f"doc_id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, text_hash long{', decoded string' if decoded else ''}")
 
 
 def decode(samples: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
@@ -409,6 +458,6 @@ _DECODER: tuple | None = None
 
 def op8_sampled_segmentations(spark, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document, and whether each decodes to the whole text again."""
-    coded = decode(encode_samples(table(spark, sf_dir, "documents")))
+    coded = encode_samples(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select("doc_id", "sample", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
                         (F.xxhash64("decoded") == F.col("text_hash")).alias("decodes"))

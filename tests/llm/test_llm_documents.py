@@ -586,9 +586,25 @@ def test_samples_exhaust_small_texts_and_round_trip(spark, vocabulary):
     assert Counter(r["doc_id"] for r in coded)[1] == 1 and Counter(r["doc_id"] for r in coded)[7] == 6
     again = sampled_pieces.encode_samples(docs.repartition(3), k=3).collect()
     assert Counter((r["doc_id"], r["sample"], tuple(r["ids"])) for r in again) == Counter((r["doc_id"], r["sample"], tuple(r["ids"])) for r in coded)
+    at_once = sampled_pieces.encode_samples(docs, k=3, decoded=True).collect()
+    assert Counter((r["doc_id"], r["sample"], r["decoded"]) for r in at_once) == Counter((r["doc_id"], r["sample"], r["decoded"]) for r in coded)
     assert sampled_pieces.encode_samples(docs_of(spark, [])).count() == 0
 
 
+def test_forgotten_lattices_change_no_sample(vocabulary, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 41}x rare{i}{k}é" for k in range(60)) for i in range(40)] + ["", "x" * 40_000, None]
+    names = [str(i) for i in range(len(texts))]
+    whole = sampled_pieces.Encoder(vocabulary)
+    want = whole.encode(names, texts)
+    monkeypatch.setattr(sampled_pieces, "KEPT_SEGMENTS", 200)
+    monkeypatch.setattr(sampled_pieces, "CHUNK_SEGMENTS", 150)
+    small = sampled_pieces.Encoder(vocabulary)
+    got = small.encode(names, texts)
+    assert len(small.lat) < 600 < len(whole.lat)
+    for x, y in zip(want, got):
+        assert [(i.tolist(), round(p, 6), round(q, 6)) for i, p, q in x] == [(i.tolist(), round(p, 6), round(q, 6)) for i, p, q in y]
+
+
 def test_decoder_agrees_with_the_library(vocabulary):
     import sentencepiece
     sp, v = sentencepiece.SentencePieceProcessor(model_file=vocabulary), sampled_pieces.Vocabulary(vocabulary)
