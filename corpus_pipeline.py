@@ -43,7 +43,7 @@ def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of each text, with the check that they decode to it."""
-    coded = sampled_pieces.decode(sampled_pieces.encode_samples(docs))
+    coded = sampled_pieces.encode_samples(docs, decoded=True)
     return coded.select("doc_id", "sample", "ids", "log_prob", "log_inclusion", (F.xxhash64("decoded") == F.col("text_hash")).alias("decodes"))
 
 
