@@ -16,6 +16,7 @@ import heapq
 import importlib.util
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from spindlescope.llm.common import mix, table
 MODEL = "piece_bpe_32k.model"
 SAMPLES, THETA, SEED = 2, 0.5, 11
 #: Lattices kept between chunks of texts, and segments laid out at a time: they decide a worker's memory, not its results.
-KEPT_SEGMENTS, CHUNK_SEGMENTS = 100_000, 24_000
+KEPT_SEGMENTS, CHUNK_SEGMENTS = 300_000, 24_000
 #: Texts that are Python objects at a time.
 TEXTS = 500
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
@@ -74,7 +75,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; the blank that stands before every text is taken off."""
-        return b"".join([self.bytes_of[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 def segments(text: str) -> list[str]:
@@ -220,7 +221,8 @@ class Lattices(dict):
             mass[after[a + first]] = top + np.log(np.add.reduceat(np.exp(here - np.repeat(top, counts)), first))
             value[turn[a:b]] = here
         log_c = value - mass[node]
-        lo, hi = np.searchsorted(node, np.arange(total)), np.searchsorted(node, np.arange(total), "right")
+        hi = np.cumsum(np.bincount(node, minlength=total))
+        lo = np.concatenate([[0], hi[:-1]])
         upto = np.cumsum(np.exp(log_c))
         cum = upto - np.concatenate([[0.0], upto])[lo[node]]
         cum[hi[hi > lo] - 1] = 2.0
@@ -259,6 +261,14 @@ def uniform(keys: np.ndarray) -> np.ndarray:
     return ((mix(keys) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
+def uniform_of(key: int) -> float:
+    """``uniform`` of one key."""
+    h = key & _ALL
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & _ALL
+    h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & _ALL
+    return ((h ^ h >> 33) >> 11) * 2.0 ** -53 + 2.0 ** -54
+
+
 def walk(lat: Lattices, numbers: np.ndarray, keys: np.ndarray):
     """A random segmentation of every segment: flat edges in text order, where each segment's start, log-probabilities."""
     lo, prev, cum, log_c = lat.lo, lat.prev, lat.cum, lat.log_c
@@ -296,12 +306,13 @@ class Search:
         lat, k = self.lat, self.k
         found = [segments(t) for t in texts]
         sizes = np.array([len(f) for f in found], np.int64)
-        numbers = np.fromiter(map(lat.__getitem__, (s for f in found for s in f)), np.int64, int(sizes.sum()))
+        numbers = np.fromiter(map(lat.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
         lat.add_fresh()
         lat.met(numbers)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         text_of = np.repeat(np.arange(len(texts)), sizes)
         nth = (np.arange(len(numbers)) - begin[text_of]).astype(np.uint64)
+        step = int(_STEP)
         out: list[list] = [[] for _ in texts]
         # agendas: (-value, turn, place, excluded paths): all that agrees with that turn's path before the place and differs there
         agenda: list[list] = [[] for _ in texts]
@@ -350,7 +361,7 @@ class Search:
                 key = int(seeds[i]) ^ ((turn + 1) << 40 | place << 8 | 0x77)
 
                 def draw(key=key, counter=counter):
-                    return float(uniform(np.array([(key + next(counter) * int(_STEP)) & _ALL], np.uint64))[0])
+                    return uniform_of(key + next(counter) * step)
                 number = int(numbers[begin[i] + place])
                 path = lat.other_path(number, excluded, draw)
                 if path is None:
