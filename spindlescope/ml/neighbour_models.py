@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from spindlescope.operators.neighbours import Neighbourhood, knn_join
 from spindlescope.operators.ordering import exact_quantiles
-from spindlescope.session import cut_lineage, lookup_join
+from spindlescope.session import cut_lineage, lookup_join, split_join
 
 #: Rows that a tree's first draw has beyond its sample, in standard deviations of that draw; it falls short less than once in a billion trees.
 SPARE = 6.0
@@ -27,7 +27,8 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "
     ``distance`` weights votes by 1 / distance; an exact match outvotes everything else.
     """
     near = knn_join(test, train, k, id_col=id_col, vec=vec, metric=metric)
-    votes = near.join(train.select(F.col(id_col).alias("neighbour"), F.col(label).alias("_l")), "neighbour")
+    # one training row may be near to a third of all rows
+    votes = split_join(cut_lineage(near), train.select(F.col(id_col).alias("neighbour"), F.col(label).alias("_l")), ["neighbour"])
     exact = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy(id_col))
     if weights == "uniform":
         w = F.lit(1.0)
@@ -44,16 +45,17 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest reachable node per node: (_key, _root). Labels jump to their label's label each round.
 
-    Every round is one join on the edges and one on the labels; lineage is cut in shared storage.
+    Every round joins the edges to labels, and labels to their labels; lineage is cut in shared storage. Hubs and labels
+    that many nodes have are split.
     """
     both = cut_lineage(edges.select("_a", "_b").union(edges.select("_b", "_a")).distinct())
     labels = cut_lineage(nodes.select("_key", F.col("_key").alias("_root")))
     while True:
-        heard = both.join(labels, both["_b"] == labels["_key"]).groupBy("_a").agg(F.min("_root").alias("_m"))
-        lower = labels.join(heard, labels["_key"] == heard["_a"], "left").select(
-            "_key", F.col("_root").alias("_old"), F.least("_root", F.coalesce("_m", "_root")).alias("_new"))
-        roots = lower.select(F.col("_key").alias("_r"), F.col("_new").alias("_jump"))
-        moved = lower.join(roots, lower["_new"] == roots["_r"]).select("_key", "_old", F.least("_new", "_jump").alias("_root"))
+        heard = split_join(both.withColumnRenamed("_b", "_key"), labels, ["_key"]).groupBy("_a").agg(F.min("_root").alias("_m"))
+        lower = cut_lineage(labels.join(heard, labels["_key"] == heard["_a"], "left").select(
+            "_key", F.col("_root").alias("_old"), F.least("_root", F.coalesce("_m", "_root")).alias("_new")))
+        roots = lower.select(F.col("_key").alias("_new"), F.col("_new").alias("_jump"))
+        moved = split_join(lower, roots, ["_new"]).select("_key", "_old", F.least("_new", "_jump").alias("_root"))
         moved = cut_lineage(moved)
         labels = moved.select("_key", "_root")
         if not moved.filter("_root <> _old").limit(1).count():
@@ -71,10 +73,10 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: str =
     core = weighed.filter(F.col("_weight") >= min_samples)
     roots = components(space.forest(core), core)
     edge = weighed.filter(F.col("_weight") < min_samples)
-    touch = space.touching(edge, core).withColumnRenamed("_key", "_edge")
-    border = touch.join(roots, touch["_near"] == roots["_key"]).groupBy(F.col("_edge").alias("_key")).agg(F.min("_root").alias("_root"))
+    touch = cut_lineage(space.touching(edge, core).select(F.col("_key").alias("_edge"), F.col("_near").alias("_key")))
+    border = split_join(touch, roots, ["_key"]).groupBy(F.col("_edge").alias("_key")).agg(F.min("_root").alias("_root"))
     placed = roots.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
-    rows = space.rows.select(id_col, "_key").join(placed, "_key", "left")
+    rows = cut_lineage(split_join(space.rows.select(id_col, "_key"), placed, ["_key"], "left"))
     first = rows.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(id_col).alias("cluster"))
     return lookup_join(rows, first, ["_root"], "left").select(
         id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spindlescope.session import cut_lineage, lookup_join
+from spindlescope.session import cut_lineage, lookup_join, split_join
 
 CHUNK = 1024
 SLACK = 1e-9
@@ -239,7 +239,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, within: list[str] | str | None
         visits = cut_lineage(_visit(eager, cells, pivots, "_reach", own=False, metric=metric))
         found = _keep_best(found.unionByName(_meet(visits, targets, compare, schema)), m)
     lists = found.groupBy("_w", "_key").agg(F.sort_array(F.collect_list(F.struct("_dist", "_nid"))).alias("_near"))
-    rows = left.select("_w", "_key", *within, id_col).join(lists, ["_w", "_key"])
+    rows = split_join(left.select("_w", "_key", *within, id_col), lists, ["_w", "_key"])
     near = F.filter("_near", lambda x: x["_nid"] != F.col(id_col)) if exclude_self else F.col("_near")
     best = rows.select(*within, id_col, F.posexplode(F.slice(near, 1, k)).alias("_pos", "_n"))
     return best.select(*within, id_col, F.col("_n._nid").alias("neighbour"), (F.col("_pos") + 1).alias("rank"),

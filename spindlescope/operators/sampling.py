@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindlescope.operators.neighbours import knn_join
 from spindlescope.operators.ordering import exact_quantiles, hash_cutoffs, hash_number, hash_quantile_cuts, pick_by_hash, row_hash
-from spindlescope.session import cut_lineage, lookup_join, lookup_rows
+from spindlescope.session import cut_lineage, lookup_join, lookup_rows, split_join
 
 ROW_KEYS = ["serial_number", "date"]
 
@@ -95,7 +95,7 @@ def _between_neighbours(copies: DataFrame, near: DataFrame, vectors: DataFrame,
     drawn = copies.join(lists, id_col).withColumn("_nid", F.col("_near")[pick]["neighbour"]).drop("_near")
     others = vectors.select(F.col(id_col).alias("_nid"), F.col(vec).alias("_other"))
     u = hash_number([id_col, "_copy"], f"{seed}-step") / F.lit(float(1 << 32)) * F.lit(float(step))
-    mixed = drawn.join(others, "_nid").withColumn("_u", u)
+    mixed = split_join(cut_lineage(drawn), others, ["_nid"]).withColumn("_u", u)
     new = F.zip_with(vec, "_other", lambda x, y: x + F.col("_u") * (y - x))
     return mixed.select(F.col(id_col).alias("parent"), F.col("_nid").alias("neighbour"), F.col("_copy").alias("copy"), new.alias(vec), *keep)
 

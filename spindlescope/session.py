@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 50_000
+#: Parts that the rows of one key are dealt to by ``split_join``.
+SPLIT_PARTS = 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -46,6 +48,18 @@ def lookup_join(df: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return df.join(F.broadcast(local), on, how)
 
 
+def split_join(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", parts: int = SPLIT_PARTS) -> DataFrame:
+    """Join ``small`` to ``df``, whose keys may be hot: one key may hold a third of all rows.
+
+    Rows of a key are dealt to ``parts`` parts by a hash of the whole row. ``small`` is repeated only for the parts that a key
+    really has, which are found from partial distinct counts, so rare keys travel once. ``df`` is read twice: give a
+    stored or cheap one.
+    """
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts)))
+    copies = dealt.select(*on, "_part").distinct().join(small, on)
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
+
+
 def lookup_rows(small: DataFrame, max_rows: int = LOOKUP_ROWS) -> list:
     """Rows of a summary whose size has a known bound; fails rather than cut it short."""
     head = small.limit(max_rows + 1).collect()
