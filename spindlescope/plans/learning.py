@@ -292,8 +292,7 @@ def transfer_train(spark, sf_dir):
     rows = tr.cut_lineage(tr.vectors_of(windows, CFG).select(
         F.concat_ws("|", "serial_number", "date").alias("vec_id"), "vector", F.col("window_label").alias("label"), "model", "is_test"))
     train, test = rows.filter("NOT is_test"), rows.filter("is_test")
-    done = tr.transfer_train(train.filter(F.col("model").isin(near)), train.filter(~F.col("model").isin(near)), test,
-                             "mlp", {"hidden": (8,), "maxIter": 20})
+    done = tr.transfer_train(train.filter(F.col("model").isin(near)), train.filter(~F.col("model").isin(near)), test, "mlp")
     return rounded(mt.report_metrics(done.predictions), 4)
 
 
