@@ -116,3 +116,13 @@ def test_isolation_forest_ranks_outliers_first_and_repeats(spark):
     assert sum(r["prediction"] == -1 for r in scored) == 4
     again = isolation_forest(df.repartition(3), trees=40, sample=64).score(df).orderBy("anomaly", ascending=False).first()
     assert again["anomaly"] == scored[0]["anomaly"]
+
+
+def test_component_rounds_keep_no_constraints(spark):
+    """Constraints of one round would be multiplied by the next, until planning a round takes minutes."""
+    n = 200
+    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(n)], "_a string, _b string")
+    nodes = spark.createDataFrame([(f"{i:03d}",) for i in range(n + 1)], "_key string")
+    labels = components(edges, nodes)
+    assert {r["_root"] for r in labels.collect()} == {"000"}
+    assert labels._jdf.queryExecution().analyzed().constraints().size() <= 4
