@@ -126,3 +126,24 @@ def test_component_rounds_keep_no_constraints(spark):
     labels = components(edges, nodes)
     assert {r["_root"] for r in labels.collect()} == {"000"}
     assert labels._jdf.queryExecution().analyzed().constraints().size() <= 4
+
+
+def test_far_search_moves_rows_per_tile_not_per_cell(spark, monkeypatch):
+    """In high dimension every row has to see most cells; a row goes once to a tile of them."""
+    monkeypatch.setattr(nb, "CHUNK", 8)
+    points = np.random.default_rng(1).normal(size=(120, 24))
+    shapes = []
+    real = nb._meet_far
+
+    def spied(probes, targets, pivots, *rest):
+        shapes.append((probes.count(), len(pivots)))
+        far = real(probes, targets, pivots, *rest)
+        shapes.append(far.count())
+        return far
+
+    monkeypatch.setattr(nb, "_meet_far", spied)
+    df = frame(spark, points)
+    got = found(nb.knn_join(df, df, 3, exclude_self=True))
+    assert got == brute(points, points, 3, allowed=lambda i, j: i != j)
+    (rows, cells), sent = shapes
+    assert cells > 4 and sent <= 4 * rows
