@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, mix, pass_through, shingle_hashes, stage, table, words
+from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, mix, pass_through, shingle_hashes, slices, stage, table, words
 from spindlescope.llm.grouping import linked_groups
 from spindlescope.llm.set_links import compare_chunks
 
@@ -15,6 +15,8 @@ BANDS, ROWS = 32, 4
 PERCENT = 80
 #: Shingles per numpy call.
 CHUNK = 1 << 16
+#: Words whose hashes a task keeps.
+KNOWN_WORDS = 100_000
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -71,7 +73,7 @@ def shingle_sets(texts: list[str | None], n: int, known: WordHashes) -> list[np.
 
 
 def _describe(n: int, bands: int, rows: int):
-    known = WordHashes()
+    known = WordHashes(KNOWN_WORDS)
 
     def of(texts):
         sets = shingle_sets(texts, n, known)
@@ -102,7 +104,7 @@ def describe(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        yield from pass_through(_describe(shingle, bands, rows), ("doc_id",))(batches)
+        yield from pass_through(_describe(shingle, bands, rows), ("doc_id",))(slices(batches))
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, print binary, bands array<long>, sketch array<long>")
 
 
@@ -111,8 +113,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h")), "h"))
 
     def run(batches):
-        cells, known = np.frombuffer(bits.value, np.uint32), WordHashes()
-        for batch in batches:
+        cells, known = np.frombuffer(bits.value, np.uint32), WordHashes(KNOWN_WORDS)
+        for batch in slices(batches):
             at = np.flatnonzero(in_bitmap(cells, batch.column("h").to_numpy()))
             picked = batch.take(pa.array(at))
             sets = shingle_sets(picked.column("text").to_pylist(), shingle, known)

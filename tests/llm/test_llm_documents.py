@@ -650,3 +650,34 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         for name, step in corpus_pipeline.STAGES:
             rows = corpus_pipeline.stage(step(spark, rows, str(tmp_path)))
             assert name == "encoding" or rows.columns == docs.columns
+
+
+def test_texts_are_described_a_slice_at_a_time(spark, monkeypatch):
+    """What a task holds beside a batch does not grow with the batch."""
+    import pyarrow as pa
+
+    from spindlescope.llm import minhash
+    from spindlescope.llm.common import BATCH_ROWS
+
+    seen, whole = [], minhash._describe
+
+    def spied(*args):
+        of = whole(*args)
+        return lambda texts: seen.append(len(texts)) or of(texts)
+
+    class Docs:  # takes the place of a frame: hands out the function that the tasks run
+        schema = {"doc_id": spark.range(1).schema["id"]}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(minhash, "_describe", spied)
+    ids = list(range(2 * BATCH_ROWS + 5))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f"a b c d {i}" for i in ids])], ["doc_id", "text"])
+    out = list(minhash.describe(Docs(), 4, 32, 4)([batch]))
+    assert max(seen) <= BATCH_ROWS and sum(seen) == len(ids)
+    assert [v for b in out for v in b.column("doc_id").to_pylist()] == ids
+    assert {v for b in out for v in b.column("n_shingles").to_pylist()} == {2}
