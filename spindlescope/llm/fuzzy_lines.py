@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, may_be_in, mix, stage, table, utf8
+from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, may_be_in, mix, slices, stage, table, utf8
 from spindlescope.llm.grouping import linked_groups
 
 #: Lines are linked if their 64-bit SimHashes differ in at most this many bits and their edit similarity reaches PERCENT.
@@ -20,6 +20,8 @@ PERCENT = 90
 #: Five blocks: three differing bits leave two blocks equal, so the ten pairs of blocks (25 or 26 bits each) find every pair.
 BLOCKS = 5
 CHUNK = 1 << 16
+#: Texts that a task reads at once, and word hashes that it keeps: executors hold little beside their heap.
+TEXTS, KEPT_WORDS = 500, 100_000
 _FOLD = bytes(32 if chr(b) in "\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 48 if 48 <= b < 58 else b for b in range(256))
 
 
@@ -114,17 +116,15 @@ def line_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        known = WordHashes()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 500):
-                row, number, joined, hashes, sizes = _lines(texts[a:a + 500], known)
-                if not joined:
-                    continue
-                h, g = _hash_columns(joined)
-                sims = simhashes(hashes, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + a)), pa.array(number), pa.array(h), pa.array(g),
-                                                  pa.array(sims.view(np.int64))], ["doc_id", "line", "h", "g", "sim"])
+        known = WordHashes(KEPT_WORDS)
+        for batch in slices(batches, TEXTS):
+            row, number, joined, hashes, sizes = _lines(batch.column("text").to_pylist(), known)
+            if not joined:
+                continue
+            h, g = _hash_columns(joined)
+            sims = simhashes(hashes, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(h), pa.array(g),
+                                              pa.array(sims.view(np.int64))], ["doc_id", "line", "h", "g", "sim"])
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, g long, sim long")
 
 
@@ -134,7 +134,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         cells = np.frombuffer(bits.value, np.uint32)
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             joined = [b" ".join(ws) for t in batch.column("text").to_pylist() for line in utf8(t).split(b"\n") if (ws := normalise(line))]
             if not joined:
                 continue

@@ -392,8 +392,8 @@ def log_inclusion(log_p: float, threshold: float | None) -> float:
 class Encoder:
     """Samples of whole texts; keeps the lattices of words it has met, up to a bound."""
 
-    def __init__(self, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED):
-        self.lat, self.k, self.seed = Lattices(Vocabulary(path), theta), k, seed
+    def __init__(self, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, kept: int = KEPT_SEGMENTS):
+        self.lat, self.k, self.seed, self.kept = Lattices(Vocabulary(path), theta), k, seed, kept
 
     def encode(self, keys: list[str], texts: list[str | None]):
         """Per text its samples: (ids, log-probability, log inclusion score), in order of their perturbed values."""
@@ -403,8 +403,8 @@ class Encoder:
             size += (t or "").count(" ") + 1
             if size < CHUNK_SEGMENTS and i + 1 < len(texts):
                 continue
-            if len(lat) > KEPT_SEGMENTS:
-                lat.forget(KEPT_SEGMENTS // 2)
+            if len(lat) > self.kept:
+                lat.forget(self.kept // 2)
             for best, threshold in Search(lat, k).run([x or "" for x in texts[start:i + 1]], seeds[start:i + 1]):
                 at, n, pool = lat.id_at, lat.id_n, lat.pool
                 rows = []
@@ -418,10 +418,11 @@ class Encoder:
 
 
 def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, theta: float = THETA, seed: int = SEED,
-                   decoded: bool = False) -> DataFrame:
+                   decoded: bool = False, kept: int = KEPT_SEGMENTS) -> DataFrame:
     """Up to ``k`` distinct segmentations of every whole text: doc_id, sample (from 1), ids, log_prob, log_inclusion, text_hash.
 
-    ``decoded`` adds the text of the ids as ``decode`` does, in the same pass: the ids need not go to a second worker.
+    ``decoded`` adds the text of the ids as ``decode`` does, in the same pass: the ids need not go to a second worker. ``kept``: segments
+    whose lattices a task keeps; fewer take more time and give the same rows.
 
     Random choices come from the row's doc_id and ``seed`` alone, so a task that runs again draws the same; rows that share an
     id and a text draw the same too. A null or empty text has one segmentation, without ids. A text with fewer than ``k``
@@ -431,7 +432,7 @@ def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, t
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(path, k, theta, seed)
+        encoder = Encoder(path, k, theta, seed, kept)
         for batch in batches:
             for a in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(a, TEXTS)
