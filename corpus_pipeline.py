@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from spindlescope.llm import decontaminate, fuzzy_lines, minhash, sampled_pieces, toxicity
 from spindlescope.llm.common import stage, table
 
+#: Lattices that the last stage keeps per task: the heap is full by then, and workers of earlier stages still hold memory.
+KEPT_SEGMENTS = 75_000
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids``."""
@@ -43,7 +46,7 @@ def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of each text, with the check that they decode to it."""
-    coded = sampled_pieces.encode_samples(docs, decoded=True)
+    coded = sampled_pieces.encode_samples(docs, decoded=True, kept=KEPT_SEGMENTS)
     return coded.select("doc_id", "sample", "ids", "log_prob", "log_inclusion", (F.xxhash64("decoded") == F.col("text_hash")).alias("decodes"))
 
 
