@@ -54,6 +54,24 @@ def test_thinning_matches_slices(drives, n, factor):
     assert [int(r["smart_5_raw"]) for r in got] == thin(list(range(n)), factor)
 
 
+@pytest.mark.parametrize("pad", [None, "bfill", "null"])
+@pytest.mark.parametrize("lags", ["cumulative", "literal"])
+def test_hybrid_windows_are_full_and_dilated_ones_from_one_sort(spark, lags, pad):
+    rows = [(s, day(d), int(d > n - 8), int(d > n - 16), None if d % 11 == 0 else float(d)) for s, n in (("a", 160), ("b", 10), ("c", 3)) for d in range(n)]
+    df = spark.createDataFrame(rows, "serial_number string, date date, predict_val int, validate_val int, smart_5_raw double")
+
+    def run(kind, **more):
+        return wn.lag_windows(df, ["smart_5_raw"], 8, kind, lags, pad=pad, **more)
+    got = run("hybrid")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Union" not in plan
+    assert got.columns == [*df.columns, "features", "window_label", "window_kind"]
+    keep = ("serial_number", "date", "features", "window_label")
+    full = [(*(r[c] for c in keep), "full") for r in run("full").where("validate_val = 1").collect()]
+    thinned = [(*(r[c] for c in keep), "dilated") for r in run("dilated").collect()]
+    assert sorted(map(repr, (tuple(r[c] for c in (*keep, "window_kind")) for r in got.collect()))) == sorted(map(repr, full + thinned)) and full and thinned
+
+
 @pytest.mark.parametrize("window", [8, 6, 5])
 def test_dilated_windows_match_a_plain_model(drives, window):
     n = 60
