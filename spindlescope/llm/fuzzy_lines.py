@@ -1,4 +1,8 @@
-"""Fuzzy line de-duplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group."""
+"""Fuzzy line de-duplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
+
+Block keys travel once, with the SimHash and the length of their line; tasks read them in key order, compare the lines that share a key and send on
+only the pairs within MOST_BITS bits and 100 - PERCENT per cent of length. Keys that more than DIRECT lines share are compared by pivots.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, may_be_in, mix, slices, stage, table, utf8
-from spindlescope.llm.grouping import linked_groups
+from spindlescope.llm.grouping import components, linked_groups
 
 #: Lines are linked if their 64-bit SimHashes differ in at most this many bits and their edit similarity reaches PERCENT.
 MOST_BITS = 3
@@ -20,9 +24,14 @@ PERCENT = 90
 #: Five blocks: three differing bits leave two blocks equal, so the ten pairs of blocks (25 or 26 bits each) find every pair.
 BLOCKS = 5
 CHUNK = 1 << 16
+#: Lines that share a key at most for all their pairs to be compared as they are read.
+DIRECT = 4096
 #: Texts that a task reads at once, and word hashes that it keeps: executors hold little beside their heap.
 TEXTS, KEPT_WORDS = 500, 100_000
-_FOLD = bytes(32 if chr(b) in "\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 48 if 48 <= b < 58 else b for b in range(256))
+_BLANK = b"\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_FOLD = bytes(32 if b in _BLANK else 48 if 48 <= b < 58 else b for b in range(256))
+#: Eight counters of a byte each, for every eighth bit of a hash.
+_LANES, _LANE_MOST = np.uint64(0x0101010101010101), 255
 
 
 def normalise(line: bytes) -> list[bytes]:
@@ -30,17 +39,34 @@ def normalise(line: bytes) -> list[bytes]:
     return line.lower().translate(_FOLD).split()
 
 
+def lines_with_words(text: str | None) -> int:
+    """How many lines of a text have a word."""
+    return sum(map(bool, utf8(text).translate(None, _BLANK.replace(b"\n", b"")).split(b"\n")))
+
+
 def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One 64-bit SimHash per run of word hashes: each bit is what most words have (0 on a tie)."""
-    out = np.empty(len(starts), np.uint64)
+    """One 64-bit SimHash per run of word hashes: each bit is what most words have (0 on a tie).
+
+    Bits are added up as bytes, eight to a number, over at most 255 words at a time.
+    """
+    out = np.zeros(len(starts), np.uint64)
     ends = np.append(starts[1:], len(hashes))
     at = 0
     while at < len(starts):
         end = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
-        bits = np.unpackbits(hashes[starts[at]:ends[end - 1]].view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, starts[at:end] - starts[at], axis=0, dtype=np.int64)
-        most = 2 * sums > (ends[at:end] - starts[at:end])[:, None]
-        out[at:end] = np.packbits(most, axis=1).view(np.uint64).ravel()
+        first, sizes = starts[at:end] - starts[at], ends[at:end] - starts[at:end]
+        pieces = -(-sizes // _LANE_MOST)
+        piece_at = np.cumsum(pieces) - pieces
+        nth = np.arange(pieces.sum()) - np.repeat(piece_at, pieces)
+        cuts = np.repeat(first, pieces) + nth * _LANE_MOST
+        words = hashes[starts[at]:ends[end - 1]]
+        for i in range(8):
+            lanes = np.add.reduceat((words >> np.uint64(i)) & _LANES, cuts)
+            counts = lanes.view(np.uint8).reshape(-1, 8)
+            if len(cuts) > len(sizes):
+                counts = np.add.reduceat(counts.astype(np.int64), piece_at, axis=0)
+            most = np.ascontiguousarray(2 * counts.astype(np.int64) > sizes[:, None])
+            out[at:end] |= most.view(np.uint64).ravel() << np.uint64(i)
         at = end
     return out
 
@@ -83,10 +109,15 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def close_sizes(a, b, longer, percent: int = PERCENT):
+    """Whether lengths allow an edit similarity of ``percent`` / 100; ``longer``: the greater one. Numbers, arrays or columns."""
+    return 100 * (longer - a) + 100 * (longer - b) <= (100 - percent) * longer
+
+
 def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     """Edit similarity, 1 - distance / longer length, of ``percent`` / 100 or more."""
     longer = max(len(a), len(b))
-    if 100 * abs(len(a) - len(b)) > (100 - percent) * longer:
+    if not close_sizes(len(a), len(b), longer, percent):
         return False
     return 100 * edit_distance(a, b) <= (100 - percent) * longer
 
@@ -112,7 +143,7 @@ def _hash_columns(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: doc_id, line (from 0), h and g (128 bits of the normalised line), sim."""
+    """One row per line with a word: doc_id, line (from 0), h and g (128 bits of the normalised line), sim, size (its characters)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -123,9 +154,72 @@ def line_table(docs: DataFrame) -> DataFrame:
                 continue
             h, g = _hash_columns(joined)
             sims = simhashes(hashes, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            letters = np.fromiter((len(j) if j.isascii() else len(j.decode("utf-8", "replace")) for j in joined), np.int32, len(joined))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(h), pa.array(g),
-                                              pa.array(sims.view(np.int64))], ["doc_id", "line", "h", "g", "sim"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, g long, sim long")
+                                              pa.array(sims.view(np.int64)), pa.array(letters)], ["doc_id", "line", "h", "g", "sim", "size"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, g long, sim long, size int")
+
+
+def _close(rows: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids (smaller first) among rows of one key that may be linked; keys start at ``first`` and have ``sizes`` rows."""
+    left = np.repeat(first + sizes, sizes) - 1 - np.arange(sizes.sum()) - np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    i = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    sims, found, step = rows["sim"].view(np.uint64), [], 0
+    while True:
+        step += 1
+        open_rows = left >= step
+        i, left = i[open_rows], left[open_rows]
+        if not len(i):
+            break
+        j = i + step
+        near = np.bitwise_count(sims[i] ^ sims[j]) <= MOST_BITS
+        x, y = i[near], j[near]
+        m, n = rows["size"][x].astype(np.int64), rows["size"][y].astype(np.int64)
+        fits = close_sizes(m, n, np.maximum(m, n))
+        found.append(np.stack([rows["id"][x[fits]], rows["id"][y[fits]]]))
+    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return both.min(axis=0), both.max(axis=0)
+
+
+def close_pairs(members: DataFrame, direct: int = DIRECT) -> DataFrame:
+    """Pairs (a, b) of rows that share a bucket and may be linked, some more than once; (bucket, null) for buckets of more than ``direct`` rows.
+
+    ``members``: bucket, id, sim, size. A task reads its rows in the order of buckets and holds one batch and at most ``direct`` rows of
+    the bucket that goes on.
+    """
+    names = ["bucket", "id", "sim", "size"]
+
+    def run(batches):
+        held, skipped = None, None
+
+        def pairs(rows):
+            starts = np.flatnonzero(np.r_[True, rows["bucket"][1:] != rows["bucket"][:-1]])
+            sizes = np.diff(np.r_[starts, len(rows["bucket"])])
+            many = sizes > direct
+            some = (sizes > 1) & ~many
+            a, b = _close(rows, starts[some], sizes[some])
+            large = rows["bucket"][starts[many]]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[a, large], pa.int64()), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(large), pa.int64())])], ["a", "b"])
+
+        for batch in batches:
+            rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+            if skipped is not None:
+                rows = {n: v[rows["bucket"] != skipped] for n, v in rows.items()}
+            if held is not None:
+                rows = {n: np.concatenate([held[n], rows[n]]) for n in names}
+            if not len(rows["bucket"]):
+                continue
+            last = int(np.searchsorted(rows["bucket"], rows["bucket"][-1]))
+            if len(rows["bucket"]) - last > direct:  # the bucket that goes on is known to be large
+                skipped, held = rows["bucket"][-1], None
+                yield pairs(rows)
+            else:
+                held = {n: v[last:] for n, v in rows.items()}
+                if last:
+                    yield pairs({n: v[:last] for n, v in rows.items()})
+        if held is not None:
+            yield pairs(held)
+    return members.select(*names).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,17 +251,19 @@ def duplicate_lines(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     lines = stage(line_table(docs))
-    classes = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"))
+    classes = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"),
+                                           F.first("size").alias("size"))
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()))
 
     @F.pandas_udf("array<long>")
     def keys(sims: pd.Series) -> pd.Series:
         return pd.Series(list(block_keys(sims.to_numpy(np.int64).view(np.uint64), MOST_BITS, blocks).view(np.int64)))
 
-    members = classes.select(F.explode(keys("sim")).alias("bucket"), "id")
+    members = classes.select(F.explode(keys("sim")).alias("bucket"), "id", "sim", "size")
 
     def near(x, y):
-        return F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS
+        sizes = x["size"].cast("long"), y["size"].cast("long")
+        return (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= MOST_BITS) & close_sizes(*sizes, F.greatest(*sizes))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -183,7 +279,14 @@ def duplicate_lines(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    roots = linked_groups(members, classes.select("id", F.col("sim").alias("note")), near, lambda ids: (verify, None))
+    close = stage(close_pairs(members))
+    links = verify(stage(close.where("b IS NOT NULL").distinct()))
+    large = close.where("b IS NULL").select(F.col("a").alias("bucket"))
+    if large.limit(1).count():
+        notes = classes.select("id", F.struct("sim", "size").alias("note"))
+        joined = linked_groups(members.where(may_be_in(large, "bucket")).select("bucket", "id"), notes, near, lambda ids: (verify, None))
+        links = links.unionByName(joined.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    roots = components(links)
     grouped = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # a group of classes may be large: its first occurrence comes from partial minima and goes back in parts
     first = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
@@ -214,7 +317,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame, column: str = "text") -> DataFr
     @F.pandas_udf("text string, lines long, gone long")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
         out = [_without(t, c) for t, c in zip(texts, cuts)]
-        lines = [sum(bool(normalise(x)) for x in utf8(t).split(b"\n")) for t in texts]
+        lines = [lines_with_words(t) for t in texts]
         return pd.DataFrame({"text": out, "lines": lines, "gone": [0 if c is None else len(c) for c in cuts]})
 
     return (joined.withColumn("__new", cut(F.col(column), F.col("__cut")))

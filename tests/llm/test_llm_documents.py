@@ -204,6 +204,46 @@ def test_edit_distance_and_blocks():
         assert (keys[0] == keys[1]).any()
 
 
+def test_close_pairs_are_those_of_all_buckets(spark):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(9)]
+    rows = []
+    for i in range(700):
+        sim = base[i % 9] ^ sum(1 << b for b in r.sample(range(64), r.randrange(3)))
+        rows.append((i % 9 if i % 50 else 100 + i, i, sim - (1 << 64) if sim >> 63 else sim, r.randrange(20, 60)))
+    rows += [(7_000_000_000, 5000 + i, 1, 5) for i in range(120)]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] < 7_000_000_000 and a[1] < b[1]
+            and ((a[2] ^ b[2]) & (1 << 64) - 1).bit_count() <= fuzzy_lines.MOST_BITS and 100 * abs(a[3] - b[3]) <= 10 * max(a[3], b[3])}
+    members = spark.createDataFrame(rows, "bucket long, id long, sim long, size int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(x) for x in fuzzy_lines.close_pairs(members, direct=100).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (7_000_000_000, None) in got and sorted(g for g in got if g[1] is not None) == sorted(want) and want
+
+
+def test_buckets_of_any_size_give_the_same_lines(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(900)}" for _ in range(60)]
+    rows = [(d, "\n".join(" ".join([*base[:20 + 20 * (d % 2)], f"q{r.randrange(30)}", *base[40:]]) for _ in range(3))) for d in range(20)]
+    want = line_groups(rows)
+    monkeypatch.setattr(fuzzy_lines.close_pairs, "__defaults__", (3,))
+    assert {(x["doc_id"], x["line"]) for x in fuzzy_lines.duplicate_lines(docs_of(spark, rows)).collect()} == want and want
+
+
+def test_simhash_adds_bits_of_long_lines():
+    r = np.random.default_rng(2)
+    sizes = np.array([1, 2, 254, 255, 256, 511, 70_000, 3])
+    hashes = r.integers(0, 1 << 64, sizes.sum(), dtype=np.uint64)
+    hashes[::3] = hashes[0]
+    starts = np.cumsum(sizes) - sizes
+    want = [sum(1 << b for b in range(64) if 2 * int(((part >> np.uint64(b)) & np.uint64(1)).sum()) > len(part)) for part in np.split(hashes, starts[1:])]
+    assert fuzzy_lines.simhashes(hashes, starts).tolist() == want
+    for text in ("", None, "a\n\n b\n!!\n", "é\n\x00\n...\r\n x"):
+        assert fuzzy_lines.lines_with_words(text) == sum(bool(fuzzy_lines.normalise(x)) for x in (text or "").encode().split(b"\n"))
+
+
 def test_drop_lines_keeps_other_columns(spark):
     docs = docs_of(spark, EDGES)
     left = fuzzy_lines.drop_lines(docs, fuzzy_lines.duplicate_lines(docs))
