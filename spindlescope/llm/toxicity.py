@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlescope.llm.common import mix, pass_through, table
+from spindlescope.llm.common import mix, pass_through, slices, table
 from spindlescope.llm.decontaminate import tokens
 
 WINDOW, STRIDE = 16, 8
@@ -26,6 +26,8 @@ TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 2000, 3000
 #: Updates, whatever the sample's size: a small one is gone through more often.
 STEPS, BATCH, RATE, SEED = 400, 32, 0.01, 7
 SHARP, CROWD = 2.0, 64
+#: Texts that a task takes out of a batch at once: a whole batch of them stands beside the heap.
+TEXTS = 500
 #: Words whose inputs a task keeps, and words per numpy call.
 KEPT_WORDS, CHUNK_WORDS = 150_000, 60_000
 BLOCK = 4096
@@ -311,7 +313,7 @@ def score_texts(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(shared.value)
-        yield from pass_through(lambda texts: {"score": pa.array(scorer.scores(texts), pa.float64())}, ("doc_id",))(batches)
+        yield from pass_through(lambda texts: {"score": pa.array(scorer.scores(texts), pa.float64())}, ("doc_id",))(slices(batches, TEXTS))
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
@@ -321,7 +323,7 @@ def drop_toxic(docs: DataFrame, model: dict[str, np.ndarray], threshold: float =
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             scores = scorer.scores(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array(scores < threshold))
     return docs.mapInArrow(run, docs.schema)
