@@ -1,7 +1,8 @@
 """Fuzzy line de-duplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 Block keys travel once, with the SimHash and the length of their line; tasks read them in key order, compare the lines that share a key and send on
-only the pairs within MOST_BITS bits and 100 - PERCENT per cent of length. Keys that more than DIRECT lines share are compared by pivots.
+only the pairs within MOST_BITS bits and 100 - PERCENT per cent of length. Keys that more than DIRECT lines share, or that have more than CLOSE_EACH
+such pairs a line (near copies), are compared by pivots.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ PERCENT = 90
 #: Five blocks: three differing bits leave two blocks equal, so the ten pairs of blocks (25 or 26 bits each) find every pair.
 BLOCKS = 5
 CHUNK = 1 << 16
-#: Lines that share a key at most for all their pairs to be compared as they are read.
-DIRECT = 4096
+#: Lines that share a key at most for all their pairs to be compared as they are read, and close pairs per line of a key at most.
+DIRECT, CLOSE_EACH = 4096, 8
 #: Texts that a task reads at once, and word hashes that it keeps: executors hold little beside their heap.
 TEXTS, KEPT_WORDS = 500, 100_000
 _BLANK = b"\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -81,17 +82,32 @@ def block_keys(sims: np.ndarray, most_bits: int = MOST_BITS, blocks: int = BLOCK
     return np.stack(keys, axis=1)
 
 
+def _common(most: int, equal) -> int:
+    """The greatest length up to ``most`` for which ``equal`` holds; it holds for all shorter ones."""
+    low = 0
+    while low < most:
+        mid = (low + most + 1) // 2
+        if equal(mid):
+            low = mid
+        else:
+            most = mid - 1
+    return low
+
+
+def _two_letters(a: str) -> np.ndarray:
+    """Counts of neighbouring letters, folded to 1,024 numbers."""
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount((codes[:-1] * np.uint32(37) + codes[1:]) & np.uint32(1023), minlength=1024)
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance; one column is one long integer of bits."""
     if len(a) < len(b):
         a, b = b, a
-    start = 0
-    while start < len(b) and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < len(b) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start:len(a) - end], b[start:len(b) - end]
+    start = _common(len(b), lambda n: a[:n] == b[:n])
+    a, b = a[start:], b[start:]
+    end = _common(len(b), lambda n: a[len(a) - n:] == b[len(b) - n:])
+    a, b = a[:len(a) - end], b[:len(b) - end]
     if not b:
         return len(a)
     where: dict[str, int] = {}
@@ -119,6 +135,9 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     longer = max(len(a), len(b))
     if not close_sizes(len(a), len(b), longer, percent):
         return False
+    # an edit takes away and adds two pairs of neighbouring letters at most
+    if longer > 64 and 100 * int(np.abs(_two_letters(a) - _two_letters(b)).sum()) > 4 * (100 - percent) * longer:
+        return False
     return 100 * edit_distance(a, b) <= (100 - percent) * longer
 
 
@@ -160,29 +179,41 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, g long, sim long, size int")
 
 
-def _close(rows: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids (smaller first) among rows of one key that may be linked; keys start at ``first`` and have ``sizes`` rows."""
-    left = np.repeat(first + sizes, sizes) - 1 - np.arange(sizes.sum()) - np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-    i = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-    sims, found, step = rows["sim"].view(np.uint64), [], 0
+def _close(rows: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids (smaller first) among rows of one key that may be linked, and which keys have too many of them (their pairs are left out).
+
+    Keys start at ``first`` and have ``sizes`` rows.
+    """
+    key = np.repeat(np.arange(len(first)), sizes)
+    i = np.arange(len(key)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    end = np.repeat(first + sizes, sizes)
+    sims, pairs, step = rows["sim"].view(np.uint64), np.zeros(len(first), np.int64), 0
+    found = [np.empty((3, 0), np.int64)]
     while True:
         step += 1
-        open_rows = left >= step
-        i, left = i[open_rows], left[open_rows]
+        going = i + step < end
+        i, end, key = i[going], end[going], key[going]
         if not len(i):
             break
-        j = i + step
-        near = np.bitwise_count(sims[i] ^ sims[j]) <= MOST_BITS
-        x, y = i[near], j[near]
+        near = np.flatnonzero(np.bitwise_count(sims[i] ^ sims[i + step]) <= MOST_BITS)
+        if not len(near):
+            continue
+        x, y, k = i[near], i[near] + step, key[near]
         m, n = rows["size"][x].astype(np.int64), rows["size"][y].astype(np.int64)
         fits = close_sizes(m, n, np.maximum(m, n))
-        found.append(np.stack([rows["id"][x[fits]], rows["id"][y[fits]]]))
-    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-    return both.min(axis=0), both.max(axis=0)
+        found.append(np.stack([rows["id"][x[fits]], rows["id"][y[fits]], k[fits]]))
+        pairs += np.bincount(k[fits], minlength=len(pairs))
+        if (full := pairs > each * sizes).any():
+            going = ~full[key]
+            i, end, key = i[going], end[going], key[going]
+    many = pairs > each * sizes
+    a, b, k = np.concatenate(found, axis=1)
+    a, b = a[~many[k]], b[~many[k]]
+    return np.minimum(a, b), np.maximum(a, b), many
 
 
-def close_pairs(members: DataFrame, direct: int = DIRECT) -> DataFrame:
-    """Pairs (a, b) of rows that share a bucket and may be linked, some more than once; (bucket, null) for buckets of more than ``direct`` rows.
+def close_pairs(members: DataFrame, direct: int = DIRECT, each: int = CLOSE_EACH) -> DataFrame:
+    """Pairs (a, b) of rows that share a bucket and may be linked, some more than once; (bucket, null) for buckets with more than ``direct`` rows or ``each`` pairs a row.
 
     ``members``: bucket, id, sim, size. A task reads its rows in the order of buckets and holds one batch and at most ``direct`` rows of
     the bucket that goes on.
@@ -195,10 +226,9 @@ def close_pairs(members: DataFrame, direct: int = DIRECT) -> DataFrame:
         def pairs(rows):
             starts = np.flatnonzero(np.r_[True, rows["bucket"][1:] != rows["bucket"][:-1]])
             sizes = np.diff(np.r_[starts, len(rows["bucket"])])
-            many = sizes > direct
-            some = (sizes > 1) & ~many
-            a, b = _close(rows, starts[some], sizes[some])
-            large = rows["bucket"][starts[many]]
+            some = np.flatnonzero((sizes > 1) & (sizes <= direct))
+            a, b, many = _close(rows, starts[some], sizes[some], each)
+            large = rows["bucket"][starts[np.r_[some[many], np.flatnonzero(sizes > direct)]]]
             return pa.RecordBatch.from_arrays([pa.array(np.r_[a, large], pa.int64()), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(large), pa.int64())])], ["a", "b"])
 
         for batch in batches:

@@ -217,7 +217,7 @@ def test_close_pairs_are_those_of_all_buckets(spark):
     members = spark.createDataFrame(rows, "bucket long, id long, sim long, size int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        got = [tuple(x) for x in fuzzy_lines.close_pairs(members, direct=100).collect()]
+        got = [tuple(x) for x in fuzzy_lines.close_pairs(members, direct=100, each=1000).collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert (7_000_000_000, None) in got and sorted(g for g in got if g[1] is not None) == sorted(want) and want
@@ -228,7 +228,13 @@ def test_buckets_of_any_size_give_the_same_lines(spark, monkeypatch):
     base = [f"w{r.randrange(900)}" for _ in range(60)]
     rows = [(d, "\n".join(" ".join([*base[:20 + 20 * (d % 2)], f"q{r.randrange(30)}", *base[40:]]) for _ in range(3))) for d in range(20)]
     want = line_groups(rows)
-    monkeypatch.setattr(fuzzy_lines.close_pairs, "__defaults__", (3,))
+    found = fuzzy_lines.close_pairs(spark.createDataFrame([(1, i, 5, 9) for i in range(60)] + [(2, 70 + i, 5, 9) for i in range(3)], "bucket long, id long, sim long, size int"))
+    assert sorted(map(tuple, found.fillna(-1).collect())) == [(1, -1), (70, 71), (70, 72), (71, 72)]
+    for i in range(200):
+        a = "".join(r.choice("abcdé ") for _ in range(r.randrange(60, 200)))
+        b = "".join(r.choice("abcdé ") if r.random() < i / 800 else x for x in a)
+        assert fuzzy_lines.similar(a, b) == (100 * fuzzy_lines.edit_distance(a, b) <= 10 * max(len(a), len(b)))
+    monkeypatch.setattr(fuzzy_lines.close_pairs, "__defaults__", (3, 8))
     assert {(x["doc_id"], x["line"]) for x in fuzzy_lines.duplicate_lines(docs_of(spark, rows)).collect()} == want and want
 
 
