@@ -26,7 +26,7 @@ PERCENT = 90
 BLOCKS = 5
 CHUNK = 1 << 16
 #: Lines that share a key at most for all their pairs to be compared as they are read, and close pairs per line of a key at most.
-DIRECT, CLOSE_EACH = 4096, 8
+DIRECT, CLOSE_EACH = 4096, 128
 #: Texts that a task reads at once, and word hashes that it keeps: executors hold little beside their heap.
 TEXTS, KEPT_WORDS = 500, 100_000
 _BLANK = b"\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -228,7 +228,7 @@ def test_buckets_of_any_size_give_the_same_lines(spark, monkeypatch):
     base = [f"w{r.randrange(900)}" for _ in range(60)]
     rows = [(d, "\n".join(" ".join([*base[:20 + 20 * (d % 2)], f"q{r.randrange(30)}", *base[40:]]) for _ in range(3))) for d in range(20)]
     want = line_groups(rows)
-    found = fuzzy_lines.close_pairs(spark.createDataFrame([(1, i, 5, 9) for i in range(60)] + [(2, 70 + i, 5, 9) for i in range(3)], "bucket long, id long, sim long, size int"))
+    found = fuzzy_lines.close_pairs(spark.createDataFrame([(1, i, 5, 9) for i in range(60)] + [(2, 70 + i, 5, 9) for i in range(3)], "bucket long, id long, sim long, size int"), each=8)
     assert sorted(map(tuple, found.fillna(-1).collect())) == [(1, -1), (70, 71), (70, 72), (71, 72)]
     for i in range(200):
         a = "".join(r.choice("abcdé ") for _ in range(r.randrange(60, 200)))
