@@ -1,8 +1,9 @@
 """Fuzzy line de-duplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 Block keys travel once, with the SimHash and the length of their line; tasks read them in key order, compare the lines that share a key and send on
-only the pairs within MOST_BITS bits and 100 - PERCENT per cent of length. Keys that more than DIRECT lines share, or that have more than CLOSE_EACH
-such pairs a line (near copies), are compared by pivots.
+only pairs within MOST_BITS bits and 100 - PERCENT per cent of length: first a tree of them per key, which grows with the lines and not with their square
+among near copies, then, once the trees' pairs are verified, all pairs between the components that a failed pair left apart. Keys that more
+than DIRECT lines share, or that have more than CLOSE_EACH such open pairs a line, are compared by pivots.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlescope.llm.common import WordHashes, attach, bitmap, in_bitmap, may_be_in, mix, slices, stage, table, utf8
+from spindlescope.llm.common import attach, bitmap, in_bitmap, may_be_in, mix, slices, stage, table, utf8
 from spindlescope.llm.grouping import components, linked_groups
 
 #: Lines are linked if their 64-bit SimHashes differ in at most this many bits and their edit similarity reaches PERCENT.
@@ -27,10 +28,13 @@ BLOCKS = 5
 CHUNK = 1 << 16
 #: Lines that share a key at most for all their pairs to be compared as they are read, and close pairs per line of a key at most.
 DIRECT, CLOSE_EACH = 4096, 128
-#: Texts that a task reads at once, and word hashes that it keeps: executors hold little beside their heap.
-TEXTS, KEPT_WORDS = 500, 100_000
+#: Rounds that compare along trees before all pairs that are still open are compared.
+TREE_ROUNDS = 1
+#: Texts and characters that a task splits at once: executors hold little beside their heap.
+TEXTS, PIECE = 500, 1 << 21
 _BLANK = b"\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _FOLD = bytes(32 if b in _BLANK else 48 if 48 <= b < 58 else b for b in range(256))
+_FOLD_LINES = _FOLD[:10] + b"\n" + _FOLD[11:]
 #: Eight counters of a byte each, for every eighth bit of a hash.
 _LANES, _LANE_MOST = np.uint64(0x0101010101010101), 255
 
@@ -141,18 +145,44 @@ def similar(a: str, b: str, percent: int = PERCENT) -> bool:
     return 100 * edit_distance(a, b) <= (100 - percent) * longer
 
 
-def _lines(texts: list[str | None], known: WordHashes):
-    """(row, line number, normalised line, word hashes) of every line with a word; flat arrays."""
-    row, number, joined, found, sizes = [], [], [], [], []
-    for i, t in enumerate(texts):
-        for k, line in enumerate(utf8(t).split(b"\n")):
-            if ws := normalise(line):
-                row.append(i)
-                number.append(k)
-                joined.append(b" ".join(ws))
-                found += ws
-                sizes.append(len(ws))
-    return np.array(row, np.int64), np.array(number, np.int32), joined, known.of(found), np.array(sizes, np.int64)
+def _lines(texts: list[str | None]):
+    """Flat arrays of every line with a word: (row, line number, normalised line, words); and all words, each with a blank behind, as Arrow binaries."""
+    raws = [utf8(t) for t in texts]
+    folded = np.frombuffer(b"\n".join([*raws, b""]).lower().translate(_FOLD_LINES), np.uint8)
+    ends = np.flatnonzero(folded == 10)
+    letters = (folded != 32) & (folded != 10)
+    before = np.r_[False, letters[:-1]]
+    starts = np.flatnonzero(letters & ~before)
+    kept = letters | before  # one blank or line end behind each word
+    plain = np.where(letters, folded, np.uint8(32))[kept]
+    word_at = np.r_[0, np.flatnonzero(plain == 32) + 1]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(word_at.astype(np.int64)), pa.py_buffer(plain)])
+    line = np.searchsorted(ends, starts)
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[first, len(line)])
+    whole = plain.tobytes()
+    joined = [whole[x:y] for x, y in zip(word_at[first].tolist(), (word_at[first + sizes] - 1).tolist())]
+    # the lines of a text end where its bytes do
+    text_ends = np.searchsorted(ends, np.cumsum([len(r) + 1 for r in raws]) - 1, "right")
+    row = np.searchsorted(text_ends, line[first], "right")
+    return row, (line[first] - np.r_[0, text_ends][row]).astype(np.int32), joined, sizes, words
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of every word, each distinct one hashed once."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.buffers()[2].to_pybytes().split() if len(words) else []
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
+
+
+def _pieces(batches):
+    """The rows of ``batches`` in order, about PIECE bytes of text at a time; a longer text stands alone."""
+    for batch in slices(batches, TEXTS):
+        sizes = np.cumsum([len(t) if t is not None else 0 for t in batch.column("text").to_pylist()])
+        cuts = np.r_[0, np.flatnonzero(np.diff(sizes // PIECE)) + 1, batch.num_rows]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def _hash_columns(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,68 +196,129 @@ def line_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        known = WordHashes(KEPT_WORDS)
-        for batch in slices(batches, TEXTS):
-            row, number, joined, hashes, sizes = _lines(batch.column("text").to_pylist(), known)
+        for batch in _pieces(batches):
+            row, number, joined, sizes, found = _lines(batch.column("text").to_pylist())
             if not joined:
                 continue
             h, g = _hash_columns(joined)
-            sims = simhashes(hashes, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            sims = simhashes(_word_hashes(found), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             letters = np.fromiter((len(j) if j.isascii() else len(j.decode("utf-8", "replace")) for j in joined), np.int32, len(joined))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(h), pa.array(g),
                                               pa.array(sims.view(np.int64)), pa.array(letters)], ["doc_id", "line", "h", "g", "sim", "size"])
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, g long, sim long, size int")
 
 
-def _close(rows: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of ids (smaller first) among rows of one key that may be linked, and which keys have too many of them (their pairs are left out).
+def _near(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the row pairs (x, y) may be linked, as positions."""
+    sims = rows["sim"].view(np.uint64)
+    near = np.flatnonzero(np.bitwise_count(sims[x] ^ sims[y]) <= MOST_BITS)
+    if not len(near):
+        return near
+    m, n = rows["size"][x[near]].astype(np.int64), rows["size"][y[near]].astype(np.int64)
+    return near[close_sizes(m, n, np.maximum(m, n))]
 
-    Keys start at ``first`` and have ``sizes`` rows.
-    """
+
+def _steps(first: np.ndarray, sizes: np.ndarray):
+    """(i, j, key) of all row pairs of each key, those one row apart first; a mask of keys, when sent, says which go on."""
     key = np.repeat(np.arange(len(first)), sizes)
     i = np.arange(len(key)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
     end = np.repeat(first + sizes, sizes)
-    sims, pairs, step = rows["sim"].view(np.uint64), np.zeros(len(first), np.int64), 0
-    found = [np.empty((3, 0), np.int64)]
+    step, on = 0, None
     while True:
         step += 1
         going = i + step < end
+        if on is not None:
+            going &= on[key]
         i, end, key = i[going], end[going], key[going]
         if not len(i):
+            return
+        on = yield i, i + step, key
+
+
+def _close(rows: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids (smaller first) of different roots among rows of one key that may be linked, and which keys have too many of them (their pairs are left out).
+
+    Keys start at ``first`` and have ``sizes`` rows.
+    """
+    pairs, found, on = np.zeros(len(first), np.int64), [np.empty((3, 0), np.int64)], None
+    steps = _steps(first, sizes)
+    while True:
+        try:
+            x, y, key = steps.send(on)
+        except StopIteration:
             break
-        near = np.flatnonzero(np.bitwise_count(sims[i] ^ sims[i + step]) <= MOST_BITS)
-        if not len(near):
-            continue
-        x, y, k = i[near], i[near] + step, key[near]
-        m, n = rows["size"][x].astype(np.int64), rows["size"][y].astype(np.int64)
-        fits = close_sizes(m, n, np.maximum(m, n))
-        found.append(np.stack([rows["id"][x[fits]], rows["id"][y[fits]], k[fits]]))
-        pairs += np.bincount(k[fits], minlength=len(pairs))
-        if (full := pairs > each * sizes).any():
-            going = ~full[key]
-            i, end, key = i[going], end[going], key[going]
+        on, near = None, _near(rows, x, y)
+        near = near[rows["root"][x[near]] != rows["root"][y[near]]]
+        if len(near):
+            found.append(np.stack([rows["id"][x[near]], rows["id"][y[near]], key[near]]))
+            pairs += np.bincount(key[near], minlength=len(pairs))
+            if (full := pairs > each * sizes).any():
+                on = ~full
     many = pairs > each * sizes
     a, b, k = np.concatenate(found, axis=1)
     a, b = a[~many[k]], b[~many[k]]
     return np.minimum(a, b), np.maximum(a, b), many
 
 
-def close_pairs(members: DataFrame, direct: int = DIRECT, each: int = CLOSE_EACH) -> DataFrame:
+def _trees(rows: dict[str, np.ndarray], first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_close``, but of the pairs of a key only as many as connect what all of them connect: less than its rows."""
+    at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    key = np.repeat(np.arange(len(first)), sizes)
+    order = np.lexsort((rows["root"][at], key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (rows["root"][at[order]][1:] != rows["root"][at[order]][:-1])] if len(at) else np.empty(0, bool)
+    label = np.zeros(len(rows["id"]), np.int64)
+    label[at[order]] = at[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    groups = np.bincount(key[order][new], minlength=len(first))
+    a, b, on, steps = [], [], None, _steps(first, sizes)
+    while True:
+        try:
+            x, y, key = steps.send(on)
+        except StopIteration:
+            break
+        on, apart = None, np.flatnonzero(label[x] != label[y])
+        if not len(apart):
+            continue
+        near = apart[_near(rows, x[apart], y[apart])]
+        up: dict[int, int] = {}
+        for i, j, k, s, t in zip(x[near].tolist(), y[near].tolist(), key[near].tolist(), label[x[near]].tolist(), label[y[near]].tolist()):
+            while s in up:
+                s = up[s]
+            while t in up:
+                t = up[t]
+            if s != t:
+                up[max(s, t)] = min(s, t)
+                groups[k] -= 1
+                a.append(i)
+                b.append(j)
+        if up:
+            parent = np.arange(len(label))
+            parent[list(up)] = list(up.values())
+            while (above := parent[parent]).tobytes() != parent.tobytes():
+                parent = above
+            label = parent[label]
+            on = groups > 1
+    a, b = rows["id"][np.array(a, np.int64)], rows["id"][np.array(b, np.int64)]
+    return np.minimum(a, b), np.maximum(a, b), np.zeros(len(first), bool)
+
+
+def close_pairs(members: DataFrame, direct: int = DIRECT, each: int = CLOSE_EACH, *, trees: bool = False) -> DataFrame:
     """Pairs (a, b) of rows that share a bucket and may be linked, some more than once; (bucket, null) for buckets with more than ``direct`` rows or ``each`` pairs a row.
 
-    ``members``: bucket, id, sim, size. A task reads its rows in the order of buckets and holds one batch and at most ``direct`` rows of
-    the bucket that goes on.
+    ``members``: bucket, id, sim, size and, if it is there, root: rows of one root make no pair. ``trees``: of each bucket only pairs that
+    connect what all its pairs connect, fewer than its rows; ``each`` does not matter then. A task reads its rows in the order of buckets
+    and holds one batch and at most ``direct`` rows of the bucket that goes on.
     """
-    names = ["bucket", "id", "sim", "size"]
+    names = ["bucket", "id", "sim", "size", *(["root"] if "root" in members.columns else [])]
 
     def run(batches):
         held, skipped = None, None
 
         def pairs(rows):
+            rows = {"root": rows["id"]} | rows
             starts = np.flatnonzero(np.r_[True, rows["bucket"][1:] != rows["bucket"][:-1]])
             sizes = np.diff(np.r_[starts, len(rows["bucket"])])
             some = np.flatnonzero((sizes > 1) & (sizes <= direct))
-            a, b, many = _close(rows, starts[some], sizes[some], each)
+            a, b, many = _trees(rows, starts[some], sizes[some]) if trees else _close(rows, starts[some], sizes[some], each)
             large = rows["bucket"][starts[np.r_[some[many], np.flatnonzero(sizes > direct)]]]
             return pa.RecordBatch.from_arrays([pa.array(np.r_[a, large], pa.int64()), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(large), pa.int64())])], ["a", "b"])
 
@@ -249,7 +340,7 @@ def close_pairs(members: DataFrame, direct: int = DIRECT, each: int = CLOSE_EACH
                     yield pairs({n: v[:last] for n, v in rows.items()})
         if held is not None:
             yield pairs(held)
-    return members.select(*names).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return members.select(*names).repartition("bucket").sortWithinPartitions("bucket", "sim").mapInArrow(run, "a long, b long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -258,8 +349,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         cells = np.frombuffer(bits.value, np.uint32)
-        for batch in slices(batches, TEXTS):
-            joined = [b" ".join(ws) for t in batch.column("text").to_pylist() for line in utf8(t).split(b"\n") if (ws := normalise(line))]
+        for batch in _pieces(batches):
+            _, _, joined, _, _ = _lines(batch.column("text").to_pylist())
             if not joined:
                 continue
             h, g = _hash_columns(joined)
@@ -289,16 +380,18 @@ def duplicate_lines(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     def keys(sims: pd.Series) -> pd.Series:
         return pd.Series(list(block_keys(sims.to_numpy(np.int64).view(np.uint64), MOST_BITS, blocks).view(np.int64)))
 
-    members = classes.select(F.explode(keys("sim")).alias("bucket"), "id", "sim", "size")
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.explode(keys("sim"))).select("bucket", "id", "sim", "size", *[c for c in rows.columns if c == "root"])
 
     def near(x, y):
         sizes = x["size"].cast("long"), y["size"].cast("long")
         return (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= MOST_BITS) & close_sizes(*sizes, F.greatest(*sizes))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        named = stage(classes.select("id", "h", "g").join(wanted, "id", "left_semi"))
-        texts = stage(named.join(line_texts(docs, named.select("h", "g")), ["h", "g"]).select("id", "norm"))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        named = stage(classes.where(may_be_in(ids, "id")).select("id", "h", "g").join(ids, "id", "left_semi"))
+        return stage(named.join(line_texts(docs, named.select("h", "g")), ["h", "g"]).select("id", "norm"))
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         half = pairs.join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b").withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(64)))
         other = half.select("a", "__salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a")
         both = half.join(other, ["a", "__salt"])
@@ -309,20 +402,55 @@ def duplicate_lines(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    close = stage(close_pairs(members))
-    links = verify(stage(close.where("b IS NOT NULL").distinct()))
-    large = close.where("b IS NULL").select(F.col("a").alias("bucket"))
-    if large.limit(1).count():
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    def pivoted(rows: DataFrame, close: DataFrame) -> DataFrame | None:
+        large = close.where("b IS NULL").select(F.col("a").alias("bucket"))
+        if not large.limit(1).count():
+            return None
         notes = classes.select("id", F.struct("sim", "size").alias("note"))
-        joined = linked_groups(members.where(may_be_in(large, "bucket")).select("bucket", "id"), notes, near, lambda ids: (verify, None))
-        links = links.unionByName(joined.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    roots = components(links)
-    grouped = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+        def tests(ids: DataFrame):
+            known = texts_of(ids)
+            return (lambda pairs: verify(pairs, known)), None
+        return linked_groups(keyed(rows).where(may_be_in(large, "bucket")).select("bucket", "id"), notes, near, tests).select(
+            F.col("id").alias("a"), F.col("root").alias("b"))
+
+    # near copies make pairs with the square of their number: trees of close pairs come first, then only pairs between what these left apart
+    done = links = texts = None
+    rows, turn = classes.select("id", "sim", "size"), 0
+    while True:
+        close = stage(close_pairs(keyed(rows), trees=turn < TREE_ROUNDS))
+        pairs = close.where("b IS NOT NULL").distinct()
+        pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        done = pairs if done is None else done.unionByName(pairs)
+        texts = texts_of(ends(pairs)) if texts is None else texts  # lines of later pairs are in pairs of the first round
+        found = stage(verify(pairs, texts))
+        links = found if links is None else links.unionByName(found)
+        if (more := pivoted(rows, close)) is not None:
+            links, texts = links.unionByName(stage(more)), None  # or come from pivots
+        roots = components(links)
+        turn += 1
+        if turn > TREE_ROUNDS:
+            break
+        # a line that is apart from a close one is in a component at the end of a tree's pair that failed
+        ways = close.where("b IS NOT NULL").distinct()
+        for end in ("a", "b"):
+            ways = ways.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+        apart = stage(ways.where("ra != rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
+        if not apart.limit(1).count():
+            break
+        ids = stage(roots.join(apart, "root", "left_semi").select("id", "root").union(apart.select("root", "root")).distinct())
+        rows = stage(rows.where(may_be_in(ids, "id")).select("id", "sim", "size").join(ids, "id"))
+    # a class of one line that is linked to nothing stays, so it does not travel
+    some = classes.where((F.col("n") > 1) | may_be_in(roots, "id"))
+    grouped = some.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # a group of classes may be large: its first occurrence comes from partial minima and goes back in parts
     first = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
     dup = stage(attach(stage(grouped.select("h", "g", "root")), first.select("root", "keep"), "root", "inner"))
-    keyed = lines.select("doc_id", "line", F.struct("h", "g").alias("key"))
-    found = attach(keyed, dup.select(F.struct("h", "g").alias("key"), "keep"), "key", "inner")
+    listed = lines.where(may_be_in(dup, "h", "g")).select("doc_id", "line", F.struct("h", "g").alias("key"))
+    found = attach(listed, dup.select(F.struct("h", "g").alias("key"), "keep"), "key", "inner")
     return found.where(F.struct("doc_id", "line") != F.col("keep")).select("doc_id", "line").distinct()
 
 
@@ -341,7 +469,8 @@ def drop_lines(docs: DataFrame, gone: DataFrame, column: str = "text") -> DataFr
     per_doc = stage(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line")).alias("__cut")))
     # texts that surely lose no line pass as they are read; only the others are shuffled to their cuts
     touched = F.coalesce(may_be_in(per_doc.select(F.col("__id").alias("doc_id")), "doc_id"), F.lit(False))
-    joined = docs.where(touched).join(per_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id").unionByName(
+    # cuts grow with the texts: they are never broadcast
+    joined = docs.where(touched).join(per_doc.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id").unionByName(
         docs.where(~touched).withColumn("__cut", F.lit(None).cast("array<int>")))
 
     @F.pandas_udf("text string, lines long, gone long")

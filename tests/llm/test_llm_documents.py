@@ -238,6 +238,31 @@ def test_buckets_of_any_size_give_the_same_lines(spark, monkeypatch):
     assert {(x["doc_id"], x["line"]) for x in fuzzy_lines.duplicate_lines(docs_of(spark, rows)).collect()} == want and want
 
 
+def test_trees_make_few_pairs_and_lose_no_link(spark):
+    r = random.Random(11)
+    base = [f"w{r.randrange(900)}" for _ in range(80)]
+    orders = [base, base[40:] + base[:40], base[::-1]]  # the same SimHash, but no edit similarity
+    rows = []
+    for d in range(45):
+        line = list(orders[d % 3])
+        if d >= 3:
+            line[r.randrange(80)] = f"q{r.randrange(8)}x"
+        rows.append((d, " ".join(line)))
+    want = line_groups(rows)
+    assert {(x["doc_id"], x["line"]) for x in fuzzy_lines.duplicate_lines(docs_of(spark, rows)).collect()} == want and len(want) > 20
+    members = spark.createDataFrame([(1, i, 5, 60) for i in range(400)] + [(2, i, 3 << i % 50, 60) for i in range(400)], "bucket long, id long, sim long, size int")
+    trees = [tuple(x) for x in fuzzy_lines.close_pairs(members, trees=True).collect()]
+    pairs = [tuple(x) for x in fuzzy_lines.close_pairs(members, each=1000).collect()]
+
+    def roots(found):
+        root = list(range(400))
+        for a, b in found:
+            x, y = root[a], root[b]
+            root = [min(x, y) if v in (x, y) else v for v in root]
+        return root
+    assert len(trees) < 800 < len(pairs) and set(trees) <= set(pairs) and roots(trees) == roots(pairs[:1] + trees) == [0] * 400
+
+
 def test_simhash_adds_bits_of_long_lines():
     r = np.random.default_rng(2)
     sizes = np.array([1, 2, 254, 255, 256, 511, 70_000, 3])
