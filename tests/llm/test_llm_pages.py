@@ -108,6 +108,30 @@ def test_counts_of_shards_are_added_up(spark):
         assert notice not in got[i] and "Share this" not in got[i] and f"w{i}x3" in got[i] and f"common {i} ends" in got[i]
 
 
+def test_blocks_of_articles_go_through_the_runs(spark):
+    notice = "Sign up here to get all of our stories by mail each day"
+    quoted = "An article may quote this whole sentence of another article of this host now"
+    unique = "<p>" + " ".join("w{0}x%d" % k for k in range(12)) + "</p>"
+    rows = [(i, f"http://a.b/{i}", f"<article>{unique.format(i)}<p>{notice}</p><p>Share</p>" + (f"<p>{quoted}</p>" if i < 9 else "") + "</article>") for i in range(30)]
+    rows += [(100 + i, f"http://copies.net/{i}", f"<article><p>{quoted}</p></article>") for i in range(30)]
+    rows += [(200, "http://c.d/", "<main>card</main>" + unique.format(200)), (201, "http://c.d/", f"<main>{unique.format(201)}</main><p>see more")]
+    got = {r["page_id"]: r["text"].split("\n") for r in page_text.main_text(pages_of(spark, rows)).collect()}
+    plain = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    for i in range(30):
+        assert got[i] == [plain(i)] + ([quoted] if i < 9 else [])
+        assert got[100 + i] == [quoted]  # one text, however often it is there
+    assert got[200] == ["card", plain(200)] and got[201] == [plain(201)]
+
+
+def test_a_shard_counts_as_sets_do():
+    pages = [("a", ["x y z x y", "p q"], [False, True]), ("a", ["y z x y", "p q", "p q"], [True, True, False]), ("b", ["x y z"], [False])]
+    hosts, runs = page_text._shard_runs(pages, 3, page_text.WordHashes())
+    part = page_text._packed(hosts, runs, 1)
+    got = page_text._unpacked(sum(part.column("sizes")[0].as_py()), part.column("data")[0].as_py())
+    assert sorted(zip(got["pages"].tolist(), got["open"].tolist())) == [(1, True), (1, True), (2, True), (2, True), (2, True)]
+    assert sorted(runs["key"].tolist()) == sorted(got["key"].tolist())
+
+
 def test_runs_of_a_suffix_array():
     streams = [[1, 2, 3, 4, 5, 9], [7, 1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [3, 4, 5, 1], []]
     assert page_text.repeated_runs(streams, 5, 3) == {(1, 2, 3, 4, 5)}
