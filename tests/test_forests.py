@@ -74,3 +74,24 @@ def test_extra_trees_equal_the_passes_over_all_rows(spark, rows):
     x, y, df = rows
     est = fr.ExtraTrees(numTrees=5)
     assert fr.node_table(est.fit(df).facts) == fr.node_table(est.grow(fr.stored(df, None), 4))
+
+
+def test_rows_and_trees_meet_the_same_however_few_fit_into_a_task(spark, rows, monkeypatch):
+    _, _, df = rows
+    got = []
+    for room, walked, most in ((1 << 26, 1 << 15, 1 << 16), (1 << 26, 64, 80), (1, 64, 80)):
+        monkeypatch.setattr(fo, "ROOM", room)
+        monkeypatch.setattr(fo, "WALKED", walked)
+        monkeypatch.setattr(fo, "MOST_ROWS", most)
+        monkeypatch.setattr(fo, "TASKS", 6)
+        model = fo.RandomForest(numTrees=6, maxDepth=8).fit(df)
+        got.append([r["rawPrediction"][1] for r in model.transform(df).orderBy("row_id").collect()])
+    assert np.allclose(got[0], got[1]) and np.allclose(got[0], got[2])
+
+
+def test_sent_bytes_grow_in_proportion():
+    def sent(n):
+        row, forest = 28, 60 * n
+        stripes, groups = fo.stripes_and_groups(n, row, forest, 1000)
+        return stripes * forest + groups * n * (row + 16)
+    assert sent(9_000_000) < 12 * sent(900_000)
