@@ -118,3 +118,30 @@ def test_silhouette_of_one_cluster_and_of_equal_rows(spark):
     assert tuple(mt.euclidean_silhouette(spark.createDataFrame([([1.0], 0), ([2.0], 0)], schema)).first()) == (2, None)
     assert tuple(mt.euclidean_silhouette(spark.createDataFrame([([1.0], 0)] * 2 + [([1.0], 1)] * 2, schema)).first()) == (4, 0.0)
     assert mt.euclidean_silhouette(spark.createDataFrame([], schema)).first()["records"] == 0
+
+
+def test_silhouette_shuffles_no_sums_of_clusters(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(v.tolist(), i % 40) for i, v in enumerate(rng.normal(size=(400, 2)))], "vector array<double>, prediction int")
+    sides = [mt._Sides([(np.array([[0.0], [1.0]]), np.array([0, 1]), np.array([1, 2]))])]
+    sides[0].meet(np.array([[0.0], [1.0], [5.0]]), np.array([0, 1, 2]), np.array([1, 2, 1]))
+    got = sides[0].batch().to_pydict()
+    assert got == {"copies": [1, 2], "n": [1, 2], "total": [0.0, 0.0], "b": [1.0, 1.0]}
+    plan = mt.euclidean_silhouette(df, tile=50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapCoGroups" not in plan
+
+
+def test_density_clusters_are_found_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import array_to_vector
+    from spindlescope.ml import neighbour_stages as ns
+    calls, real = [], ns.nm.dbscan
+
+    def counted(*args, **kw):
+        calls.append(1)
+        return real(*args, **kw)
+    monkeypatch.setattr(ns.nm, "dbscan", counted)
+    rows = spark.createDataFrame([(str(i), [i % 10 / 100.0 + (i >= 20), 0.0]) for i in range(41)], "row_id string, v array<double>").select("row_id", array_to_vector("v").alias("vector"))
+    model = Pipeline(stages=[ns.DensityClusters(eps=0.15)]).fit(rows)
+    labels = ns.fitted_labels(model, "dbscan", {"eps": 0.15}, rows)
+    assert labels.count() == 41 and labels.select("prediction").distinct().count() == 2 and len(calls) == 1
